@@ -74,15 +74,15 @@ def silverman(variance: Column, weight_sum: Column, weight_squares: Column) -> C
 
 
 def kde(sup: DataFrame, groups: Sequence[str], bandwidth: Column, grid: Sequence[float]) -> DataFrame:
-    """(groups, at, density): Gaussian kernel density on a grid, from one row per distinct value."""
-    z = (F.col("at") - F.col("v")) / bandwidth
+    """(groups, point, density): Gaussian kernel density on a grid, from one row per distinct value."""
+    z = (F.col("point") - F.col("v")) / bandwidth
     kernel = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
-    rows = sup.withColumn("at", F.explode(F.array(*(F.lit(float(x)) for x in grid))))
-    return rows.groupBy(*groups, "at").agg((F.sum(kernel * F.col("w") / bandwidth) / F.sum("w")).alias("density"))
+    rows = sup.withColumn("point", F.explode(F.array(*(F.lit(float(x)) for x in grid))))
+    return rows.groupBy(*groups, "point").agg((F.sum(kernel * F.col("w") / bandwidth) / F.sum("w")).alias("density"))
 
 
 def ecdf(sup: DataFrame, groups: Sequence[str], step: float, last: float) -> DataFrame:
-    """(groups, at, share): weight at or below each grid point from 0; values are put to their grid point before the shuffle."""
+    """(groups, point, share): weight at or below each grid point from 0; values are put to their grid point before the shuffle."""
     n = int(last / step)
     i = F.greatest(F.lit(0), F.ceil(F.col("v") / step)).cast("int")
     cells = sup.withColumn("i", F.least(i, F.lit(n + 1))).groupBy(*groups, "i").agg(F.sum("w").alias("w"))
@@ -90,7 +90,7 @@ def ecdf(sup: DataFrame, groups: Sequence[str], step: float, last: float) -> Dat
     # A group has at most one cell for each grid point.
     rows = per.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n))))
     upto = F.aggregate(F.filter("cells", lambda x: x["i"] <= F.col("j")), F.lit(0.0), lambda a, x: a + x["w"])
-    return rows.select(*groups, (F.col("j") * step).cast("double").alias("at"), (upto / F.col("total")).alias("share"))
+    return rows.select(*groups, (F.col("j") * step).cast("double").alias("point"), (upto / F.col("total")).alias("share"))
 
 
 def ks_distance(df: DataFrame, groups: Sequence[str], value: str, weight: str, first: Column) -> DataFrame:
