@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,14 @@ def get_spark(app: str = "loomway", cores: int | str = "*", shuffle_partitions:
     return spark
 
 
+def ensure_workers(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it; on hosts without that folder, pass --py-files."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where that is unset."""
     sc = spark.sparkContext
