@@ -94,7 +94,8 @@ def orphans(
     """Child rows whose key no parent row has at the child's time: (child_table, period, rec_id, reason).
 
     Parents are range-partitioned by (key hash, time) and kept as sorted arrays
-    per range; child rows are probed in batches by binary search. A parent key
+    per range, built once where the range's child rows are probed in batches by
+    binary search. A parent key
     with very many versions spreads over several ranges (what earlier and later
     ranges hold of it is carried along), a child key with very many rows over
     several splits. Keys are compared as two 64-bit hashes of the normalised text.
@@ -135,10 +136,9 @@ def orphans(
             par = par.select("h", "h2", "s", "e", "r").unionByName(spark.createDataFrame(extra, "h long, h2 long, s long, e long, r int"))
     else:
         par, kids = par.withColumn("r", F.lit(0)), kids.withColumn("r", F.lit(0))
-    packed = par.groupBy("r").agg(*(F.collect_list(x).alias(f"p{x}") for x in ("h", "h2", "s", "e")))
 
     def prepare(b: pd.DataFrame) -> SortedParents:
-        return SortedParents(*(np.concatenate([np.asarray(a, np.int64) for a in b[x]]) if len(b) else np.empty(0, np.int64) for x in ("ph", "ph2", "ps", "pe")))
+        return SortedParents(*(b[x].to_numpy(np.int64) for x in ("h", "h2", "t", "e")))
 
     def probe(p: SortedParents, rows: pd.DataFrame) -> pd.DataFrame:
         h, h2, t = (rows[x].to_numpy(np.int64) for x in ("h", "h2", "t"))
@@ -147,7 +147,7 @@ def orphans(
         return pd.DataFrame({"t": t[m], "rec_id": rows["rec_id"][m], "code": code[m].astype(np.int32)})
 
     # Without a single parent there are no build rows, and every probe row meets an empty frame.
-    found = stream_probe(packed, kids, ["r"], F.xxhash64("rec_id", "t"), probe, "t long, rec_id long, code int", rows_per_split, prepare)
+    found = stream_probe(par.select("r", "h", "h2", F.col("s").alias("t"), "e"), kids, ["r"], F.xxhash64("rec_id", "t"), probe, "t long, rec_id long, code int", rows_per_split, prepare)
     return found.select(
         F.lit(child_table).alias("child_table"),
         F.when(F.col("t") != MIN_LONG, F.date_format(F.timestamp_micros("t"), "yyyy-MM")).alias("period"),
