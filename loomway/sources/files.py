@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The characters at 0x80 to 0x9f: as Latin-1 reads them, and as cp1252 does.
+_C1 = "".join(chr(i) for i in range(0x80, 0xA0) if i not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_CP1252 = _C1.encode("latin-1").decode("cp1252")
+
 
 def read_delimited(spark: SparkSession, path: str, columns: Iterable[str], sep: str = ";", types: dict[str, str] | None = None, null_value: str = "NA", encoding: str = "UTF-8", header: bool = True) -> DataFrame:
     """Delimited text with an explicit schema: strings, save where `types` says otherwise; no inference, so no second pass.
@@ -20,8 +24,10 @@ def read_delimited(spark: SparkSession, path: str, columns: Iterable[str], sep:
     values that do not fit their type are null.
     """
     types = types or {}
+    western = encoding.lower() in ("windows-1252", "cp1252")  # Spark reads Latin-1, which differs in 27 characters
     schema = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in columns)
-    return spark.read.csv(path, schema=schema, sep=sep, header=header, nullValue=null_value, encoding=encoding, mode="PERMISSIVE", multiLine=False, escape='"', enforceSchema=True)
+    df = spark.read.csv(path, schema=schema, sep=sep, header=header, nullValue=null_value, encoding="ISO-8859-1" if western else encoding, mode="PERMISSIVE", multiLine=False, escape='"', enforceSchema=True)
+    return df.select(*(F.translate(c, _C1, _CP1252).alias(c) if t == "string" else c for c, t in df.dtypes)) if western else df
 
 
 def read_feed_table(spark: SparkSession, path: str) -> DataFrame:
