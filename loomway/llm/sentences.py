@@ -6,6 +6,8 @@ import html
 import re
 import unicodedata
 
+import regex
+
 _TAG = re.compile(r"<(/?)(p|div|br|li|ul|ol|h[1-6]|b|i|em|strong|span|a|td|tr|table)\b[^<>]*>", re.I)
 _BLOCK = re.compile(r"<(/?)(p|div|br|li|ul|ol|h[1-6]|td|tr|table)\b[^<>]*>", re.I)
 _FENCE = re.compile(r"^\s*(```|~~~)")
@@ -17,6 +19,8 @@ _END = re.compile(r"[.!?…](?:[^\w]*|\s+[:;=]-?[A-Z])$")
 _MONTHS = "januar februar märz maerz marz april mai juni juli august september oktober november dezember"
 _SPLIT = re.compile(r"(?<=[.!?…])[»\"”)]*\s+(?!(?<=\d\.\s)(?:" + _MONTHS.replace(" ", "|") + r")\b)(?=[^\s.!?…])", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_HIDDEN = regex.compile(r"[\p{Cf}\x00-\x08\x0a-\x1f\x7f-\x9f]+")
+_ACCENTS = regex.compile(r"\p{M}+")
 _MARKED = re.compile("[ÃÂâ][\u0080-¿€–-™]")
 
 
@@ -65,20 +69,22 @@ def sentences(text: str | None) -> list[str]:
         return []
     out = []
     for line in lines_of(text):
-        if _MARKED.search(line):
-            line = _redecode(line)
-        line = unicodedata.normalize("NFKC", line)
-        line = "".join(c for c in line if c == "\t" or unicodedata.category(c) not in ("Cf", "Cc"))
-        line = _LEAD.sub("", line).strip()
+        if not line.isascii():
+            if _MARKED.search(line):
+                line = _redecode(line)
+            line = unicodedata.normalize("NFKC", line)
+        line = _LEAD.sub("", _HIDDEN.sub("", line)).strip()
         if not line or line[0] in "[|" or not _END.search(line):
             continue
         for s in _SPLIT.split(line):
-            if len([w for w in _WORD.findall(s) if not w.isdigit()]) >= 2:
+            if sum(not w.isdigit() for w in _WORD.findall(s)) >= 2:
                 out.append(s)
     return out
 
 
 def words(sentence: str) -> list[str]:
     """Lower-case words without accents; a number is one word for all."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", sentence.lower()) if not unicodedata.combining(c)).replace("ß", "ss")
+    plain = sentence.lower()
+    if not plain.isascii():
+        plain = _ACCENTS.sub("", unicodedata.normalize("NFKD", plain)).replace("ß", "ss")
     return ["0" if w.isdigit() else w[:40] for w in _WORD.findall(plain)]
