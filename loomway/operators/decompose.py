@@ -109,3 +109,28 @@ def smallest_first_merge(counts: dict[int, int], least: int) -> dict[int, int]:
         lo, hi = sorted((i, j))
         clusters[lo : hi + 1] = [clusters[lo] + clusters[hi]]
     return {k: c[0] for c in clusters for k in c}
+
+
+def to_target_mix(cells: DataFrame, target: DataFrame) -> DataFrame:
+    """(survey, value, lost_share): each sample's mean at a given mix of cells.
+
+    `cells` has (survey, cell, weight, total), `target` (cell, share). Shares
+    of cells that a sample lacks are lost and the others scaled up.
+    """
+    x = target.crossJoin(F.broadcast(cells.select("survey").distinct())).join(cells, ["survey", "cell"], "left")
+    have = F.col("weight") > 0
+    s = F.when(have, F.col("share"))
+    return x.groupBy("survey").agg(safe_div(F.sum(s * F.col("total") / F.col("weight")), F.sum(s)).alias("value"), (1 - safe_div(F.sum(s), F.sum("share"))).alias("lost_share"))
+
+
+def collapse_cells(counts: dict[tuple[int, int], tuple[int, int]], least: int) -> dict[tuple[int, int], int]:
+    """Two-way cells (row, level) joined along their row's levels until each has `least` rows in both samples.
+
+    A row whose whole is too small becomes one cell. Takes a few dozen counts.
+    """
+    out: dict[tuple[int, int], int] = {}
+    for row in sorted({r for r, _ in counts}):
+        levels = {lv: min(c) for (r, lv), c in counts.items() if r == row}
+        merged = smallest_first_merge(levels, least)
+        out |= {(row, lv): m for lv, m in merged.items()}
+    return out

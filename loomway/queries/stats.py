@@ -350,8 +350,7 @@ def x_level_merge(spark: SparkSession, folder: str) -> DataFrame:
 def x_slope(spark: SparkSession, folder: str) -> DataFrame:
     """Unweighted slope of minutes on trips, from the sums of least squares."""
     out = wls(days(spark, folder), F.col("x"), F.lit(1.0), {"constant": F.lit(1.0), "n": F.col("n")}, ["survey"])
-    rows = [(r["survey"], round(r["estimate"], 8), r["n"]) for r in out if r["term"] == "n"]
-    return spark.createDataFrame(rows, "survey string, slope_unweighted double, n long")
+    return out.where("term = 'n'").select("survey", F.round("estimate", 8).alias("slope_unweighted"), "n")
 
 
 @query()
@@ -362,7 +361,7 @@ def x_wls(spark: SparkSession, folder: str) -> DataFrame:
     cols = {"constant": F.lit(1.0), "survey_b": flag(F.col("survey") == "b"), **{f"mode_{m}": flag(F.col("mode") == m) for m in ("car_passenger", "urban_pt", "cycle", "multimodal", "walking_only")}, **{f"band_{b}": flag(F.col("band") == b) for b in ("6-14", "15-24", "50-64", "65-74", "75+")}}
     cols["survey_b:cycle"] = cols["survey_b"] * cols["mode_cycle"]
     cols["twice"] = cols["survey_b"] * 2  # depends on another column: no estimate
-    return spark.createDataFrame([(r["term"], r["estimate"], r["n"]) for r in wls(d, F.ln("x"), F.col("w"), cols)], "term string, estimate double, n long")
+    return wls(d, F.ln("x"), F.col("w"), cols)
 
 
 # --- rounding, clocks, bands, matrices

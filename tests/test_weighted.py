@@ -135,7 +135,8 @@ def test_wls_against_numpy(spark):
     x, w = r.normal(size=(300, 2)), r.uniform(0.1, 2, 300)
     y = 1 + 2 * x[:, 0] - x[:, 1] + r.normal(size=300) * 0.1
     df = spark.createDataFrame([(float(a), float(b), float(c), float(d)) for a, b, c, d in zip(x[:, 0], x[:, 1], y, w)] + [(None, 1.0, 1.0, 1.0)], "a double, b double, y double, w double")
-    got = {d["term"]: d["estimate"] for d in wls(df, F.col("y"), F.col("w"), {"one": F.lit(1.0), "a": F.col("a"), "b": F.col("b"), "twice": F.col("a") * 2})}
+    got = {d["term"]: d["estimate"] for d in wls(df, F.col("y"), F.col("w"), {"one": F.lit(1.0), "a": F.col("a"), "b": F.col("b"), "twice": F.col("a") * 2}).collect()}
     X = np.c_[np.ones(300), x]
     want = np.linalg.solve(X.T @ (X * w[:, None]), X.T @ (w * y))
     assert [got["one"], got["a"], got["b"]] == pytest.approx(list(want)) and got["twice"] is None
+    assert wls(df.limit(0), F.col("y"), F.col("w"), {"one": F.lit(1.0)}).count() == 0
