@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomway.functions.exprs import iso_weekday, safe_div
 from loomway.operators.relational import keep_best
+from loomway.session import cut
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 GUIDED = ("tram", "metro", "rail")
@@ -87,14 +88,16 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     dropped, and an end with at least k uncovered stops is cut on guided and
     express lines.
 
-    Distances are filtered once at the largest radius; thresholds come later.
+    Distances are filtered once at the largest radius and kept, as patterns
+    are: all grid points read them again. Thresholds come later.
     """
     spark = stops.sparkSession
     grid = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
     r, s, k, t = grid("r", radii, "double"), grid("share", shares, "double"), grid("k", ks, "int"), grid("theta", thetas, "double")
     pk = ["network", "pattern_id"]
-    meta = stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n"))
-    near = distances.where("in_service").select(*pk, "ordinal", "relation_id", "distance_m").join(meta.select(*pk, "mode"), pk)
+    meta = cut(stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n")))
+    most = max(*radii, FERRY_RADIUS_M)
+    near = cut(distances.where(F.col("in_service") & (F.col("distance_m") <= most)).select(*pk, "ordinal", "relation_id", "distance_m").join(meta.select(*pk, "mode"), pk))
     reach = F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.col("r"))
     # The grids are parameters, a few values each.
     hit = near.crossJoin(F.broadcast(r)).where(F.col("distance_m") <= reach)
@@ -111,13 +114,14 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     points = meta.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).join(matched, [*pk, "r", "share"], "left")
     # Networks are few: a window over each would put one in a task, an aggregate and a join don't.
     status = points.groupBy("network", "r", "share").agg((F.count("matched") * 2 >= F.count("*")).alias("testable"))
-    own = hit.join(matches, [*pk, "r", "relation_id"]).select(*pk, "r", "share", "ordinal").distinct().withColumn("own", F.lit(True))
-    track = hit.where(F.col("mode").isin(*GUIDED)).select(*pk, "r", "ordinal").distinct().withColumn("track", F.lit(True))
-    flags = stops.select(*pk, "ordinal", "mode").crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).join(own, [*pk, "r", "share", "ordinal"], "left").join(track, [*pk, "r", "ordinal"], "left")
-    flags = flags.withColumn("covered", F.coalesce(F.when(F.col("mode").isin(*GUIDED), F.col("track")).otherwise(F.col("own")), F.lit(False)))
-    c = F.col("covered")
-    ends = flags.groupBy(*pk, "r", "share").agg(F.count("*").alias("n"), F.count(F.when(c, 1)).alias("covered"), F.min(F.when(c, F.col("ordinal"))).alias("first"), F.max(F.when(c, F.col("ordinal"))).alias("last"))
-    rows = ends.join(meta.drop("n"), pk).join(status, ["network", "r", "share"]).crossJoin(F.broadcast(k))
+    # First, last and number of covered stops come from the hits alone: no row for each stop and grid point.
+    found = lambda x: [F.count_distinct("ordinal").alias(f"n_{x}"), F.min("ordinal").alias(f"first_{x}"), F.max("ordinal").alias(f"last_{x}")]
+    own = hit.join(matches, [*pk, "r", "relation_id"]).groupBy(*pk, "r", "share").agg(*found("own"))
+    track = hit.where(F.col("mode").isin(*GUIDED)).groupBy(*pk, "r").agg(*found("track"))
+    pick = lambda x: F.when(F.col("mode").isin(*GUIDED), F.col(f"{x}_track")).otherwise(F.col(f"{x}_own"))
+    ends = points.join(own, [*pk, "r", "share"], "left").join(track, [*pk, "r"], "left").withColumns({"covered": F.coalesce(pick("n"), F.lit(0).cast("long")), "first": pick("first"), "last": pick("last")})
+    # Networks are few.
+    rows = ends.join(status, ["network", "r", "share"]).crossJoin(F.broadcast(k))
     cuts = F.col("mode").isin(*GUIDED) | ((F.col("mode") == "bus") & F.coalesce(F.col("express"), F.lit(False)))
     start = F.when(cuts & (F.coalesce(F.col("first") - 1, F.col("n")) >= F.col("k")), F.coalesce("first", F.col("n") + 1)).otherwise(1)
     end = F.when(cuts & (F.coalesce(F.col("n") - F.col("last"), F.col("n")) >= F.col("k")), F.coalesce(F.col("last"), F.lit(0))).otherwise(F.col("n"))

@@ -18,6 +18,7 @@ from loomway.operators.packed import unpack
 from loomway.operators.relational import band_join, first_per_key
 from loomway.queries.base import TRIPS, key_sql, registry, trips
 from loomway.queries.survey import _MODE
+from loomway.session import cut
 from loomway.tables import table
 
 QUERIES, SQL, query = registry()
@@ -149,7 +150,7 @@ def t_grid_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     c = _chain(spark, folder)
     mode = F.when(F.col("mode_group") == "urban_pt", "tram").when(F.col("mode_group") == "train", "rail").otherwise("bus")
     gap = F.abs(F.pmod(F.col("arrival_s") - F.col("departure_s"), F.lit(86400)) / 60.0 - F.when(finite(F.col("duration_min")), F.col("duration_min")))
-    base = c.select(F.col("survey").alias("network"), F.col("day_id").alias("pattern_id"), "ordinal", mode.alias("smode"), F.coalesce("is_loop_trip", F.lit(False)).alias("express"), F.col("mode_group").alias("relation_id"), (F.col("mobloc") == 1).alias("in_service"), gap.alias("distance_m"), "duration_min")
+    base = cut(c.select(F.col("survey").alias("network"), F.col("day_id").alias("pattern_id"), "ordinal", mode.alias("smode"), F.coalesce("is_loop_trip", F.lit(False)).alias("express"), F.col("mode_group").alias("relation_id"), (F.col("mobloc") == 1).alias("in_service"), gap.alias("distance_m"), "duration_min"))
     one = base.groupBy("network", "pattern_id").agg(F.min("smode").alias("mode"))
     stops = base.select("network", "pattern_id", "ordinal", "express").join(one, ["network", "pattern_id"])
     names = base.where("duration_min > 20").groupBy("network", "pattern_id", "relation_id").agg(F.count("*").alias("affiliation"))
