@@ -16,7 +16,8 @@ from loomway.queries.base import DAYS, TRIPS, days, registry, trips
 
 QUERIES, SQL, query = registry()
 
-REPS = 20
+#: Household draws of a survey: the production value (config/zahavi_modes.yaml).
+REPS = 200
 
 # --- distributions
 
