@@ -72,12 +72,14 @@ def opens_after(value: Column, snapshot: Column) -> Column:
     return F.coalesce(value.try_cast("date") > snapshot, F.lit(False)) | F.coalesce(year > F.year(snapshot), F.lit(False))
 
 
-def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radii: Sequence[float], shares: Sequence[float], ks: Sequence[int], thetas: Sequence[float]) -> DataFrame:
+def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radii: Sequence[float], shares: Sequence[float], ks: Sequence[int], thetas: Sequence[float], dates: Sequence[date] | None = None) -> DataFrame:
     """Outcome of every pattern at every point of a parameter grid, as one plan.
 
     stops: (network, pattern_id, mode, express, ordinal); distances: (network,
     pattern_id, ordinal, relation_id, in_service, distance_m), one row per stop
-    and relation; names: (network, pattern_id, relation_id, affiliation).
+    and relation; names: (network, pattern_id, relation_id, affiliation). With
+    `dates` the grid has that dimension too: distances and names then carry the
+    `date` they hold on, and the outcomes their own.
 
     A pattern takes the relations of its name with the best affiliation; for
     buses and ferries only where they cover HOMONYM_SHARE of its stops. Without
@@ -94,34 +96,37 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     spark = stops.sparkSession
     grid = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
     r, s, k, t = grid("r", radii, "double"), grid("share", shares, "double"), grid("k", ks, "int"), grid("theta", thetas, "double")
-    pk = ["network", "pattern_id"]
+    pk, on = ["network", "pattern_id"], ["date"] if dates else []
+    dpk = [*on, *pk]
+    days = grid("date", dates, "date") if dates else None
+    at_dates = lambda df: df.crossJoin(F.broadcast(days)) if dates else df
     meta = cut(stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n")))
     most = max(*radii, FERRY_RADIUS_M)
-    near = cut(distances.where(F.col("in_service") & (F.col("distance_m") <= most)).select(*pk, "ordinal", "relation_id", "distance_m").join(meta.select(*pk, "mode"), pk))
+    near = cut(distances.where(F.col("in_service") & (F.col("distance_m") <= most)).select(*dpk, "ordinal", "relation_id", "distance_m").join(meta.select(*pk, "mode"), pk))
     reach = F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.col("r"))
     # The grids are parameters, a few values each.
     hit = near.crossJoin(F.broadcast(r)).where(F.col("distance_m") <= reach)
-    covered = hit.groupBy(*pk, "r", "relation_id").agg(F.count_distinct("ordinal").alias("c")).join(meta, pk).select(*pk, "mode", "r", "relation_id", (F.col("c") / F.col("n")).alias("covered_share"))
-    named = keep_best(names, pk, F.col("affiliation")).select(*pk, "relation_id").distinct()
-    name_hits = hit.join(named, [*pk, "relation_id"]).groupBy(*pk, "r").agg(F.count_distinct("ordinal").alias("c"))
+    covered = hit.groupBy(*dpk, "r", "relation_id").agg(F.count_distinct("ordinal").alias("c")).join(meta, pk).select(*dpk, "mode", "r", "relation_id", (F.col("c") / F.col("n")).alias("covered_share"))
+    named = keep_best(names, dpk, F.col("affiliation")).select(*dpk, "relation_id").distinct()
+    name_hits = hit.join(named, [*dpk, "relation_id"]).groupBy(*dpk, "r").agg(F.count_distinct("ordinal").alias("c"))
     loose = F.col("mode").isin("bus", "ferry")
-    with_name = named.select(*pk).distinct().join(meta, pk).crossJoin(F.broadcast(r)).join(name_hits, [*pk, "r"], "left").withColumn("name_share", F.coalesce(F.col("c") / F.col("n"), F.lit(0.0))).where(~loose | (F.col("name_share") >= HOMONYM_SHARE)).select(*pk, "r")
-    by_name = named.join(with_name, pk).crossJoin(F.broadcast(s)).select(*pk, "r", "share", "relation_id")
-    free = covered.join(with_name, [*pk, "r"], "left_anti").crossJoin(F.broadcast(s)).where("covered_share >= share")
-    by_shape = keep_best(free, [*pk, "r", "share"], F.col("covered_share")).select(*pk, "r", "share", "relation_id")
+    with_name = named.select(*dpk).distinct().join(meta, pk).crossJoin(F.broadcast(r)).join(name_hits, [*dpk, "r"], "left").withColumn("name_share", F.coalesce(F.col("c") / F.col("n"), F.lit(0.0))).where(~loose | (F.col("name_share") >= HOMONYM_SHARE)).select(*dpk, "r")
+    by_name = named.join(with_name, dpk).crossJoin(F.broadcast(s)).select(*dpk, "r", "share", "relation_id")
+    free = covered.join(with_name, [*dpk, "r"], "left_anti").crossJoin(F.broadcast(s)).where("covered_share >= share")
+    by_shape = keep_best(free, [*dpk, "r", "share"], F.col("covered_share")).select(*dpk, "r", "share", "relation_id")
     matches = by_name.unionByName(by_shape)
-    matched = matches.select(*pk, "r", "share").distinct().withColumn("matched", F.lit(1))
-    points = meta.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).join(matched, [*pk, "r", "share"], "left")
+    matched = matches.select(*dpk, "r", "share").distinct().withColumn("matched", F.lit(1))
+    points = at_dates(meta).crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).join(matched, [*dpk, "r", "share"], "left")
     # Networks are few: a window over each would put one in a task, an aggregate and a join don't.
-    status = points.groupBy("network", "r", "share").agg((F.count("matched") * 2 >= F.count("*")).alias("testable"))
+    status = points.groupBy(*on, "network", "r", "share").agg((F.count("matched") * 2 >= F.count("*")).alias("testable"))
     # First, last and number of covered stops come from the hits alone: no row for each stop and grid point.
     found = lambda x: [F.count_distinct("ordinal").alias(f"n_{x}"), F.min("ordinal").alias(f"first_{x}"), F.max("ordinal").alias(f"last_{x}")]
-    own = hit.join(matches, [*pk, "r", "relation_id"]).groupBy(*pk, "r", "share").agg(*found("own"))
-    track = hit.where(F.col("mode").isin(*GUIDED)).groupBy(*pk, "r").agg(*found("track"))
+    own = hit.join(matches, [*dpk, "r", "relation_id"]).groupBy(*dpk, "r", "share").agg(*found("own"))
+    track = hit.where(F.col("mode").isin(*GUIDED)).groupBy(*dpk, "r").agg(*found("track"))
     pick = lambda x: F.when(F.col("mode").isin(*GUIDED), F.col(f"{x}_track")).otherwise(F.col(f"{x}_own"))
-    ends = points.join(own, [*pk, "r", "share"], "left").join(track, [*pk, "r"], "left").withColumns({"covered": F.coalesce(pick("n"), F.lit(0).cast("long")), "first": pick("first"), "last": pick("last")})
+    ends = points.join(own, [*dpk, "r", "share"], "left").join(track, [*dpk, "r"], "left").withColumns({"covered": F.coalesce(pick("n"), F.lit(0).cast("long")), "first": pick("first"), "last": pick("last")})
     # Networks are few.
-    rows = ends.join(status, ["network", "r", "share"]).crossJoin(F.broadcast(k))
+    rows = ends.join(status, [*on, "network", "r", "share"]).crossJoin(F.broadcast(k))
     cuts = F.col("mode").isin(*GUIDED) | ((F.col("mode") == "bus") & F.coalesce(F.col("express"), F.lit(False)))
     start = F.when(cuts & (F.coalesce(F.col("first") - 1, F.col("n")) >= F.col("k")), F.coalesce("first", F.col("n") + 1)).otherwise(1)
     end = F.when(cuts & (F.coalesce(F.col("n") - F.col("last"), F.col("n")) >= F.col("k")), F.coalesce(F.col("last"), F.lit(0))).otherwise(F.col("n"))
@@ -130,7 +135,7 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     # All covered stops lie between the first and the last, so cutting loses none.
     remaining = F.coalesce(safe_div(F.col("covered"), left), F.lit(0.0))
     outcome = F.when(~F.col("testable"), "not-testable").when((left < 2) | (remaining < F.col("theta")), "dropped").when(left < F.col("n"), "cut").otherwise("kept")
-    return rows.select(*pk, "r", "share", "k", "theta", "n", "covered", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), outcome.alias("outcome"))
+    return rows.select(*dpk, "r", "share", "k", "theta", "n", "covered", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), outcome.alias("outcome"))
 
 
 def scores(predicted: Column, actual: Column) -> dict[str, Column]:

@@ -144,26 +144,36 @@ _T17 = f"""{_CHAIN}, stops as (select survey as network, day_id as pattern_id, c
     bo as (select en.*, k, testable, case when (mode in ('tram', 'metro', 'rail') or (mode = 'bus' and express)) and coalesce(f - 1, n) >= k then coalesce(f, n + 1) else 1 end as s0, case when (mode in ('tram', 'metro', 'rail') or (mode = 'bus' and express)) and coalesce(n - l, n) >= k then coalesce(l, 0) else n end as e0 from en join st using (network, r, share), k)"""
 
 
+#: The calibration grid (gtfs_rebuild.yaml): shares, k and theta are its own; minutes stand for its radii of 25, 50 and 100 m, and the dates lie within and after the loads.
+GRID = {"dates": (date(2008, 1, 1), date(2019, 1, 1), date(2021, 1, 1)), "radii": (0.0, 1.0, 5.0), "shares": (0.3, 0.5, 0.7), "ks": (1, 2, 3), "thetas": (0.5, 0.6, 0.7, 0.8, 0.9)}
+
+
 @query(f"with {_T17} select network, pattern_id, r, share, k, theta, n, covered, s0::bigint as start_idx, e0::bigint as end_idx, case when not testable then 'not-testable' when greatest(0, e0 - s0 + 1) < 2 or coalesce(covered / nullif(greatest(0, e0 - s0 + 1), 0), 0) < theta then 'dropped' when e0 - s0 + 1 < n then 'cut' else 'kept' end as outcome from bo, t")
 def t_grid_evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    """All chains at all points of a grid of radius, share, k and theta, in one plan."""
+    """All chains at all 405 points of the grid of date, radius, share, k and theta, in one plan.
+
+    On a date there is what was loaded before it. The SQL has 24 points
+    without a date: those of GRID among them are GRID's last date.
+    """
     c = _chain(spark, folder)
     mode = F.when(F.col("mode_group") == "urban_pt", "tram").when(F.col("mode_group") == "train", "rail").otherwise("bus")
     gap = F.abs(F.pmod(F.col("arrival_s") - F.col("departure_s"), F.lit(86400)) / 60.0 - F.when(finite(F.col("duration_min")), F.col("duration_min")))
-    base = cut(c.select(F.col("survey").alias("network"), F.col("day_id").alias("pattern_id"), "ordinal", mode.alias("smode"), F.coalesce("is_loop_trip", F.lit(False)).alias("express"), F.col("mode_group").alias("relation_id"), (F.col("mobloc") == 1).alias("in_service"), gap.alias("distance_m"), "duration_min"))
+    base = cut(c.select(F.col("survey").alias("network"), F.col("day_id").alias("pattern_id"), "ordinal", mode.alias("smode"), F.coalesce("is_loop_trip", F.lit(False)).alias("express"), F.col("mode_group").alias("relation_id"), (F.col("mobloc") == 1).alias("in_service"), gap.alias("distance_m"), "duration_min", "loaded_at"))
     one = base.groupBy("network", "pattern_id").agg(F.min("smode").alias("mode"))
     stops = base.select("network", "pattern_id", "ordinal", "express").join(one, ["network", "pattern_id"])
-    names = base.where("duration_min > 20").groupBy("network", "pattern_id", "relation_id").agg(F.count("*").alias("affiliation"))
-    return feeds.evaluate_grid(stops, base.where("distance_m is not null"), names, (0.0, 1.0, 5.0), (0.3, 0.6), (1, 2), (0.4, 0.7))
+    dated = base.crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in GRID["dates"]], "date date"))).where(F.col("loaded_at") < F.col("date"))
+    names = dated.where("duration_min > 20").groupBy("date", "network", "pattern_id", "relation_id").agg(F.count("*").alias("affiliation"))
+    return feeds.evaluate_grid(stops, dated.where("distance_m is not null"), names, **GRID)
 
 
 @query(f"with {_T17}, oc as (select network, pattern_id, r, share, k, theta, n, case when not testable then 'not-testable' when greatest(0, e0 - s0 + 1) < 2 or coalesce(covered / nullif(greatest(0, e0 - s0 + 1), 0), 0) < theta then 'dropped' when e0 - s0 + 1 < n then 'cut' else 'kept' end as outcome from bo, t), sc as (select r, share, k, theta, count(*) filter (where outcome in ('kept', 'cut') and n > 3) as tp, count(*) filter (where outcome in ('kept', 'cut') and n <= 3) as fp, count(*) filter (where outcome not in ('kept', 'cut') and n > 3) as fn, count(*) filter (where outcome not in ('kept', 'cut') and n <= 3) as tn from oc group by all) select r, share, k, theta, tp, fp, fn, tn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) as f1, row_number() over (order by round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) desc nulls last, fp, r, share, k, theta)::int as place from sc")
 def t_grid_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Confusion counts and F1 of each grid point, ranked; the grid has two dozen points."""
+    """Confusion counts and F1 of each of the 405 grid points, ranked."""
+    point = ("date", "r", "share", "k", "theta")
     o = t_grid_evaluation(spark, folder)
     sc = feeds.scores(F.col("outcome").isin("kept", "cut"), F.col("n") > 3)
-    g = o.groupBy("r", "share", "k", "theta").agg(*(sc[x].alias(x) for x in ("tp", "fp", "fn", "tn")), F.round(sc["f1"], 8).alias("f1"))
-    return g.withColumn("place", F.row_number().over(W.orderBy(F.col("f1").desc_nulls_last(), "fp", "r", "share", "k", "theta")))
+    g = o.groupBy(*point).agg(*(sc[x].alias(x) for x in ("tp", "fp", "fn", "tn")), F.round(sc["f1"], 8).alias("f1"))
+    return g.withColumn("place", F.row_number().over(W.orderBy(F.col("f1").desc_nulls_last(), "fp", *point)))
 
 
 # --- text keys, openings and edits
