@@ -14,6 +14,16 @@ from loomway.operators import chains
 #: Indicators as ratios of component sums.
 INDICATORS = {"minutes_per_day": ("minutes", "days"), "trips_per_day": ("trips", "days"), "km_per_day": ("km", "days"), "minutes_per_trip": ("minutes", "trips"), "speed_kmh": ("km", "hours")}
 
+#: Sums per household of the whole cube: person-weekdays, weighted described weekdays (left out by the day switch, kept, kept with trips), and weighted trips of kept days, each sum beside the weight of the trips it is known of.
+COMPONENTS = ("universe", "dropped", "kept", "travel", "trips", "minutes", "minute_trips", "producer_km", "producer_trips", "crow_km", "crow_trips")
+#: The eight indicators of the whole cube; person_days are the universe without dropped days.
+CUBE_INDICATORS = {
+    "person_days_kept_share": ("person_days", "universe"), "trips_per_day": ("trips", "travel"), "minutes_per_trip": ("minutes", "minute_trips"),
+    "km_per_trip_producer": ("producer_km", "producer_trips"), "km_per_trip_crow_fly": ("crow_km", "crow_trips"),
+    "minutes_per_day_day": ("minutes", "kept"), "minutes_per_day_travel_day": ("minutes", "travel"), "minutes_per_day_person": ("minutes", "person_days"),
+}
+WEEKDAYS = 5
+
 
 def components(scoped: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> DataFrame:
     """(scope, survey, hh, category, component sums) from scope_trips(): one pass over the trips for all scopes.
@@ -28,15 +38,39 @@ def components(scoped: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> Data
     return per_day.groupBy("scope", "survey", "hh", "category").agg(F.sum(w).alias("days"), F.sum(w * F.col("n")).alias("trips"), F.sum(w * F.col("m")).alias("minutes"), F.sum(w * F.col("k")).alias("km"), F.sum(w * F.col("m") / 60).alias("hours"), F.count("*").alias("rows"))
 
 
-def cube(parts: DataFrame, draws: DataFrame | None = None, reps: int = 0, level: float = 0.95) -> DataFrame:
+def cube_components(scoped: DataFrame, roster: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> DataFrame:
+    """(scope, survey, hh, category, COMPONENTS, rows) of weekdays; rows counts the kept days with trips.
+
+    scoped: scope_trips() with survey, hh, category, w, minutes, producer_km and
+    crow_km, null where unknown; roster: (survey, hh, category, w) of all persons.
+    Every described day is there for all scopes, whether a trip of it is selected or not.
+    """
+    known = ("minutes", "minute_trips"), ("producer_km", "producer_trips"), ("crow_km", "crow_trips")
+    src = {"minutes": "minutes", "producer_km": "producer_km", "crow_km": "crow_km"}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    per = lambda f: [F.count(F.when(f, 1)).cast("double").alias("trips"), *(x for v, n in known for x in (zero(F.sum(F.when(f, F.col(src[v])))).alias(v), F.count(F.when(f, F.col(src[v]))).cast("double").alias(n)))]
+    days = scoped.where("typejour = 1 and w > 0").groupBy("survey", "day_id").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max("w").alias("w"), F.bool_or("is_round").alias("is_round"), *(F.struct(*per(chains.scope_filter(s))).alias(f"_{i}") for i, s in enumerate(scopes)))
+    kept = lambda s: F.col("is_round") if s.startswith("round") else F.lit(True)
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), kept(s).alias("is_kept"), F.col(f"_{i}").alias("t")) for i, s in enumerate(scopes))))
+    day = days.select("survey", "hh", "category", "w", each.alias("z")).select("survey", "hh", "category", "w", "z.scope", "z.is_kept", "z.t.*")
+    w, k = F.col("w"), F.col("is_kept")
+    travel = k & (F.col("trips") > 0)
+    of = {"universe": F.lit(0.0), "dropped": F.when(~k, w), "kept": F.when(k, w), "travel": F.when(travel, w), **{c: F.when(k, w * F.col(c)) for c in COMPONENTS[4:]}}
+    keys = ["scope", "survey", "hh", "category"]
+    lived = day.groupBy(*keys).agg(*(zero(F.sum(c)).alias(n) for n, c in of.items()), F.count(F.when(travel, 1)).alias("rows"))
+    people = roster.groupBy("survey", "hh", "category").agg(F.sum(WEEKDAYS * w).alias("universe")).withColumn("scope", F.explode(F.array(*(F.lit(s) for s in scopes))))
+    people = people.select(*keys, "universe", *(F.lit(0.0).alias(c) for c in COMPONENTS[1:]), F.lit(0).cast("long").alias("rows"))
+    return lived.unionByName(people).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*COMPONENTS, "rows")))
+
+
+def cube(parts: DataFrame, draws: DataFrame | None = None, reps: int = 0, level: float = 0.95, indicators: dict[str, tuple[str, str]] = INDICATORS, names: Sequence[str] = ("days", "trips", "minutes", "km", "hours"), derived: dict[str, Column] | None = None) -> DataFrame:
     """(scope, survey, category, indicator, n, value, low, high): point estimates, and intervals where there are draws.
 
     Draws are (survey, hh, rep, mult), shared by all scopes, so that scopes can
     be compared replicate by replicate.
     """
     keys = ["scope", "survey", "category"]
-    names = ("days", "trips", "minutes", "km", "hours")
-    long = lambda df, extra: df.select(*keys, *extra, F.explode(F.array(*(F.struct(F.lit(i).alias("indicator"), safe_div(F.col(a), F.col(b)).alias("value")) for i, (a, b) in INDICATORS.items()))).alias("z")).select(*keys, *extra, "z.*")
+    long = lambda df, extra: df.withColumns(derived or {}).select(*keys, *extra, F.explode(F.array(*(F.struct(F.lit(i).alias("indicator"), safe_div(F.col(a), F.col(b)).alias("value")) for i, (a, b) in indicators.items()))).alias("z")).select(*keys, *extra, "z.*")
     point = long(parts.groupBy(*keys).agg(F.sum("rows").alias("n"), *(F.sum(c).alias(c) for c in names)), ["n"])
     if draws is None:
         return point

@@ -8,16 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomway.functions.exprs import finite, safe_div
+from loomway.functions.exprs import finite, norm_key, safe_div
 from loomway.operators import bootstrap as bs
 from loomway.operators import chains
 from loomway.operators import decompose as dc
 from loomway.operators import weighted as wt
-from loomway.plans.scope_cube import INDICATORS, components, cube
+from loomway.operators.relational import first_per_key
+from loomway.plans.scope_cube import COMPONENTS, CUBE_INDICATORS, INDICATORS, components, cube, cube_components
 from loomway.queries.base import DAYS, TRIPS, days, registry, trips
 from loomway.queries.stats import _BOTH, REPS
 from loomway.queries.survey import _SCOPED, _scope_sql, _scoped
-from loomway.session import checkpoint_dir
+from loomway.session import checkpoint_dir, cut
 from loomway.sources import sinks
 from loomway.tables import table
 
@@ -41,6 +42,22 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     return components(rows.withColumns({"hh": F.coalesce("hh", F.lit("none")), "category": F.coalesce("age_band", F.lit("unknown")), "w": F.col("pond_jour"), "minutes": d, "km": km}))
 
 
+def _cube_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Crow-fly distances are in the raw trips of 2008 (J) only. 2008 has a roster of persons; that of 2019 (P) are the persons of its trips."""
+    known = lambda c, ok: F.when(finite(F.col(c)) & ok, F.col(c))
+    crow = first_per_key(table(spark, folder, "k_deploc", "rec_id", "ident_dep", "v2_dvo_loc").where("ident_dep is not null"), ["ident_dep"], ["rec_id"]).select("ident_dep", "v2_dvo_loc")
+    t = _scoped(spark, folder).withColumns({"hh": F.coalesce("hh", F.lit("none")), "category": F.coalesce("age_band", F.lit("unknown")), "person": norm_key(F.col("ident_ind"))})
+    rows = t.where(finite(F.col("pond_jour"))).join(crow, "ident_dep", "left")
+    d, km, cf = "duration_min", "distance_km_declared", "v2_dvo_loc"
+    rows = rows.withColumns({"w": F.col("pond_jour"), "minutes": known(d, F.col(d).between(0, 1440)), "producer_km": known(km, F.col(km) >= 0), "crow_km": known(cf, F.col(cf) >= 0)})
+    mine = t.where("person is not null").groupBy("survey", "person").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max(F.when(finite(F.col("pond_ind")), F.col("pond_ind"))).alias("w"))
+    i = table(spark, folder, "k_individu", "rec_id", "ident_ind", "ident_men", "pondki", "deleted_at").where("deleted_at is null").withColumn("person", norm_key(F.col("ident_ind"))).where("person is not null")
+    i = first_per_key(i, ["person"], ["rec_id"]).select("person", F.coalesce(norm_key(F.col("ident_men")), F.lit("none")).alias("hh"), F.when(finite(F.col("pondki")), F.col("pondki")).alias("w"))
+    j = i.join(mine.where("survey = 'J'").select("person", "category"), "person", "left").select(F.lit("J").alias("survey"), "hh", F.coalesce("category", F.lit("unknown")).alias("category"), "w")
+    roster = j.unionByName(mine.where("survey = 'P'").select("survey", "hh", "category", "w")).where("w > 0")
+    return cube_components(rows, roster)
+
+
 def _draws(name: str, survey: str, offset: int) -> str:
     r = f"(r + {offset})"
     return f"""{name}_hh as (select hh, row_number() over (order by hh) - 1 as idx from (select distinct hh from parts where survey = '{survey}')), {name}_n as (select count(*)::bigint as n from {name}_hh),
@@ -54,10 +71,10 @@ def _draws(name: str, survey: str, offset: int) -> str:
     select scope, survey, category, indicator, n, case when n >= 50 then round(value, 6) end as value, case when n >= 50 and valid >= {0.95 * REPS} then round(low, 6) end as low, case when n >= 50 and valid >= {0.95 * REPS} then round(high, 6) end as high from pl left join ci using (scope, survey, category, indicator)"""
 )
 def y_scope_cube(spark: SparkSession, folder: str) -> DataFrame:
-    """Eight scopes, two surveys, age bands, five indicators, with household-bootstrap intervals."""
-    parts = _parts(spark, folder)
+    """Eight scopes, two surveys, age bands, eight indicators of weekdays, with household-bootstrap intervals."""
+    parts = cut(_cube_parts(spark, folder))  # read by the draws of both surveys, the point estimates and the replicates
     one = lambda s, o: bs.draws(parts.where(F.col("survey") == s), "hh", REPS, o).withColumn("survey", F.lit(s))
-    out = cube(parts, one("J", 0).unionByName(one("P", 1000)), REPS)
+    out = cube(parts, one("J", 0).unionByName(one("P", 1000)), REPS, indicators=CUBE_INDICATORS, names=COMPONENTS, derived={"person_days": F.col("universe") - F.col("dropped")})
     return out.select("scope", "survey", "category", "indicator", "n", *(F.round(c, 6).alias(c) for c in ("value", "low", "high")))
 
 
