@@ -160,6 +160,35 @@ def unique_match(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return candidates.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where("_n = 1").drop("_n")
 
 
+def match_openings(lines: DataFrame, candidates: DataFrame, refs: DataFrame) -> DataFrame:
+    """(rec_id, network, key, candidate, pos, how): one row for every line, how being exact, stop-confirmed, ambiguous or none.
+
+    lines: (rec_id, opening, network, key, families, hints); candidates: one row
+    per opening (opening, network, families, names, candidate); refs: (network,
+    key, opening, pos), an opening's references once each.
+
+    A line takes the one opening of its network that has its key; of several,
+    the one where any hint lies in a stop's name. Without it, it takes the one
+    opening of its network and mode family whose names have every hint, which
+    has no place. An opening's own names are no evidence for it.
+    """
+    other = F.col("l.opening") != F.col("c.opening")
+    found = lambda h: F.exists("names", lambda n: F.contains(n, h))
+    c = candidates.alias("c")
+    pick = F.struct("candidate", "pos")
+    named = lines.alias("l").join(refs.withColumnRenamed("opening", "of").alias("r"), ["network", "key"]).join(c, F.col("of") == F.col("c.opening"))
+    by_stop = other & F.exists("hints", found)
+    per = named.groupBy("rec_id").agg(F.count("*").alias("n"), F.min(pick).alias("one"), F.count(F.when(by_stop, 1)).alias("n_stop"), F.min(F.when(by_stop, pick)).alias("stop"))
+    by_name = lines.join(per, "rec_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "n_stop": F.coalesce("n_stop", F.lit(0))})
+    open_ = by_name.where("n != 1 and n_stop != 1 and size(hints) > 0").select("rec_id", "opening", "network", "families", "hints")
+    every = open_.alias("l").join(c, (F.col("l.network") == F.col("c.network")) & other & F.arrays_overlap("l.families", "c.families")).where(F.forall("hints", found))
+    last = every.groupBy("rec_id").agg(F.count("*").alias("n_all"), F.min("candidate").alias("all"))
+    one, stop, last_one = F.col("n") == 1, F.col("n_stop") == 1, F.coalesce(F.col("n_all") == 1, F.lit(False))
+    take = lambda f, tail: F.when(one, F.col(f"one.{f}")).when(stop, F.col(f"stop.{f}")).when(last_one, tail)
+    how = F.when(one, "exact").when(stop | last_one, "stop-confirmed").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return by_name.join(last, "rec_id", "left").select("rec_id", "network", "key", take("candidate", F.col("all")).alias("candidate"), take("pos", F.lit(None)).alias("pos"), how.alias("how"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], keep_if_same: str, kept: Sequence[str]) -> DataFrame:
     """Records refreshed by id; `kept` columns stay where `keep_if_same` did not change, and are null where it did."""
     o, n = old.alias("o"), new.alias("n")

@@ -190,14 +190,26 @@ def t_text_keys(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("rec_id", normalise_text(F.col("network")).alias("network_key"), normalise_text(F.col("section_from")).alias("from_key"), normalise_ref(F.col("line_2026")).alias("line_key"), is_express_bus(F.col("line_2026"), F.col("mode"), F.col("notes")).alias("express"))
 
 
+#: Mode families of an opening's mode (pt_openings.py).
+_FAMILIES = {"metro": ["metro"], "tram": ["tram"], "tram_train": ["tram", "rail"], "cable": ["metro"], "rail": ["rail"], "bus": ["bus"], "bhns": ["bus"], "trolleybus": ["bus"], "ferry": ["ferry"]}
+
+
 @query()
 def t_opening_matches(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines that occur among their network's candidate references exactly once, with the place they have there."""
-    o = table(spark, folder, "pt_openings_mapping", "rec_id", "network", "line_2026", "candidate_refs")
-    net = lambda: normalise_text(F.col("network")).alias("network")
-    items = unpack(o.withColumn("network", net()), "candidate_refs", ["rec_id", "network"], True).select("network", normalise_ref(F.col("item")).alias("key"), F.col("rec_id").alias("candidate"), "pos")
-    lines = o.select("rec_id", net(), normalise_ref(F.col("line_2026")).alias("key")).where("key != '' and network != ''")
-    return feeds.unique_match(lines.join(items, ["network", "key"]), ["rec_id"]).select("rec_id", "network", "key", "candidate", "pos")
+    """Every line with the opening of its network that has its reference, by name, by any stop hint or by all hints in its mode.
+
+    The tables have no stops of routes: an opening's section ends stand for them.
+    """
+    o = table(spark, folder, "pt_openings_mapping", "rec_id", "opening_id", "network", "mode", "line_2026", "section_from", "section_to", "candidate_refs")
+    mode = F.lower(F.trim("mode"))
+    families = F.coalesce(*(F.when(mode == m, F.array(*map(F.lit, f))) for m, f in _FAMILIES.items()))
+    ends = F.array_distinct(F.filter(F.array(normalise_text(F.col("section_from")), normalise_text(F.col("section_to"))), lambda x: x != ""))
+    o = o.select("rec_id", F.coalesce("opening_id", F.col("rec_id").cast("string")).alias("opening"), normalise_text(F.col("network")).alias("network"), normalise_ref(F.col("line_2026")).alias("key"), families.alias("families"), ends.alias("hints"), "candidate_refs")
+    # An opening may be stored twice: it is one candidate.
+    first = first_per_key(o.where("network != ''"), ["opening"], ["rec_id"])
+    items = unpack(first, "candidate_refs", ["network", "opening"], True).select("network", normalise_ref(F.col("item")).alias("key"), "opening", "pos").where("key != ''")
+    refs = items.groupBy("network", "key", "opening").agg(F.min("pos").alias("pos"))
+    return feeds.match_openings(o.drop("candidate_refs"), first.select("opening", "network", "families", F.col("hints").alias("names"), F.col("rec_id").alias("candidate")), refs)
 
 
 @query(
