@@ -317,9 +317,9 @@ _BOX = "box as (select siren, xmin, ymin, xmax, ymax from epci_polygons where is
 
 @query(f"with {_NODES}, {_BOX} select siren, count(*) as nodes, round(min(sqrt(pow(n.lon - (xmin + xmax) / 2, 2) + pow(n.lat - (ymin + ymax) / 2, 2))), 9) as nearest from nodes n join box b on n.lon between xmin and xmax and n.lat between ymin and ymax group by 1")
 def g_box_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes within each region's box, by a bucketed range join, and the one nearest its middle."""
+    """Nodes within each region's box, however wide, by a bucketed range join, and the one nearest its middle. The SQL leaves out boxes of 3 degrees or more."""
     n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
-    b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")) & (F.col("xmax") - F.col("xmin") < 3))
+    b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")))
     j = band_join(n, b, "lon", "xmin", "xmax", 0.25).where("lat between ymin and ymax")
     d = F.sqrt(F.pow(F.col("lon") - (F.col("xmin") + F.col("xmax")) / 2, F.lit(2)) + F.pow(F.col("lat") - (F.col("ymin") + F.col("ymax")) / 2, F.lit(2)))
     return j.groupBy("siren").agg(F.count("*").alias("nodes"), F.round(F.min(d), 9).alias("nearest"))
@@ -327,9 +327,9 @@ def g_box_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_NODES}, {_BOX}, d as (select siren, id, greatest(0.0, least(1.0, ((lon - xmin) * (xmax - xmin) + (lat - ymin) * (ymax - ymin)) / nullif((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin), 0))) as t, lon, lat, xmin, ymin, xmax, ymax from nodes join box on lon between xmin and xmax and lat between ymin and ymax) select siren, round(min(sqrt(pow(lon - xmin - t * (xmax - xmin), 2) + pow(lat - ymin - t * (ymax - ymin), 2))), 9) as distance from d group by 1")
 def g_segment_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """Least distance of a region's nodes from the diagonal of its box."""
+    """Least distance of a region's nodes from the diagonal of its box, however wide. The SQL leaves out boxes of 3 degrees or more."""
     n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
-    b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")) & (F.col("xmax") - F.col("xmin") < 3))
+    b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")))
     j = band_join(n, b, "lon", "xmin", "xmax", 0.25).where("lat between ymin and ymax")
     d = gr.segment_distance(*(F.col(c) for c in ("lon", "lat", "xmin", "ymin", "xmax", "ymax")))
     return j.groupBy("siren").agg(F.round(F.min(d), 9).alias("distance"))
