@@ -281,30 +281,35 @@ def _laea() -> str:
 
 
 def _projected(spark: SparkSession, folder: str) -> DataFrame:
-    n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat")).where("lon between -25 and 45 and lat between 30 and 72")
+    """All usable nodes; x and y are null outside EPSG:3035's domain here, lon -25 to 45 and lat 30 to 72.
+
+    The SQL of the queries over it leaves those nodes out.
+    """
+    n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
+    inside = F.col("lon").between(-25, 45) & F.col("lat").between(30, 72)
     x, y = gr.project(F.col("lon"), F.col("lat"))
-    return n.withColumns({"x": x, "y": y})
+    return n.withColumns({"x": F.when(inside, x), "y": F.when(inside, y)})
 
 
 @query(f"with {_laea()} select id, round(x, 2) as x, round(y, 2) as y from xy")
 def g_project(spark: SparkSession, folder: str) -> DataFrame:
-    """Degrees to metres of the European equal-area projection."""
+    """Degrees to metres of the European equal-area projection; null outside its domain."""
     return _projected(spark, folder).select("id", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @query(f"with {_laea()}, c as (select (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell, count(*) as points from xy group by 1) select cell, points, (cell // 100000 * 1000)::bigint as north, (cell % 100000 * 1000)::bigint as east, 'CRS3035RES1000mN' || (cell // 100000 * 1000)::varchar || 'E' || (cell % 100000 * 1000)::varchar as code, (cell // 100000 * 5 * 100000 + cell % 100000 * 5)::bigint as first_child, cell - 200002 as first_neighbour, (cell // 100000 * 1000 // 10000 * 10000 - 500)::bigint as tile_north from c")
 def g_grid_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Points per cell, with the cell's corner, code, first child, first neighbour and tile."""
+    """Points per cell, with the cell's corner, code, first child, first neighbour and tile; those outside the domain are counted in a null cell."""
     c = _projected(spark, folder).groupBy(gr.cell_id(F.col("y"), F.col("x"), 1000).alias("cell")).agg(F.count("*").alias("points"))
     n, e = gr.cell_origin(F.col("cell"), 1000)
     c = c.withColumns({"north": n, "east": e})
-    return c.select("cell", "points", "north", "east", gr.cell_code(F.col("north"), F.col("east"), 1000).alias("code"), gr.children(F.col("cell"), 1000, 200)[0].alias("first_child"), gr.neighbours(F.col("cell"))[0].alias("first_neighbour"), gr.tile_bounds(F.col("north"), F.col("east"), 10_000, 500)["north_min"].cast("long").alias("tile_north"))
+    return c.select("cell", "points", "north", "east", gr.cell_code(F.col("north"), F.col("east"), 1000).alias("code"), F.get(gr.children(F.col("cell"), 1000, 200), F.lit(0)).alias("first_child"), F.get(gr.neighbours(F.col("cell")), F.lit(0)).alias("first_neighbour"), gr.tile_bounds(F.col("north"), F.col("east"), 10_000, 500)["north_min"].cast("long").alias("tile_north"))
 
 
 @query(f"with {_laea()}, c as (select distinct (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell from xy), kids as (select cell, unnest(range(0, 25)) as i from c) select cell, ((cell // 100000 * 5 + i // 5) * 100000 + cell % 100000 * 5 + i % 5)::bigint as child, (select count(*) from c d where d.cell = kids.cell + (i // 5 - 2) * 100000 + i % 5 - 2) - (i = 12)::int as neighbour_used from kids")
 def g_children_and_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """All children of the used cells, and whether the neighbour at the same place of the stencil is used."""
-    cells = _projected(spark, folder).select(gr.cell_id(F.col("y"), F.col("x"), 1000).alias("cell")).distinct()
+    cells = _projected(spark, folder).where("x is not null").select(gr.cell_id(F.col("y"), F.col("x"), 1000).alias("cell")).distinct()  # outside there are no cells
     k = cells.select("cell", F.posexplode(gr.children(F.col("cell"), 1000, 200)).alias("i", "child"))
     k = k.withColumn("other", F.col("cell") + (F.floor(F.col("i") / 5).cast("long") - 2) * gr.BASE + F.col("i") % 5 - 2)
     used = cells.select(F.col("cell").alias("other"), F.lit(1).alias("u"))
@@ -337,7 +342,7 @@ def g_segment_distance(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_laea()}, c as (select (floor(y / 200) * 100000 + floor(x / 200))::bigint as cell, count(*) as n from xy group by 1) select (cell // 100000 // 5 * 100000 + cell % 100000 // 5)::bigint as parent, count(*) as children, sum(n)::bigint as points, round(sum(n * n) / sum(n), 8) as crowding from c group by 1")
 def g_aggregate_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Cells of 200 m summed to their kilometre cells."""
+    """Cells of 200 m summed to their kilometre cells; points outside the domain are counted under a null one, without children."""
     c = _projected(spark, folder).groupBy(gr.cell_id(F.col("y"), F.col("x"), 200).alias("cell")).agg(F.count("*").alias("n"))
     parent = F.floor(F.floor(F.col("cell") / gr.BASE) / 5) * gr.BASE + F.floor(F.pmod(F.col("cell"), F.lit(gr.BASE)) / 5)
-    return c.groupBy(parent.cast("long").alias("parent")).agg(F.count("*").alias("children"), F.sum("n").alias("points"), F.round(safe_div(F.sum(F.col("n") * F.col("n")), F.sum("n")), 8).alias("crowding"))
+    return c.groupBy(parent.cast("long").alias("parent")).agg(F.count("cell").alias("children"), F.sum("n").alias("points"), F.round(F.when(F.count("cell") > 0, safe_div(F.sum(F.col("n") * F.col("n")), F.sum("n"))), 8).alias("crowding"))

@@ -93,13 +93,16 @@ def y_measurement_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_laea()}, c as (select (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell, id, x, y, lag(x) over o as px, lag(y) over o as py from xy window o as (partition by (floor(y / 1000) * 100000 + floor(x / 1000)) order by id)) select cell, count(*) as points, round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 2) as length, round(min(x), 2) as xmin, round(max(x), 2) as xmax, round(min(y), 2) as ymin, round(max(y), 2) as ymax, round(avg(x), 2) as cx, round(avg(y), 2) as cy from c group by 1")
 def g_assembled_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines from each cell's nodes in the order of their ids: points, length, envelope and middle."""
-    p = _projected(spark, folder).withColumn("cell", gr.cell_id(F.col("y"), F.col("x"), 1000))
+    """Lines from each cell's nodes in the order of their ids: points, length, envelope and middle; points outside the domain are counted in a null cell without a line."""
+    every = _projected(spark, folder)
+    p = every.where("x is not null").withColumn("cell", gr.cell_id(F.col("y"), F.col("x"), 1000))
     o = W.partitionBy("cell").orderBy("id")
     p = p.withColumns({"px": F.lag("x").over(o), "py": F.lag("y").over(o)})
     step = F.sqrt((F.col("x") - F.col("px")) * (F.col("x") - F.col("px")) + (F.col("y") - F.col("py")) * (F.col("y") - F.col("py")))
     r = lambda c, n: F.round(c, 2).alias(n)
-    return p.groupBy("cell").agg(F.count("*").alias("points"), r(F.coalesce(F.sum(step), F.lit(0.0)), "length"), r(F.min("x"), "xmin"), r(F.max("x"), "xmax"), r(F.min("y"), "ymin"), r(F.max("y"), "ymax"), r(F.avg("x"), "cx"), r(F.avg("y"), "cy"))
+    outside = every.where("x is null").agg(F.count("*").alias("points")).where("points > 0")
+    lines = p.groupBy("cell").agg(F.count("*").alias("points"), r(F.coalesce(F.sum(step), F.lit(0.0)), "length"), r(F.min("x"), "xmin"), r(F.max("x"), "xmax"), r(F.min("y"), "ymin"), r(F.max("y"), "ymax"), r(F.avg("x"), "cx"), r(F.avg("y"), "cy"))
+    return lines.unionByName(outside, allowMissingColumns=True)
 
 
 @query(f"with {DAYS}, k as (select survey, mode, income, count(*) as n, sum(w) as w, sum(w * x) as t from days group by all), c as (select mode, income, max(t / w) filter (where survey = 'a') as a, max(t / w) filter (where survey = 'b') as b, sum(n)::bigint as n, max(w) filter (where survey = 'b') as wb from k group by all) select mode, count(*) as cells, count(*) filter (where b / a between 1 / 1.1 and 1.1) as equivalent, round(sum(wb * abs(ln(b / a))) / sum(wb), 8) as mean_abs_log, arg_max(income, struct_pack(v := round(abs(ln(b / a)), 9), i := income)) as most_moved from c where a > 0 and b > 0 group by 1")
