@@ -18,6 +18,8 @@ _END = re.compile(r"[.!?…](?:[^\w]*|\s+[:;=]-?[A-Z])$")
 #: Months after which a day number's point ends no sentence (fixed values).
 _MONTHS = "januar februar märz maerz marz april mai juni juli august september oktober november dezember"
 _SPLIT = re.compile(r"(?<=[.!?…])[»\"”)]*\s+(?!(?<=\d\.\s)(?:" + _MONTHS.replace(" ", "|") + r")\b)(?=[^\s.!?…])", re.I)
+#: What is finished of an open piece: signs of a script without blanks may follow an end directly.
+_CLOSED = re.compile(r".*[.!?…](?=[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])")
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = regex.compile(r"[\p{Cf}\x00-\x08\x0a-\x1f\x7f-\x9f]+")
 _ACCENTS = regex.compile(r"\p{M}+")
@@ -61,9 +63,10 @@ def lines_of(text: str) -> list[str]:
 def sentences(text: str | None) -> list[str]:
     """Sentences of a text, in order; none for null, empty, blank and number-only texts.
 
-    A line holds sentences if it ends as one does. Table rows, headings, keys
-    with values, greetings and the notices of a network don't; notices in
-    brackets do, and are left out by their bracket. One word is no sentence.
+    Of a line that does not end as a sentence does, the open piece behind its
+    last end is none: table rows, headings, keys with values, greetings and the
+    notices of a network have no other piece. Notices in brackets end as one,
+    and are left out by their bracket. One word is no sentence.
     """
     if not text:
         return []
@@ -74,9 +77,14 @@ def sentences(text: str | None) -> list[str]:
                 line = _redecode(line)
             line = unicodedata.normalize("NFKC", line)
         line = _LEAD.sub("", _HIDDEN.sub("", line)).strip()
-        if not line or line[0] in "[|" or not _END.search(line):
+        if not line or line[0] in "[|":
             continue
-        for s in _SPLIT.split(line):
+        pieces = _SPLIT.split(line)
+        if not _END.search(line):
+            closed = _CLOSED.match(pieces.pop())
+            if closed:
+                pieces.append(closed[0])
+        for s in pieces:
             if sum(not w.isdigit() for w in _WORD.findall(s)) >= 2:
                 out.append(s)
     return out
@@ -87,4 +95,4 @@ def words(sentence: str) -> list[str]:
     plain = sentence.lower()
     if not plain.isascii():
         plain = _ACCENTS.sub("", unicodedata.normalize("NFKD", plain)).replace("ß", "ss")
-    return ["0" if w.isdigit() else w[:40] for w in _WORD.findall(plain)]
+    return ["0" if w.isdigit() else w for w in _WORD.findall(plain)]
