@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomway.functions.exprs import MAX_LONG, MIN_LONG, micros, norm_key
-from loomway.operators.rangeprobe import ranges_for, stream_probe
+from loomway.operators.prefix import prefix_sums
+from loomway.operators.rangeprobe import stream_probe
 
-#: Sample rows per range from which the range boundaries are taken.
-SAMPLES_PER_RANGE = 20
+#: Ranges of keys at least, however few the parents are.
+MIN_RANGES = 8
+#: Versions of a key are cut into time ranges where there are more of them than a range should hold.
+_LOW, _WIDTH = -(2.0**63), 2.0**64
 
 
 def _hashes(key):
     return F.xxhash64(key).alias("h"), F.xxhash64(F.lit(7), key).alias("h2")
 
 
-def _boundaries(parents: DataFrame, n: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends (hash, time) of the ranges but the first; from a sample of SAMPLES_PER_RANGE rows a range."""
-    got = parents.select("h", "s").sample(fraction=min(1.0, SAMPLES_PER_RANGE * ranges / n), seed=11).toPandas()
-    got = got.drop_duplicates().sort_values(["h", "s"], ignore_index=True)
-    at = sorted({round(i * len(got) / ranges) for i in range(1, ranges)} - {0, len(got)})
-    return got["h"].to_numpy(np.int64)[at], got["s"].to_numpy(np.int64)[at]
+def range_of(h: Column, ranges: int) -> Column:
+    """The range of a key's hash: `ranges` equal parts of the 64-bit line, in which hashes lie evenly."""
+    return F.least(F.floor((h.cast("double") - F.lit(_LOW)) * F.lit(ranges / _WIDTH)), F.lit(ranges - 1)).cast("int")
 
 
-def _range_of(bh: np.ndarray, bs: np.ndarray, h: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """How many boundaries are at or below each (h, s)."""
-    low, high = np.searchsorted(bh, h, "left"), np.searchsorted(bh, h, "right")
-    out = low.astype(np.int64)
-    for v in np.unique(h[low < high]):
-        m = h == v
-        a, z = np.searchsorted(bh, v, "left"), np.searchsorted(bh, v, "right")
-        out[m] = a + np.searchsorted(bs[a:z], s[m], "right")
-    return out.astype(np.int32)
+def _last_at_or_below(starts: Column, t: Column, steps: int) -> Column:
+    """Place, from 0, of the last element of the sorted array that is at or below t; 0 also where none is."""
+    halve = lambda z, _: F.when(z["lo"] >= z["hi"], z).otherwise(F.when(F.element_at(starts, (F.floor((z["lo"] + z["hi"] + 1) / 2) + 1).cast("int")) <= t, F.struct(F.floor((z["lo"] + z["hi"] + 1) / 2).cast("int").alias("lo"), z["hi"].alias("hi"))).otherwise(F.struct(z["lo"].alias("lo"), (F.floor((z["lo"] + z["hi"] + 1) / 2) - 1).cast("int").alias("hi"))))
+    start = F.struct(F.lit(0).alias("lo"), (F.size(starts) - 1).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda z: z["lo"])
 
 
 class SortedParents:
@@ -88,18 +87,21 @@ def orphans(
     child_time: str = "loaded_at",
     parent_time: str = "loaded_at",
     parent_end: str = "deleted_at",
-    rows_per_range: int = 200_000,
-    rows_per_split: int = 250_000,
+    rows_per_range: int = 100_000,
+    rows_per_split: int = 200_000,
 ) -> DataFrame:
     """Child rows whose key no parent row has at the child's time: (child_table, period, rec_id, reason).
 
-    Parents are range-partitioned by (key hash, time) and kept as sorted arrays
-    per range, built once where the range's child rows are probed in batches by
-    binary search. A parent key
-    with very many versions spreads over several ranges (what earlier and later
-    ranges hold of it is carried along), a child key with very many rows over
+    Parents are range-partitioned by the hash of their key, at any size, and
+    kept as sorted arrays per range, built once where the range's child rows are
+    probed in batches by binary search. A parent key with more than
+    `rows_per_range` versions spreads over ranges of time (what earlier and
+    later ranges hold of it is carried along), a range with many child rows over
     several splits. Keys are compared as two 64-bit hashes of the normalised text.
 
+    Two aggregates run when the plan is made: the parents and the versions of
+    the commonest key (one row), and the number of child rows (footers only).
+
     Null and blank keys are no case. A child without a time comes before every
     parent (reason missing or late, period null). A parent without a time counts
     as known but never loaded; one without an end was never withdrawn. With no
@@ -120,22 +122,14 @@ def orphans(
         .where("k is not null")
         .select(*_hashes(F.col("k")), "t", "rec_id")
     )
-    n = par.count()
-    bh, bs = _boundaries(par, n, ranges_for(n, rows_per_range)) if n > rows_per_range else (np.empty(0, np.int64), np.empty(0, np.int64))
-    if len(bh):
-
-        @F.pandas_udf("int")
-        def range_of(h: pd.Series, s: pd.Series) -> pd.Series:
-            return pd.Series(_range_of(bh, bs, h.to_numpy(np.int64), s.to_numpy(np.int64)))
-
-        par, kids = par.withColumn("r", range_of("h", "s")), kids.withColumn("r", range_of("h", "t"))
-        # A key whose hash is a boundary's can have versions in several ranges: at most two rows a range and key.
-        spans = par.where(F.col("h").isin([int(x) for x in np.unique(bh)])) if len(bh) <= 200 else par.join(spark.createDataFrame([(int(x),) for x in np.unique(bh)], "h long"), "h", "left_semi")
-        extra = _carried(spans.groupBy("h", "h2", "r").agg(F.max(F.when(F.col("s") != MAX_LONG, F.col("e"))).alias("e")).toPandas(), bh, bs)
-        if extra:
-            par = par.select("h", "h2", "s", "e", "r").unionByName(spark.createDataFrame(extra, "h long, h2 long, s long, e long, r int"))
-    else:
-        par, kids = par.withColumn("r", F.lit(0)), kids.withColumn("r", F.lit(0))
+    size = par.groupBy("h", "h2").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.max("c").alias("most")).first()
+    ranges = max(MIN_RANGES, math.ceil((size["n"] or 0) / rows_per_range))
+    tasks = ranges + math.ceil(children.count() / rows_per_split)
+    par, kids = (x.withColumn("r", range_of(F.col("h"), ranges)) for x in (par, kids))
+    key = ["r"]
+    if (size["most"] or 0) > rows_per_range:
+        key = ["r", "sub"]
+        par, kids = _by_time(par, kids, rows_per_range, size["most"])
 
     def prepare(b: pd.DataFrame) -> SortedParents:
         return SortedParents(*(b[x].to_numpy(np.int64) for x in ("h", "h2", "t", "e")))
@@ -147,7 +141,7 @@ def orphans(
         return pd.DataFrame({"t": t[m], "rec_id": rows["rec_id"][m], "code": code[m].astype(np.int32)})
 
     # Without a single parent there are no build rows, and every probe row meets an empty frame.
-    found = stream_probe(par.select("r", "h", "h2", F.col("s").alias("t"), "e"), kids, ["r"], F.xxhash64("rec_id", "t"), probe, "t long, rec_id long, code int", rows_per_split, prepare)
+    found = stream_probe(par.select(*key, "h", "h2", F.col("s").alias("t"), "e"), kids, key, F.xxhash64("rec_id", "t"), probe, "t long, rec_id long, code int", rows_per_split, prepare, tasks)
     return found.select(
         F.lit(child_table).alias("child_table"),
         F.when(F.col("t") != MIN_LONG, F.date_format(F.timestamp_micros("t"), "yyyy-MM")).alias("period"),
@@ -156,18 +150,30 @@ def orphans(
     )
 
 
-def _carried(spans: pd.DataFrame, bh: np.ndarray, bs: np.ndarray) -> list[tuple]:
-    """For each key that can straddle ranges, what a range must know of the key's versions before and after it."""
-    out = []
-    for (h, h2), g in spans.groupby(["h", "h2"]):
-        a, z = int(np.searchsorted(bh, h, "left")), int(np.searchsorted(bh, h, "right"))
-        for r in range(a, z + 1):
-            before = g.loc[g["r"] < r, "e"].dropna()
-            if len(before):
-                out.append((int(h), int(h2), MIN_LONG + 1, int(before.max()), r))
-            elif (g["r"] != r).any():
-                out.append((int(h), int(h2), MAX_LONG, MIN_LONG, r))
-    return out
+def _by_time(par: DataFrame, kids: DataFrame, rows_per_range: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `sub`, the time range within a key of very many versions; 0 for all other keys.
+
+    Such keys are at most parents / rows_per_range, and each has an array of the
+    first times of its ranges. Versions are numbered by prefix_sums(), so no
+    task holds a whole key.
+    """
+    k = ["h", "h2"]
+    hot = par.groupBy(*k).agg(F.count("*").alias("c")).where(F.col("c") > rows_per_range).select(*k)
+    numbered = prefix_sums(par.join(hot, k, "left_semi").withColumn("one", F.lit(1)), ["r", *k], ["s"], ["one"])
+    numbered = numbered.withColumn("sub", F.floor(F.col("below_one") / rows_per_range).cast("int")).select("r", *k, "s", "e", "sub")
+    known = F.col("s") != MAX_LONG
+    spans = numbered.groupBy("r", *k, "sub").agg(F.min("s").alias("start"), F.max(F.when(known, F.col("e"))).alias("until"))
+    # One row for each range of a hot key.
+    earlier, later = W.partitionBy("r", *k).orderBy("sub").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("r", *k)
+    spans = spans.withColumn("before", F.max("until").over(earlier)).withColumn("subs", F.count("*").over(later))
+    loaded = spans.where("before is not null").select("r", *k, F.lit(MIN_LONG + 1).alias("s"), F.col("before").alias("e"), "sub")
+    # A range without an earlier one must know that the key exists at all.
+    exists = spans.where("before is null and subs > 1").select("r", *k, F.lit(MAX_LONG).alias("s"), F.lit(MIN_LONG).alias("e"), "sub")
+    others = par.join(hot, k, "left_anti").select("r", *k, "s", "e", F.lit(0).alias("sub"))
+    starts = spans.groupBy(*k).agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    at = _last_at_or_below(F.col("starts"), F.col("t"), most.bit_length() + 1)
+    kids = kids.join(starts, k, "left").withColumn("sub", F.when(F.col("starts").isNull(), 0).otherwise(at)).drop("starts")
+    return others.unionByName(numbered).unionByName(loaded).unionByName(exists), kids
 
 
 def orphan_report(found: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ holds more than one range's arrays and streams its probe rows in batches.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,12 +35,14 @@ def stream_probe(
     schema: str,
     rows_per_split: int = 250_000,
     prepare: Callable[[pd.DataFrame], object] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Rows of `fn(prepared build rows of a range, a batch of its probe rows)`.
 
     `salt` spreads the probe rows of one range over its splits. Ranges without
     probe rows cost nothing; probe rows of ranges without build rows get an
-    empty build frame.
+    empty build frame. `tasks` is the number of partitions, the session's where
+    it isn't given; there should be about as many as ranges and splits.
     """
     counts = split_counts(probe, key, rows_per_split)
     b = build.join(counts, key).withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))).drop("_splits")
@@ -78,8 +79,5 @@ def stream_probe(
                     if len(out):
                         yield out[names]
 
-    return rows.repartition(*group).sortWithinPartitions(*group, "_kind").mapInPandas(run, schema)
-
-
-def ranges_for(rows: int, rows_per_range: int) -> int:
-    return max(1, math.ceil(rows / rows_per_range))
+    spread = rows.repartition(tasks, *group) if tasks else rows.repartition(*group)
+    return spread.sortWithinPartitions(*group, "_kind").mapInPandas(run, schema)
