@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import math
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,8 +19,8 @@ from loomway.session import cut
 
 #: Labelled documents that are used for training at most; all documents are scored.
 MAX_TRAIN_DOCS = 20_000
-#: Partitions over which the training documents are spread, each giving one gradient a round.
-TRAIN_PARTITIONS = 8
+#: Training documents of a partition, which gives one gradient a round.
+DOCS_PER_PARTITION = 2_500
 BUCKETS, DIM = 1 << 16, 16
 ROUNDS, RELABEL_FROM = 60, 25
 RATE = 0.08
@@ -65,18 +67,33 @@ class Batch:
     labels: np.ndarray
     length: np.ndarray = field(init=False)
     used: np.ndarray = field(init=False)
-    local: np.ndarray = field(init=False)
 
     def __post_init__(self):
         sizes = np.diff(np.r_[self.word_start, len(self.word_feats)])
         counts = np.diff(np.r_[self.occ_start, len(self.occ)])
         self.length = np.add.reduceat(sizes[self.occ], self.occ_start).astype(np.float32) if len(self.occ) else np.empty(0, np.float32)
-        self.used, self.local = np.unique(self.word_feats, return_inverse=True)
-        self.word_of = np.repeat(np.arange(len(sizes)), sizes)
-        self.sent_of = np.repeat(np.arange(len(counts)), counts)
+        self.used, local = np.unique(self.word_feats, return_inverse=True)
+        # Sentences in the order of their words, and words in the order of their buckets: sums then run over neighbours.
+        by_word = np.argsort(self.occ, kind="stable")
+        self.sent_by_word = np.repeat(np.arange(len(counts)), counts)[by_word]
+        self.word_first = np.flatnonzero(np.diff(self.occ[by_word], prepend=-1))
+        by_bucket = np.argsort(local, kind="stable")
+        self.word_by_bucket = np.repeat(np.arange(len(sizes)), sizes)[by_bucket]
+        self.bucket_first = np.flatnonzero(np.diff(local[by_bucket], prepend=-1))
+
+    def payload(self) -> bytes:
+        """What of() found, in bytes that Batch.read() takes back."""
+        out = io.BytesIO()
+        np.savez(out, word_feats=self.word_feats, word_start=self.word_start, occ=self.occ.astype(np.int32), occ_start=self.occ_start, labels=self.labels)
+        return out.getvalue()
 
     @classmethod
-    def of(cls, docs: Sequence[tuple[Sequence[str], np.ndarray]], n: int) -> Batch:
+    def read(cls, payload: bytes) -> Batch:
+        with np.load(io.BytesIO(payload)) as z:
+            return cls(z["word_feats"], z["word_start"], z["occ"].astype(np.int64), z["occ_start"], z["labels"])
+
+    @classmethod
+    def of(cls, docs: Iterable[tuple[Sequence[str], np.ndarray]], n: int) -> Batch:
         number: dict[str, int] = {}
         occ, occ_start, labels = [], [], []
         for sents, label in docs:
@@ -91,10 +108,6 @@ class Batch:
         return cls(np.concatenate(feats) if feats else np.empty(0, np.int32), start.astype(np.int64), np.array(occ, np.int64), np.array(occ_start, np.int64), np.array(labels, np.float32).reshape(-1, n))
 
 
-def _sum_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(index, values[:, j], n) for j in range(values.shape[1])], axis=1).astype(np.float32)
-
-
 def targets(p: np.ndarray, labels: np.ndarray, relabel: bool) -> tuple[np.ndarray, np.ndarray]:
     """What each sentence should give, and its weight.
 
@@ -128,8 +141,9 @@ def gradient(m: Model, b: Batch, relabel: bool) -> tuple[float, int, np.ndarray,
     loss = float(-(weight[:, None] * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum())
     g = (p - y) * weight[:, None].astype(np.float32)
     dh = (g @ m.out.T) / b.length[:, None]
-    dword = _sum_by(b.occ, dh[b.sent_of], len(b.word_start))
-    return loss, n, b.used, _sum_by(b.local, dword[b.word_of], len(b.used)), h.T @ g, g.sum(0)
+    # Every word of a batch occurs in it.
+    dword = np.add.reduceat(dh[b.sent_by_word], b.word_first, axis=0)
+    return loss, n, b.used, np.add.reduceat(dword[b.word_by_bucket], b.bucket_first, axis=0), h.T @ g, g.sum(0)
 
 
 class Adam:
@@ -163,27 +177,49 @@ class Scorer:
     def __init__(self, m: Model, cache: int = 1 << 18):
         self.table = m.emb @ m.out
         self.bias, self.subjects, self.size = m.bias, m.subjects, cache
-        self.seen: dict[str, tuple[np.ndarray, int]] = {}
-
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        got = self.seen.get(w)
-        if got is None:
-            if len(self.seen) >= self.size:
-                self.seen.clear()
-            f = features(w)
-            got = self.seen[w] = (self.table[f].sum(0), len(f))
-        return got
-
-    def sentence(self, s: str) -> np.ndarray:
-        got = [self.word(w) for w in words(s)]
-        z = self.bias + (sum(v for v, _ in got) / max(1, sum(n for _, n in got)) if got else 0)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Word 0 stands for none."""
+        self.seen: dict[str, int] = {"": 0}
+        self.vectors, self.counts = np.zeros((1024, self.table.shape[1]), np.float32), np.zeros(1024, np.int32)
+
+    def _number(self, w: str) -> int:
+        i = self.seen[w] = len(self.seen)
+        if i == len(self.counts):
+            self.vectors, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.vectors, self.counts))
+        f = features(w)
+        self.vectors[i], self.counts[i] = self.table[f].sum(0), len(f)
+        return i
+
+    def probabilities(self, sents: Sequence[str]) -> np.ndarray:
+        """One row for each sentence, all of a batch at once."""
+        if len(self.seen) >= self.size:
+            self._clear()
+        seen, number = self.seen, self._number
+        occ: list[int] = []
+        start = []
+        for s in sents:
+            start.append(len(occ))
+            occ += [seen[w] if w in seen else number(w) for w in words(s)] or [0]
+        if not start:
+            return np.empty((0, len(self.subjects)), np.float32)
+        ids, at = np.array(occ, np.int64), np.array(start, np.int64)
+        z = np.add.reduceat(self.vectors[ids], at, axis=0) / np.maximum(1, np.add.reduceat(self.counts[ids], at))[:, None] + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def subjects_of(self, text: str | None) -> list[str]:
-        """Subjects to which at least SHARE of the sentences are devoted."""
-        best = [(int(p.argmax()), float(p.max())) for p in map(self.sentence, sentences(text))]
-        counts = np.bincount([i for i, p in best if p >= SURE], minlength=len(self.subjects))
-        return [self.subjects[i] for i in np.flatnonzero(counts * (1 / SHARE) >= len(best) - 1e-9) if counts[i]]
+    def found(self, texts: Sequence[str | None]) -> list[tuple[int, int]]:
+        """(place of the text, place of the subject): subjects to which at least SHARE of a text's sentences are devoted."""
+        per = [sentences(t) for t in texts]
+        n = np.array([len(x) for x in per], np.int64)
+        p = self.probabilities([s for x in per for s in x])
+        if not len(p):
+            return []
+        best = p.argmax(1)
+        sure = p[np.arange(len(p)), best] >= SURE
+        k = len(self.subjects)
+        counts = np.bincount(np.repeat(np.arange(len(per)), n)[sure] * k + best[sure], minlength=len(per) * k).reshape(-1, k)
+        return [(int(i), int(j)) for i, j in np.argwhere((counts > 0) & (counts * (1 / SHARE) >= n[:, None] - 1e-9))]
 
 
 #: What a worker process keeps of the latest run: its partitions' batches, and the scorer.
@@ -212,16 +248,25 @@ def training_set(docs: DataFrame, labels: DataFrame, subjects: Sequence[str], ma
     return docs.select("doc_id", "text").join(F.broadcast(by_doc), "doc_id")
 
 
-def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, partitions: int = TRAIN_PARTITIONS) -> Model:
+def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, docs_per_partition: int = DOCS_PER_PARTITION) -> Model:
     """Synchronous training on (doc_id, text, subjects): in each round all partitions give their summed gradient.
 
-    A gradient holds the touched embeddings only, at most BUCKETS x DIM floats
-    for each of the few partitions. Without a row the model stays as it began
-    and finds no subject.
+    Texts are read once: each partition's sentences are kept as word numbers, in
+    one checkpointed row, which the rounds read. A gradient holds the touched
+    embeddings only, at most BUCKETS x DIM floats for each of the partitions,
+    which are as few as MAX_TRAIN_DOCS allows. Without a row the model stays as
+    it began and finds no subject.
     """
     spark = rows.sparkSession
     names = tuple(subjects)
-    rows = cut(rows.select("doc_id", "text", "subjects").repartition(partitions, "doc_id"))
+    rows = cut(rows.select("doc_id", "text", "subjects"))
+    partitions = max(1, math.ceil(rows.count() / docs_per_partition))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs = ((sentences(t), np.array([x in set(s) for x in names], np.float32)) for pdf in batches for t, s in zip(pdf["text"], pdf["subjects"]))
+        yield pd.DataFrame({"payload": [Batch.of(docs, len(names)).payload()]})
+
+    held = cut(rows.repartition(partitions, "doc_id").mapInPandas(read, "payload binary"))
     run = uuid.uuid4().hex
     model = Model.start(names)
     adam = Adam(model.arrays(), RATE)
@@ -231,17 +276,12 @@ def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, partit
         def grad(batches: Iterator[pd.DataFrame], sent=sent, r=r) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
 
-            got = list(batches)
-
-            def make() -> Batch:
-                docs = [(sentences(t), np.array([x in set(s) for x in names], np.float32)) for pdf in got for t, s in zip(pdf["text"], pdf["subjects"])]
-                return Batch.of(docs, len(names))
-
-            b = _kept(run, TaskContext.get().partitionId(), make)
-            loss, n, used, de, do, db = gradient(sent.value, b, r >= RELABEL_FROM)
-            yield pd.DataFrame({"loss": [loss], "n": [n], "used": [used.astype(np.int32).tobytes()], "de": [de.astype(np.float32).tobytes()], "do": [do.astype(np.float32).tobytes()], "db": [db.astype(np.float32).tobytes()]})
+            for i, payload in enumerate(x for pdf in batches for x in pdf["payload"]):
+                b = _kept(run, (TaskContext.get().partitionId(), i), lambda payload=payload: Batch.read(payload))
+                loss, n, used, de, do, db = gradient(sent.value, b, r >= RELABEL_FROM)
+                yield pd.DataFrame({"loss": [loss], "n": [n], "used": [used.astype(np.int32).tobytes()], "de": [de.astype(np.float32).tobytes()], "do": [do.astype(np.float32).tobytes()], "db": [db.astype(np.float32).tobytes()]})
 
-        parts = rows.mapInPandas(grad, "loss double, n long, used binary, de binary, do binary, db binary").collect()
+        parts = held.mapInPandas(grad, "loss double, n long, used binary, de binary, do binary, db binary").collect()
         k = len(names)
         array = lambda b, kind: np.frombuffer(b, kind)
         update(model, adam, [(p.loss, p.n, array(p.used, np.int32), array(p.de, np.float32).reshape(-1, DIM), array(p.do, np.float32).reshape(DIM, k), array(p.db, np.float32)) for p in parts])
@@ -256,13 +296,17 @@ def assign(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     it; documents without sentences (null, blank, tables or code only) have none.
     """
     run = uuid.uuid4().hex
+    model_subjects = model.subjects
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = _kept(run, "scorer", lambda: Scorer(sent.value))
         for pdf in batches:
-            got = [(i, s) for i, t in zip(pdf["doc_id"], pdf["text"]) for s in scorer.subjects_of(t)]
-            yield pd.DataFrame(got, columns=["doc_id", "subject"])
+            got = scorer.found(pdf["text"].tolist())
+            if not got:
+                continue
+            ids = pdf["doc_id"].to_numpy()
+            yield pd.DataFrame({"doc_id": ids[[i for i, _ in got]], "subject": [model_subjects[j] for _, j in got]})
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run_batches, "doc_id long, subject string")

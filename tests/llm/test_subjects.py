@@ -48,7 +48,7 @@ def corpus(spark):
 def test_train_and_assign(spark):
     docs, labels = corpus(spark)
     names = ["law", "sport"]
-    model = train(training_set(docs, labels, names), names, partitions=3)
+    model = train(training_set(docs, labels, names), names, docs_per_partition=50)
     got = {}
     for r in assign(docs, model).collect():
         got.setdefault(r.doc_id, []).append(r.subject)
@@ -72,7 +72,7 @@ def test_bound_on_training_documents(spark):
 
 def test_scorer_folds_outputs():
     m = Model.start(["a", "b"])
-    p = Scorer(m).sentence("the tram")
+    p = Scorer(m).probabilities(["the tram"])[0]
     assert p.shape == (2,) and (p < 0.35).all()
 
 
