@@ -1,4 +1,4 @@
-"""Queries of the general data problems: orphans, intervals, bad rows, percentiles, packed fields, nearby points."""
+"""Queries of the general data problems: orphans, intervals, bad rows, packed fields, nearby points."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from loomway.operators.intervals import periods_and_gaps, survey_minutes
 from loomway.operators.nearby import containing_regions, near_pairs, usable_points
 from loomway.operators.orphans import orphan_report, orphans
 from loomway.operators.packed import unpack
-from loomway.operators.percentiles import merge_counts, percentiles_from_counts, value_counts
 from loomway.tables import table
 
 QUERIES: dict = {}
@@ -154,41 +153,6 @@ def p3_loaded_calendar(spark: SparkSession, folder: str) -> DataFrame:
     return br.strict_load(raw, br.LAYOUTS["calendar"]).select("rec_id", F.length("_line").cast("long").alias("n_chars"))
 
 
-# --- 4: percentiles of very large numeric columns
-
-PROBABILITIES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-
-
-def _p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """Value counts per source, age band and month of loading."""
-    month = F.date_format("loaded_at", "yyyy-MM").alias("month")
-    w = table(spark, folder, "day_summary", "age_band", "pond_jour", "loaded_at").select(F.lit("day_summary.pond_jour").alias("field"), "age_band", month, F.col("pond_jour").alias("x"))
-    m = table(spark, folder, "trips_norm", "age_band", "duration_min", "loaded_at").where(br.is_minutes(F.col("duration_min"))).select(F.lit("trips_norm.duration_min").alias("field"), "age_band", month, F.col("duration_min").alias("x"))
-    return value_counts(w.unionByName(m), ["field", "age_band"], "x", piece="month")
-
-
-_P4_ROWS = """select 'day_summary.pond_jour' as field, age_band, strftime(loaded_at, '%Y-%m') as month, pond_jour as x from day_summary where isfinite(pond_jour)
-    union all select 'trips_norm.duration_min', age_band, strftime(loaded_at, '%Y-%m'), duration_min from trips_norm where isfinite(duration_min) and duration_min between 0 and 1440"""
-_P4_AGG = "round(case p " + " ".join(f"when {p} then quantile_cont(x, {p})" for p in PROBABILITIES) + " end, 6) as value, count(*) as n"
-_P4_GRID = "(select unnest([" + ", ".join(map(str, PROBABILITIES)) + "])::double as p)"
-
-
-@query(f"select field, age_band, p, {_P4_AGG} from ({_P4_ROWS}), {_P4_GRID} group by field, age_band, p")
-def p4_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Exact percentiles per age band, combined from monthly pieces."""
-    g = ["field", "age_band"]
-    out = percentiles_from_counts(merge_counts(_p4_pieces(spark, folder), g), g, PROBABILITIES)
-    return out.select(*g, "p", F.round("value", 6).alias("value"), "n")
-
-
-@query(f"select field, age_band, month, p, {_P4_AGG} from ({_P4_ROWS}), (select unnest([0.25, 0.5, 0.75])::double as p) group by field, age_band, month, p")
-def p4_monthly(spark: SparkSession, folder: str) -> DataFrame:
-    """Quartiles of each piece: per age band and month of loading."""
-    g = ["field", "age_band", "month"]
-    out = percentiles_from_counts(_p4_pieces(spark, folder), g, (0.25, 0.5, 0.75))
-    return out.select(*g, "p", F.round("value", 6).alias("value"), "n")
-
-
 # --- 5: several values packed in one field
 
 #: (table, column, whether blanks belong to items)
