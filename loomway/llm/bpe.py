@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterable
+from itertools import chain
 
 import regex
 
@@ -96,6 +97,13 @@ class Vocabulary:
                 self._pieces[piece] = got
         return got
 
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
+        """Ids of pieces in a row; those seen before cost a look-up each."""
+        try:
+            return list(chain.from_iterable(map(self._pieces.__getitem__, pieces)))
+        except KeyError:
+            return list(chain.from_iterable(map(self.encode_piece, pieces)))
+
 
 def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
     """Bytes that a token can reach back: beyond them no prefix can be a later token's start."""
@@ -177,12 +185,12 @@ class StreamEncoder:
                 if self.run:
                     return out
             # A piece is decided by its end and two characters: the next one, and the longest contraction.
-            sure, at, encode = len(self.buf) - 2, 0, self.v.encode_piece
-            for m in self.pattern.finditer(self.buf):
-                if m.end() > sure:
-                    break
-                out += encode(m.group())
-                at = m.end()
+            pieces, at = self.pattern.findall(self.buf), len(self.buf)
+            sure = at - 2
+            # The pieces are the whole buffer, one behind the other.
+            while pieces and at > sure:
+                at -= len(pieces.pop())
+            out += self.v.encode_pieces(pieces)
             self.buf = self.buf[at:]
             if len(self.buf) <= HOLD_CHARS:
                 return out
@@ -211,8 +219,7 @@ class StreamEncoder:
         if self.run:
             out += self.run[1].feed(self.buf.encode("utf-8", "replace")) + self.run[1].finish()
             self.buf, self.run = "", None
-        for m in self.pattern.finditer(self.buf):
-            out += self.v.encode_piece(m.group())
+        out += self.v.encode_pieces(self.pattern.findall(self.buf))
         self.buf = ""
         return out
 
