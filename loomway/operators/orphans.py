@@ -107,22 +107,20 @@ def orphans(
     as known but never loaded; one without an end was never withdrawn. With no
     parents at all every keyed child is missing. Repeated rows each count.
     """
-    spark = children.sparkSession
     k = norm_key(F.col(parent_key))
-    par = (
+    stored = (
         parents.select(k.alias("k"), F.coalesce(micros(F.col(parent_time)), F.lit(MAX_LONG)).alias("s"), F.coalesce(micros(F.col(parent_end)), F.lit(MAX_LONG)).alias("e"))
         .where("k is not null")
         .select(*_hashes(F.col("k")), "s", "e")
-        .groupBy("h", "h2", "s")
-        .agg(F.max("e").alias("e"))
     )
+    par = stored.groupBy("h", "h2", "s").agg(F.max("e").alias("e"))
     c = norm_key(F.col(child_key))
     kids = (
         children.select(c.alias("k"), F.coalesce(micros(F.col(child_time)), F.lit(MIN_LONG)).alias("t"), F.coalesce(F.col(rec_id).cast("long"), F.lit(MIN_LONG)).alias("rec_id"))
         .where("k is not null")
         .select(*_hashes(F.col("k")), "t", "rec_id")
     )
-    size = par.groupBy("h", "h2").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.max("c").alias("most")).first()
+    size = stored.groupBy("h", "h2").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"), F.max("c").alias("most")).first()
     ranges = max(MIN_RANGES, math.ceil((size["n"] or 0) / rows_per_range))
     tasks = ranges + math.ceil(children.count() / rows_per_split)
     par, kids = (x.withColumn("r", range_of(F.col("h"), ranges)) for x in (par, kids))
