@@ -90,52 +90,54 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     dropped, and an end with at least k uncovered stops is cut on guided and
     express lines.
 
-    Distances are filtered once at the largest radius and kept, as patterns
-    are: all grid points read them again. Thresholds come later.
+    A stop meets the radii once: whether it is within each of them are columns
+    of its row, so no join or aggregate before the last step has a row for each
+    grid point. A pattern's stops are counted by partial aggregates; only its
+    counts are multiplied by the grid.
     """
     spark = stops.sparkSession
-    grid = lambda name, values, kind: spark.createDataFrame([(v,) for v in values], f"{name} {kind}")
-    r, s, k, t = grid("r", radii, "double"), grid("share", shares, "double"), grid("k", ks, "int"), grid("theta", thetas, "double")
     pk, on = ["network", "pattern_id"], ["date"] if dates else []
     dpk = [*on, *pk]
-    days = grid("date", dates, "date") if dates else None
-    at_dates = lambda df: df.crossJoin(F.broadcast(days)) if dates else df
-    meta = cut(stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n")))
-    most = max(*radii, FERRY_RADIUS_M)
-    near = cut(distances.where(F.col("in_service") & (F.col("distance_m") <= most)).select(*dpk, "ordinal", "relation_id", "distance_m").join(meta.select(*pk, "mode"), pk))
-    reach = F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.col("r"))
-    # The grids are parameters, a few values each.
-    hit = near.crossJoin(F.broadcast(r)).where(F.col("distance_m") <= reach)
-    covered = hit.groupBy(*dpk, "r", "relation_id").agg(F.count_distinct("ordinal").alias("c")).join(meta, pk).select(*dpk, "mode", "r", "relation_id", (F.col("c") / F.col("n")).alias("covered_share"))
-    named = keep_best(names, dpk, F.col("affiliation")).select(*dpk, "relation_id").distinct()
-    name_hits = hit.join(named, [*dpk, "relation_id"]).groupBy(*dpk, "r").agg(F.count_distinct("ordinal").alias("c"))
-    loose = F.col("mode").isin("bus", "ferry")
-    with_name = named.select(*dpk).distinct().join(meta, pk).crossJoin(F.broadcast(r)).join(name_hits, [*dpk, "r"], "left").withColumn("name_share", F.coalesce(F.col("c") / F.col("n"), F.lit(0.0))).where(~loose | (F.col("name_share") >= HOMONYM_SHARE)).select(*dpk, "r")
-    by_name = named.join(with_name, dpk).crossJoin(F.broadcast(s)).select(*dpk, "r", "share", "relation_id")
-    free = covered.join(with_name, [*dpk, "r"], "left_anti").crossJoin(F.broadcast(s)).where("covered_share >= share")
-    by_shape = keep_best(free, [*dpk, "r", "share"], F.col("covered_share")).select(*dpk, "r", "share", "relation_id")
-    matches = by_name.unionByName(by_shape)
-    matched = matches.select(*dpk, "r", "share").distinct().withColumn("matched", F.lit(1))
-    points = at_dates(meta).crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s)).join(matched, [*dpk, "r", "share"], "left")
+    meta = stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n"))
+    each = range(len(radii))
+    reach = [F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.lit(float(r))) for r in radii]
+    near = distances.where(F.col("in_service") & (F.col("distance_m") <= max(*radii, FERRY_RADIUS_M))).groupBy(*dpk, "ordinal", "relation_id").agg(F.min("distance_m").alias("distance_m"))
+    near = near.join(meta.select(*pk, "mode"), pk).select(*dpk, "ordinal", "relation_id", *((F.col("distance_m") <= reach[i]).alias(f"in_{i}") for i in each))
+    named = keep_best(names, dpk, F.col("affiliation")).select(*dpk, "relation_id").distinct().withColumn("named", F.lit(True))
+    covers = near.groupBy(*dpk, "relation_id").agg(*(F.count_if(f"in_{i}").alias(f"c_{i}") for i in each))
+    best = covers.groupBy(*dpk).agg(*(F.max(f"c_{i}").alias(f"b_{i}") for i in each))
+    tagged = near.join(covers.join(best, dpk), [*dpk, "relation_id"]).join(named, [*dpk, "relation_id"], "left")
+    ways = {"name": lambda i: F.col("named") & F.col(f"in_{i}"), "shape": lambda i: (F.col(f"c_{i}") == F.col(f"b_{i}")) & F.col(f"in_{i}"), "track": lambda i: F.col(f"in_{i}")}
+    # A stop counts once however many relations are near it.
+    per_stop = tagged.groupBy(*dpk, "ordinal").agg(*(F.coalesce(F.bool_or(f(i)), F.lit(False)).alias(f"{w}_{i}") for w, f in ways.items() for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
+    found = lambda c: F.struct(F.count_if(c).alias("n"), F.min(F.when(F.col(c), F.col("ordinal"))).alias("first"), F.max(F.when(F.col(c), F.col("ordinal"))).alias("last"))
+    per_pattern = per_stop.groupBy(*dpk).agg(*(found(f"{w}_{i}").alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
+    # The dates are parameters, a few values.
+    at = meta.crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in dates], "date date"))) if dates else meta
+    at = at.join(per_pattern, dpk, "left").join(named.select(*dpk, F.lit(True).alias("has_name")).distinct(), dpk, "left")
+    loose, guided, n = F.col("mode").isin("bus", "ferry"), F.col("mode").isin(*GUIDED), F.col("n")
+    share_of = lambda c: F.coalesce(c / n, F.lit(0.0))
+
+    def point(i: int, share: float) -> Column:
+        by_name = F.coalesce("has_name", F.lit(False)) & (~loose | (share_of(F.col(f"name_{i}.n")) >= HOMONYM_SHARE))
+        by_shape = ~by_name & F.coalesce(F.col(f"b_{i}") > 0, F.lit(False)) & (share_of(F.col(f"b_{i}")) >= share)
+        stops_of = F.when(guided, F.col(f"track_{i}")).when(by_name, F.col(f"name_{i}")).when(by_shape, F.col(f"shape_{i}"))
+        return F.struct(F.lit(float(radii[i])).alias("r"), F.lit(float(share)).alias("share"), (by_name | by_shape).alias("matched"), F.coalesce(stops_of["n"], F.lit(0).cast("long")).alias("covered"), stops_of["first"].alias("first"), stops_of["last"].alias("last"))
+
+    points = cut(at.select(*dpk, "mode", "express", "n", F.explode(F.array(*(point(i, s) for i in each for s in shares))).alias("z")).select(*dpk, "mode", "express", "n", "z.*"))
     # Networks are few: a window over each would put one in a task, an aggregate and a join don't.
-    status = points.groupBy(*on, "network", "r", "share").agg((F.count("matched") * 2 >= F.count("*")).alias("testable"))
-    # First, last and number of covered stops come from the hits alone: no row for each stop and grid point.
-    found = lambda x: [F.count_distinct("ordinal").alias(f"n_{x}"), F.min("ordinal").alias(f"first_{x}"), F.max("ordinal").alias(f"last_{x}")]
-    own = hit.join(matches, [*dpk, "r", "relation_id"]).groupBy(*dpk, "r", "share").agg(*found("own"))
-    track = hit.where(F.col("mode").isin(*GUIDED)).groupBy(*dpk, "r").agg(*found("track"))
-    pick = lambda x: F.when(F.col("mode").isin(*GUIDED), F.col(f"{x}_track")).otherwise(F.col(f"{x}_own"))
-    ends = points.join(own, [*dpk, "r", "share"], "left").join(track, [*dpk, "r"], "left").withColumns({"covered": F.coalesce(pick("n"), F.lit(0).cast("long")), "first": pick("first"), "last": pick("last")})
-    # Networks are few.
-    rows = ends.join(status, [*on, "network", "r", "share"]).crossJoin(F.broadcast(k))
-    cuts = F.col("mode").isin(*GUIDED) | ((F.col("mode") == "bus") & F.coalesce(F.col("express"), F.lit(False)))
-    start = F.when(cuts & (F.coalesce(F.col("first") - 1, F.col("n")) >= F.col("k")), F.coalesce("first", F.col("n") + 1)).otherwise(1)
-    end = F.when(cuts & (F.coalesce(F.col("n") - F.col("last"), F.col("n")) >= F.col("k")), F.coalesce(F.col("last"), F.lit(0))).otherwise(F.col("n"))
-    rows = rows.withColumns({"start_idx": start, "end_idx": end}).crossJoin(F.broadcast(t))
+    status = points.groupBy(*on, "network", "r", "share").agg((F.count_if("matched") * 2 >= F.count("*")).alias("testable"))
+    cuts = guided | ((F.col("mode") == "bus") & F.coalesce(F.col("express"), F.lit(False)))
+    start = lambda k: F.when(cuts & (F.coalesce(F.col("first") - 1, n) >= k), F.coalesce("first", n + 1)).otherwise(1)
+    end = lambda k: F.when(cuts & (F.coalesce(n - F.col("last"), n) >= k), F.coalesce(F.col("last"), F.lit(0))).otherwise(n)
+    rows = points.join(status, [*on, "network", "r", "share"])
+    rows = rows.select(*rows.columns, F.explode(F.array(*(F.struct(F.lit(int(k)).alias("k"), start(k).cast("long").alias("start_idx"), end(k).cast("long").alias("end_idx")) for k in ks))).alias("z")).select(*rows.columns, "z.*")
     left = F.greatest(F.lit(0), F.col("end_idx") - F.col("start_idx") + 1)
     # All covered stops lie between the first and the last, so cutting loses none.
     remaining = F.coalesce(safe_div(F.col("covered"), left), F.lit(0.0))
-    outcome = F.when(~F.col("testable"), "not-testable").when((left < 2) | (remaining < F.col("theta")), "dropped").when(left < F.col("n"), "cut").otherwise("kept")
-    return rows.select(*dpk, "r", "share", "k", "theta", "n", "covered", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), outcome.alias("outcome"))
+    rows = rows.withColumns({"_left": left, "_remaining": remaining}).withColumn("theta", F.explode(F.array(*(F.lit(float(t)) for t in thetas))))
+    outcome = F.when(~F.col("testable"), "not-testable").when((F.col("_left") < 2) | (F.col("_remaining") < F.col("theta")), "dropped").when(F.col("_left") < n, "cut").otherwise("kept")
+    return rows.select(*dpk, "r", "share", "k", "theta", "n", "covered", "start_idx", "end_idx", outcome.alias("outcome"))
 
 
 def scores(predicted: Column, actual: Column) -> dict[str, Column]:

@@ -128,32 +128,37 @@ def t_cut_ends(spark: SparkSession, folder: str) -> DataFrame:
     return chains.cut_ends(c, ["day_id"], "pos", "hit", 0.4, 2).withColumn("share", F.round("share", 8))
 
 
-_T17 = f"""{_CHAIN}, stops as (select survey as network, day_id as pattern_id, case mode_group when 'urban_pt' then 'tram' when 'train' then 'rail' else 'bus' end as smode, coalesce(is_loop_trip, false) as sexpress, ordinal, mode_group, mobloc, duration_min, case when departure_s is not null and arrival_s is not null and isfinite(duration_min) then abs(((arrival_s - departure_s) % 86400 + 86400) % 86400 / 60.0 - duration_min) end as d from ch),
-    meta as (select network, pattern_id, min(smode) as mode, bool_or(sexpress) as express, count(*) as n from stops group by all), dist as (select network, pattern_id, ordinal, mode_group as relation_id, d as distance_m from stops where mobloc = 1 and d is not null),
-    names as (select network, pattern_id, mode_group as relation_id, count(*) as affiliation from stops where duration_min > 20 group by all), r as (select unnest([0.0, 1.0, 5.0])::double as r), s as (select unnest([0.3, 0.6])::double as share), k as (select unnest([1, 2])::int as k), t as (select unnest([0.4, 0.7])::double as theta),
-    hit as (select distinct d.network, d.pattern_id, d.ordinal, d.relation_id, m.mode, r from dist d join meta m using (network, pattern_id), r where distance_m <= r),
-    cov as (select h.network, h.pattern_id, h.r, h.relation_id, count(distinct ordinal) / any_value(m.n) as cs from hit h join meta m using (network, pattern_id) group by h.network, h.pattern_id, h.r, h.relation_id),
-    named as (select network, pattern_id, relation_id from (select *, max(affiliation) over (partition by network, pattern_id) as best from names) where affiliation = best),
-    ns as (select n.network, n.pattern_id, r.r, m.mode, count(distinct h.ordinal) / any_value(m.n) as share from (select distinct network, pattern_id from named) n join meta m using (network, pattern_id) cross join r left join (select * from hit join named using (network, pattern_id, relation_id)) h on h.network = n.network and h.pattern_id = n.pattern_id and h.r = r.r group by n.network, n.pattern_id, r.r, m.mode),
-    wn as (select network, pattern_id, r from ns where mode not in ('bus', 'ferry') or share >= 0.3), bn as (select named.network, named.pattern_id, r, share, relation_id from named join wn using (network, pattern_id), s),
-    fr as (select c.*, s.share from cov c, s where cs >= s.share and not exists (select 1 from wn where wn.network = c.network and wn.pattern_id = c.pattern_id and wn.r = c.r)), bg as (select network, pattern_id, r, share, relation_id from (select *, max(cs) over (partition by network, pattern_id, r, share) as best from fr) where cs = best),
-    mt as (select * from bn union all select * from bg), md as (select distinct network, pattern_id, r, share from mt), st as (select m.network, r.r, s.share, count(d.pattern_id) * 2 >= count(*) as testable from meta m cross join r cross join s left join md d on d.network = m.network and d.pattern_id = m.pattern_id and d.r = r.r and d.share = s.share group by m.network, r.r, s.share),
-    own as (select distinct h.network, h.pattern_id, h.r, m.share, h.ordinal from hit h join mt m on m.network = h.network and m.pattern_id = h.pattern_id and m.r = h.r and m.relation_id = h.relation_id), tr as (select distinct network, pattern_id, r, ordinal from hit where mode in ('tram', 'metro', 'rail')),
-    fl as (select p.network, p.pattern_id, p.ordinal, r.r, s.share, m.mode, m.express, case when m.mode in ('tram', 'metro', 'rail') then tr.ordinal is not null else own.ordinal is not null end as c from stops p join meta m using (network, pattern_id) cross join r cross join s left join own on own.network = p.network and own.pattern_id = p.pattern_id and own.r = r.r and own.share = s.share and own.ordinal = p.ordinal left join tr on tr.network = p.network and tr.pattern_id = p.pattern_id and tr.r = r.r and tr.ordinal = p.ordinal),
-    en as (select network, pattern_id, r, share, any_value(mode) as mode, any_value(express) as express, count(*) as n, count(*) filter (where c) as covered, min(ordinal) filter (where c) as f, max(ordinal) filter (where c) as l from fl group by network, pattern_id, r, share),
-    bo as (select en.*, k, testable, case when (mode in ('tram', 'metro', 'rail') or (mode = 'bus' and express)) and coalesce(f - 1, n) >= k then coalesce(f, n + 1) else 1 end as s0, case when (mode in ('tram', 'metro', 'rail') or (mode = 'bus' and express)) and coalesce(n - l, n) >= k then coalesce(l, 0) else n end as e0 from en join st using (network, r, share), k)"""
-
-
-#: The calibration grid (gtfs_rebuild.yaml): shares, k and theta are its own; minutes stand for its radii of 25, 50 and 100 m, and the dates lie within and after the loads.
+#: The calibration grid: its shares, k and theta are fixed values; minutes stand for its radii of 25, 50 and 100 m, and the dates lie within and after the loads.
 GRID = {"dates": (date(2008, 1, 1), date(2019, 1, 1), date(2021, 1, 1)), "radii": (0.0, 1.0, 5.0), "shares": (0.3, 0.5, 0.7), "ks": (1, 2, 3), "thetas": (0.5, 0.6, 0.7, 0.8, 0.9)}
 
-
-@query(f"with {_T17} select network, pattern_id, r, share, k, theta, n, covered, s0::bigint as start_idx, e0::bigint as end_idx, case when not testable then 'not-testable' when greatest(0, e0 - s0 + 1) < 2 or coalesce(covered / nullif(greatest(0, e0 - s0 + 1), 0), 0) < theta then 'dropped' when e0 - s0 + 1 < n then 'cut' else 'kept' end as outcome from bo, t")
+_VALUES = lambda name, kind: "(select unnest([" + ", ".join(f"date '{v}'" if kind == "date" else str(v) for v in GRID[name]) + f"])::{kind} as v)"
+_T17 = f"""{_CHAIN}, stops as (select survey as network, day_id as pattern_id, case mode_group when 'urban_pt' then 'tram' when 'train' then 'rail' else 'bus' end as smode, coalesce(is_loop_trip, false) as sexpress, ordinal, mode_group, mobloc, duration_min, loaded_at, case when departure_s is not null and arrival_s is not null and isfinite(duration_min) then abs(((arrival_s - departure_s) % 86400 + 86400) % 86400 / 60.0 - duration_min) end as d from ch),
+    meta as (select network, pattern_id, min(smode) as mode, bool_or(sexpress) as express, count(*) as n from stops group by all), dt as (select v as date from {_VALUES("dates", "date")}), r as (select v as r from {_VALUES("radii", "double")}), s as (select v as share from {_VALUES("shares", "double")}), k as (select v as k from {_VALUES("ks", "int")}), t as (select v as theta from {_VALUES("thetas", "double")}),
+    dated as (select * from stops, dt where loaded_at < date),
+    names as (select date, network, pattern_id, mode_group as relation_id, count(*) as affiliation from dated where duration_min > 20 group by all),
+    hit as (select distinct date, network, pattern_id, ordinal, mode_group as relation_id, mode, r from dated join meta using (network, pattern_id), r where mobloc = 1 and d <= r),
+    cov as (select date, network, pattern_id, r, relation_id, count(distinct ordinal) / any_value(n) as cs from hit join meta using (network, pattern_id) group by all),
+    named as (select date, network, pattern_id, relation_id from (select *, max(affiliation) over (partition by date, network, pattern_id) as best from names) where affiliation = best),
+    name_hits as (select date, network, pattern_id, r, count(distinct ordinal) as c from hit join named using (date, network, pattern_id, relation_id) group by all),
+    wn as (select distinct date, network, pattern_id, r.r from named join meta using (network, pattern_id) cross join r left join name_hits nh using (date, network, pattern_id, r) where mode not in ('bus', 'ferry') or coalesce(c / n, 0) >= 0.3),
+    bn as (select date, network, pattern_id, r, share, relation_id from named join wn using (date, network, pattern_id), s),
+    fr as (select cov.*, share from cov anti join wn using (date, network, pattern_id, r), s where cs >= share),
+    bg as (select date, network, pattern_id, r, share, relation_id from (select *, max(cs) over (partition by date, network, pattern_id, r, share) as best from fr) where cs = best),
+    mt as (select * from bn union all select * from bg), md as (select distinct date, network, pattern_id, r, share, 1 as one from mt),
+    pt as (select * from meta cross join dt cross join r cross join s left join md using (date, network, pattern_id, r, share)),
+    st as (select date, network, r, share, count(one) * 2 >= count(*) as testable from pt group by all),
+    own as (select date, network, pattern_id, r, share, count(distinct ordinal) as c, min(ordinal) as f, max(ordinal) as l from hit join mt using (date, network, pattern_id, r, relation_id) group by all),
+    tr as (select date, network, pattern_id, r, count(distinct ordinal) as c, min(ordinal) as f, max(ordinal) as l from hit where mode in ('tram', 'metro', 'rail') group by all),
+    en as (select pt.*, mode in ('tram', 'metro', 'rail') as g, case when g then tr.c else own.c end as c0, case when g then tr.f else own.f end as f, case when g then tr.l else own.l end as l from pt left join own using (date, network, pattern_id, r, share) left join tr using (date, network, pattern_id, r)),
+    bo as (select date, network, pattern_id, r, share, k, n, coalesce(c0, 0) as covered, testable, case when (g or (mode = 'bus' and express)) and coalesce(f - 1, n) >= k then coalesce(f, n + 1) else 1 end as s0, case when (g or (mode = 'bus' and express)) and coalesce(n - l, n) >= k then coalesce(l, 0) else n end as e0 from en join st using (date, network, r, share), k),
+    oc as (select date, network, pattern_id, r, share, k, theta, n, covered, s0::bigint as start_idx, e0::bigint as end_idx, case when not testable then 'not-testable' when greatest(0, e0 - s0 + 1) < 2 or coalesce(covered / nullif(greatest(0, e0 - s0 + 1), 0), 0) < theta then 'dropped' when e0 - s0 + 1 < n then 'cut' else 'kept' end as outcome from bo, t)"""
+
+
+@query(f"with {_T17} select * from oc")
 def t_grid_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """All chains at all 405 points of the grid of date, radius, share, k and theta, in one plan.
 
-    On a date there is what was loaded before it. The SQL has 24 points
-    without a date: those of GRID among them are GRID's last date.
+    On a date there is what was loaded before it.
     """
     c = _chain(spark, folder)
     mode = F.when(F.col("mode_group") == "urban_pt", "tram").when(F.col("mode_group") == "train", "rail").otherwise("bus")
@@ -166,7 +171,7 @@ def t_grid_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.evaluate_grid(stops, dated.where("distance_m is not null"), names, **GRID)
 
 
-@query(f"with {_T17}, oc as (select network, pattern_id, r, share, k, theta, n, case when not testable then 'not-testable' when greatest(0, e0 - s0 + 1) < 2 or coalesce(covered / nullif(greatest(0, e0 - s0 + 1), 0), 0) < theta then 'dropped' when e0 - s0 + 1 < n then 'cut' else 'kept' end as outcome from bo, t), sc as (select r, share, k, theta, count(*) filter (where outcome in ('kept', 'cut') and n > 3) as tp, count(*) filter (where outcome in ('kept', 'cut') and n <= 3) as fp, count(*) filter (where outcome not in ('kept', 'cut') and n > 3) as fn, count(*) filter (where outcome not in ('kept', 'cut') and n <= 3) as tn from oc group by all) select r, share, k, theta, tp, fp, fn, tn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) as f1, row_number() over (order by round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) desc nulls last, fp, r, share, k, theta)::int as place from sc")
+@query(f"with {_T17}, sc as (select date, r, share, k, theta, count(*) filter (where outcome in ('kept', 'cut') and n > 3) as tp, count(*) filter (where outcome in ('kept', 'cut') and n <= 3) as fp, count(*) filter (where outcome not in ('kept', 'cut') and n > 3) as fn, count(*) filter (where outcome not in ('kept', 'cut') and n <= 3) as tn from oc group by all) select date, r, share, k, theta, tp, fp, fn, tn, round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) as f1, row_number() over (order by round(2 * tp / nullif(2 * tp + fp + fn, 0), 8) desc nulls last, fp, date, r, share, k, theta)::int as place from sc")
 def t_grid_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion counts and F1 of each of the 405 grid points, ranked."""
     point = ("date", "r", "share", "k", "theta")
@@ -190,7 +195,7 @@ def t_text_keys(spark: SparkSession, folder: str) -> DataFrame:
     return o.select("rec_id", normalise_text(F.col("network")).alias("network_key"), normalise_text(F.col("section_from")).alias("from_key"), normalise_ref(F.col("line_2026")).alias("line_key"), is_express_bus(F.col("line_2026"), F.col("mode"), F.col("notes")).alias("express"))
 
 
-#: Mode families of an opening's mode (pt_openings.py).
+#: Mode families of an opening's mode (fixed values).
 _FAMILIES = {"metro": ["metro"], "tram": ["tram"], "tram_train": ["tram", "rail"], "cable": ["metro"], "rail": ["rail"], "bus": ["bus"], "bhns": ["bus"], "trolleybus": ["bus"], "ferry": ["ferry"]}
 
 

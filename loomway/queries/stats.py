@@ -16,7 +16,7 @@ from loomway.queries.base import DAYS, TRIPS, days, registry, trips
 
 QUERIES, SQL, query = registry()
 
-#: Household draws of a survey: the production value (config/zahavi_modes.yaml).
+#: Household draws of a survey (fixed value).
 REPS = 200
 
 # --- distributions
