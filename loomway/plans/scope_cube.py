@@ -11,13 +11,10 @@ from loomway.functions.exprs import safe_div
 from loomway.operators import bootstrap as bs
 from loomway.operators import chains
 
-#: Indicators as ratios of component sums.
-INDICATORS = {"minutes_per_day": ("minutes", "days"), "trips_per_day": ("trips", "days"), "km_per_day": ("km", "days"), "minutes_per_trip": ("minutes", "trips"), "speed_kmh": ("km", "hours")}
-
-#: Sums per household of the whole cube: person-weekdays, weighted described weekdays (left out by the day switch, kept, kept with trips), and weighted trips of kept days, each sum beside the weight of the trips it is known of.
+#: Sums per household: person-weekdays, weighted described weekdays (left out by the day switch, kept, kept with trips), and weighted trips of kept days, each sum beside the weight of the trips it is known of.
 COMPONENTS = ("universe", "dropped", "kept", "travel", "trips", "minutes", "minute_trips", "producer_km", "producer_trips", "crow_km", "crow_trips")
-#: The eight indicators of the whole cube; person_days are the universe without dropped days.
-CUBE_INDICATORS = {
+#: The eight indicators; person_days are the universe without dropped days.
+INDICATORS = {
     "person_days_kept_share": ("person_days", "universe"), "trips_per_day": ("trips", "travel"), "minutes_per_trip": ("minutes", "minute_trips"),
     "km_per_trip_producer": ("producer_km", "producer_trips"), "km_per_trip_crow_fly": ("crow_km", "crow_trips"),
     "minutes_per_day_day": ("minutes", "kept"), "minutes_per_day_travel_day": ("minutes", "travel"), "minutes_per_day_person": ("minutes", "person_days"),
@@ -25,20 +22,14 @@ CUBE_INDICATORS = {
 WEEKDAYS = 5
 
 
-def components(scoped: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> DataFrame:
-    """(scope, survey, hh, category, component sums) from scope_trips(): one pass over the trips for all scopes.
-
-    A day counts for a scope if a trip of it is selected. Sums are per
-    household, so that replicates multiply a few rows and not all trips.
-    """
-    hit = F.filter(F.array(*(F.when(chains.scope_filter(s), F.lit(s)) for s in scopes)), lambda x: x.isNotNull())
-    long = scoped.withColumn("scope", F.explode(hit))
-    per_day = long.groupBy("scope", "survey", "hh", "category", "day_id").agg(F.max("w").alias("w"), F.count("*").alias("n"), F.sum("minutes").alias("m"), F.sum("km").alias("k"))
-    w: Column = F.col("w")
-    return per_day.groupBy("scope", "survey", "hh", "category").agg(F.sum(w).alias("days"), F.sum(w * F.col("n")).alias("trips"), F.sum(w * F.col("m")).alias("minutes"), F.sum(w * F.col("k")).alias("km"), F.sum(w * F.col("m") / 60).alias("hours"), F.count("*").alias("rows"))
+#: Rows under which a cell is blank, and under which it is to be read with caution.
+LEAST, CAUTION = 50, 100
+REFERENCE = "round-dest-local"
+#: What each of the three switches makes of the reference scope.
+SWITCHES = {"days": "alldays-dest-local", "purpose": "round-allpurp-local", "distance": "round-dest-daytable"}
 
 
-def cube_components(scoped: DataFrame, roster: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> DataFrame:
+def components(scoped: DataFrame, roster: DataFrame, scopes: Sequence[str] = chains.SCOPES) -> DataFrame:
     """(scope, survey, hh, category, COMPONENTS, rows) of weekdays; rows counts the kept days with trips.
 
     scoped: scope_trips() with survey, hh, category, w, minutes, producer_km and
@@ -63,18 +54,48 @@ def cube_components(scoped: DataFrame, roster: DataFrame, scopes: Sequence[str]
     return lived.unionByName(people).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in (*COMPONENTS, "rows")))
 
 
-def cube(parts: DataFrame, draws: DataFrame | None = None, reps: int = 0, level: float = 0.95, indicators: dict[str, tuple[str, str]] = INDICATORS, names: Sequence[str] = ("days", "trips", "minutes", "km", "hours"), derived: dict[str, Column] | None = None) -> DataFrame:
-    """(scope, survey, category, indicator, n, value, low, high): point estimates, and intervals where there are draws.
+def _indicators(sums: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """One row for each indicator of the component sums."""
+    sums = sums.withColumn("person_days", F.col("universe") - F.col("dropped"))
+    each = F.array(*(F.struct(F.lit(i).alias("indicator"), safe_div(F.col(a), F.col(b)).alias("value")) for i, (a, b) in INDICATORS.items()))
+    return sums.select(*keys, *more, F.explode(each).alias("z")).select(*keys, *more, "z.*")
 
-    Draws are (survey, hh, rep, mult), shared by all scopes, so that scopes can
-    be compared replicate by replicate.
+
+def cube(parts: DataFrame, draws: DataFrame | None = None, reps: int = 0, level: float = 0.95) -> DataFrame:
+    """(scope, survey, category, indicator, n, reading, value, low, high): point estimates, and intervals where there are draws.
+
+    Draws are those of bootstrap.draws() by survey, shared by all scopes, so
+    that scopes can be compared replicate by replicate. Cells of less than LEAST
+    days are blank; reading says which, and which have less than CAUTION.
     """
     keys = ["scope", "survey", "category"]
-    long = lambda df, extra: df.withColumns(derived or {}).select(*keys, *extra, F.explode(F.array(*(F.struct(F.lit(i).alias("indicator"), safe_div(F.col(a), F.col(b)).alias("value")) for i, (a, b) in indicators.items()))).alias("z")).select(*keys, *extra, "z.*")
-    point = long(parts.groupBy(*keys).agg(F.sum("rows").alias("n"), *(F.sum(c).alias(c) for c in names)), ["n"])
+    point = _indicators(parts.groupBy(*keys).agg(F.sum("rows").alias("n"), *(F.sum(c).alias(c) for c in COMPONENTS)), keys, "n")
+    n = F.col("n")
+    point = point.withColumn("reading", F.when(n < LEAST, "blank").when(n < CAUTION, "caution").otherwise("ok"))
     if draws is None:
         return point
-    sums = parts.join(draws, ["survey", "hh"]).groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("mult")).alias(c) for c in names))
-    ci = bs.interval(long(sums, ["rep"]), [*keys, "indicator"], F.col("value"), level, reps)
+    sums = bs.replicates(parts, keys, ["survey", "hh"], {c: F.col(c) for c in COMPONENTS}, draws, reps)
+    ci = bs.interval(_indicators(sums, keys, "rep"), [*keys, "indicator"], F.col("value"), level, reps)
     out = point.join(ci.drop("valid"), [*keys, "indicator"], "left")
-    return out.select(*keys, "indicator", "n", *(bs.suppressed(F.col(c), F.col("n")).alias(c) for c in ("value", "low", "high")))
+    return out.select(*keys, "indicator", "n", "reading", *(bs.suppressed(F.col(c), n, LEAST).alias(c) for c in ("value", "low", "high")))
+
+
+def switch_effects(parts: DataFrame, draws: DataFrame, reps: int, level: float = 0.95) -> DataFrame:
+    """(survey, indicator, switch, reference, effect, low, high): what a switch adds to the reference scope.
+
+    Effects are taken within each replicate, all scopes having the same draws.
+    """
+    keys = ["survey", "indicator"]
+    scope_of = F.coalesce(*(F.when(F.col("scope") == s, F.lit(n)) for n, s in SWITCHES.items()))
+
+    def effects(values: DataFrame, at: list[str]) -> DataFrame:
+        ref = values.where(F.col("scope") == REFERENCE).select(*at, F.col("value").alias("reference"))
+        to = values.withColumn("switch", scope_of).where("switch is not null").select(*at, "switch", "value")
+        return to.join(ref, at).withColumn("effect", F.col("value") - F.col("reference"))
+
+    mine = parts.where(F.col("scope").isin(REFERENCE, *SWITCHES.values()))
+    point = effects(_indicators(mine.groupBy("scope", "survey").agg(*(F.sum(c).alias(c) for c in COMPONENTS)), ["scope", "survey"]), keys)
+    sums = bs.replicates(mine, ["scope", "survey"], ["survey", "hh"], {c: F.col(c) for c in COMPONENTS}, draws, reps)
+    each = effects(_indicators(sums, ["scope", "survey"], "rep"), [*keys, "rep"])
+    ci = bs.interval(each, [*keys, "switch"], F.col("effect"), level, reps)
+    return point.join(ci.drop("valid"), [*keys, "switch"], "left").select(*keys, "switch", "reference", "effect", "low", "high")

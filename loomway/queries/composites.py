@@ -14,9 +14,9 @@ from loomway.operators import chains
 from loomway.operators import decompose as dc
 from loomway.operators import weighted as wt
 from loomway.operators.relational import first_per_key
-from loomway.plans.scope_cube import COMPONENTS, CUBE_INDICATORS, INDICATORS, components, cube, cube_components
-from loomway.queries.base import DAYS, TRIPS, days, registry, trips
-from loomway.queries.stats import _BOTH, REPS
+from loomway.plans.scope_cube import COMPONENTS, INDICATORS, REFERENCE, SWITCHES, WEEKDAYS, components, cube, switch_effects
+from loomway.queries.base import DAYS, TRIPS, days, key_sql, registry, trips
+from loomway.queries.stats import _BOTH, REPS, draw_sql, replicated
 from loomway.queries.survey import _SCOPED, _scope_sql, _scoped
 from loomway.session import checkpoint_dir, cut
 from loomway.sources import sinks
@@ -27,19 +27,23 @@ QUERIES, SQL, query = registry()
 # --- scope cube (flagship)
 
 _TRIP_OK = "isfinite(duration_min) and duration_min between 0 and 1440 and isfinite(pond_jour) and pond_jour > 0"
-_PARTS = f"""{_SCOPED}, ok as (select *, coalesce(hh, 'none') as h2, coalesce(age_band, 'unknown') as category, coalesce(case when isfinite(distance_km_declared) then distance_km_declared end, 0) as km from scoped where {_TRIP_OK}),
-    long as ({" union all ".join(f"select '{s}' as scope, * from ok where {_scope_sql(s)}" for s in chains.SCOPES)}),
-    pd as (select scope, survey, h2 as hh, category, day_id, max(pond_jour) as w, count(*) as n, sum(duration_min) as m, sum(km) as k from long group by all),
-    parts as (select scope, survey, hh, category, sum(w) as days, sum(w * n) as trips, sum(w * m) as minutes, sum(w * k) as km, sum(w * m / 60) as hours, count(*) as rows from pd group by all)"""
-_IND = lambda src: " union all ".join(f"select *, '{i}' as indicator, {a} / nullif({b}, 0) as value from {src}" for i, (a, b) in INDICATORS.items())
-
-
-def _parts(spark: SparkSession, folder: str) -> DataFrame:
-    d = F.col("duration_min")
-    ok = finite(d) & d.between(0, 1440) & finite(F.col("pond_jour")) & (F.col("pond_jour") > 0)
-    rows = _scoped(spark, folder).where(ok)
-    km = F.coalesce(F.when(finite(F.col("distance_km_declared")), F.col("distance_km_declared")), F.lit(0.0))
-    return components(rows.withColumns({"hh": F.coalesce("hh", F.lit("none")), "category": F.coalesce("age_band", F.lit("unknown")), "w": F.col("pond_jour"), "minutes": d, "km": km}))
+_NOT_NEGATIVE = lambda c: f"case when isfinite({c}) and {c} >= 0 then {c} end"
+_DAY_OF = lambda s: f"""select '{s}' as scope, survey, min(h2) as hh, min(category) as category, max(w) as w, {"bool_or(is_round)" if s.startswith("round") else "true"} as is_kept, count(*) filter (where {_scope_sql(s)}) as n,
+    coalesce(sum(m) filter (where {_scope_sql(s)}), 0) as m, count(m) filter (where {_scope_sql(s)}) as mn, coalesce(sum(pk) filter (where {_scope_sql(s)}), 0) as pk, count(pk) filter (where {_scope_sql(s)}) as pn, coalesce(sum(ck) filter (where {_scope_sql(s)}), 0) as ck, count(ck) filter (where {_scope_sql(s)}) as cn from cr group by survey, day_id"""
+_PARTS = f"""{_SCOPED}, ct as (select *, coalesce(hh, 'none') as h2, coalesce(age_band, 'unknown') as category, {key_sql("ident_ind")} as person from scoped),
+    crow as (select ident_dep, v2_dvo_loc from (select *, row_number() over (partition by ident_dep order by rec_id) as n from k_deploc where ident_dep is not null) where n = 1),
+    cr as (select survey, day_id, h2, category, pond_jour as w, is_round, is_destination, mobloc, case when isfinite(duration_min) and duration_min between 0 and 1440 then duration_min end as m, {_NOT_NEGATIVE("distance_km_declared")} as pk, {_NOT_NEGATIVE("v2_dvo_loc")} as ck from ct left join crow using (ident_dep) where isfinite(pond_jour) and pond_jour > 0 and typejour = 1),
+    dy as ({" union all ".join(_DAY_OF(s) for s in chains.SCOPES)}),
+    mine as (select survey, person, min(h2) as hh, min(category) as category, max(pond_ind) filter (where isfinite(pond_ind)) as w from ct where person is not null group by all),
+    ki as (select {key_sql("ident_ind")} as person, coalesce({key_sql("ident_men")}, 'none') as hh, case when isfinite(pondki) then pondki end as w, row_number() over (partition by {key_sql("ident_ind")} order by rec_id) as n from k_individu where deleted_at is null and {key_sql("ident_ind")} is not null),
+    ro as (select 'J' as survey, ki.hh, coalesce(category, 'unknown') as category, ki.w from ki left join mine on mine.person = ki.person and survey = 'J' where n = 1 union all select survey, hh, category, w from mine where survey = 'P'),
+    un as (select scope, survey, hh, category, 0.0::double as universe, coalesce(sum(w) filter (where not is_kept), 0) as dropped, coalesce(sum(w) filter (where is_kept), 0) as kept, coalesce(sum(w) filter (where is_kept and n > 0), 0) as travel, {", ".join(f"coalesce(sum(w * {c}) filter (where is_kept), 0) as {n}" for c, n in zip(("n", "m", "mn", "pk", "pn", "ck", "cn"), COMPONENTS[4:]))}, count(*) filter (where is_kept and n > 0) as rows from dy group by all
+      union all select scope, survey, hh, category, sum({WEEKDAYS} * w), {", ".join("0" for _ in COMPONENTS)} from ro, (select unnest([{", ".join(f"'{s}'" for s in chains.SCOPES)}]) as scope) where w > 0 group by all),
+    parts as (select scope, survey, hh, category, {", ".join(f"sum({c}) as {c}" for c in COMPONENTS)}, sum(rows) as rows from un group by all),
+    {draw_sql("dj", "select distinct hh from parts where survey = 'J'", 0, "'J' as survey,")}, {draw_sql("dp", "select distinct hh from parts where survey = 'P'", 1000, "'P' as survey,")}, dr as (select * from dj union all select * from dp)"""
+_SUMS = ", ".join(f"sum({c}) as {c}" for c in COMPONENTS)
+_DRAWN = ", ".join(f"sum({c} * mult) as {c}" for c in COMPONENTS)
+_IND = lambda src: " union all ".join(f"select *, '{i}' as indicator, {a} / nullif({b}, 0) as value from (select *, universe - dropped as person_days from {src})" for i, (a, b) in INDICATORS.items())
 
 
 def _cube_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,39 +59,39 @@ def _cube_parts(spark: SparkSession, folder: str) -> DataFrame:
     i = first_per_key(i, ["person"], ["rec_id"]).select("person", F.coalesce(norm_key(F.col("ident_men")), F.lit("none")).alias("hh"), F.when(finite(F.col("pondki")), F.col("pondki")).alias("w"))
     j = i.join(mine.where("survey = 'J'").select("person", "category"), "person", "left").select(F.lit("J").alias("survey"), "hh", F.coalesce("category", F.lit("unknown")).alias("category"), "w")
     roster = j.unionByName(mine.where("survey = 'P'").select("survey", "hh", "category", "w")).where("w > 0")
-    return cube_components(rows, roster)
+    return components(rows, roster)
 
 
-def _draws(name: str, survey: str, offset: int) -> str:
-    r = f"(r + {offset})"
-    return f"""{name}_hh as (select hh, row_number() over (order by hh) - 1 as idx from (select distinct hh from parts where survey = '{survey}')), {name}_n as (select count(*)::bigint as n from {name}_hh),
-    {name} as (select '{survey}' as survey, hh, r as rep, count(*) as mult from (select r, (((((i * 48271 + {r} * 69621 + 11) % 2147483647) * ((i * 16807 + {r} * 40692 + 7) % 46337)) % 2147483647) % n) as idx from {name}_n, range(0, (select n from {name}_n)) a(i), range(0, {REPS}) b(r)) join {name}_hh using (idx) group by hh, r)"""
+def _cube(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Component sums, kept as they are read by the draws, the point estimates and the replicates; and the draws of both surveys."""
+    parts = cut(_cube_parts(spark, folder))
+    return parts, bs.draws(parts, "hh", REPS, "survey", {"J": 0, "P": 1000})
 
 
 @query(
-    f"""with {_PARTS}, {_draws("dj", "J", 0)}, {_draws("dp", "P", 1000)}, pt as (select scope, survey, category, sum(rows)::bigint as n, sum(days) as days, sum(trips) as trips, sum(minutes) as minutes, sum(km) as km, sum(hours) as hours from parts group by all), pl as (select scope, survey, category, n, indicator, value from ({_IND("pt")})),
-    rs as (select scope, p.survey, category, rep, sum(days * mult) as days, sum(trips * mult) as trips, sum(minutes * mult) as minutes, sum(km * mult) as km, sum(hours * mult) as hours from parts p join (select * from dj union all select * from dp) d on d.survey = p.survey and d.hh = p.hh group by all),
+    f"""with {_PARTS}, pt as (select scope, survey, category, sum(rows)::bigint as n, {_SUMS} from parts group by all), pl as (select scope, survey, category, n, indicator, value from ({_IND("pt")})),
+    rs as (select scope, survey, category, rep, {_DRAWN} from parts join dr using (survey, hh) group by all),
     ci as (select scope, survey, category, indicator, quantile_cont(value, 0.025) as low, quantile_cont(value, 0.975) as high, count(value) as valid from ({_IND("rs")}) group by all)
-    select scope, survey, category, indicator, n, case when n >= 50 then round(value, 6) end as value, case when n >= 50 and valid >= {0.95 * REPS} then round(low, 6) end as low, case when n >= 50 and valid >= {0.95 * REPS} then round(high, 6) end as high from pl left join ci using (scope, survey, category, indicator)"""
+    select scope, survey, category, indicator, n, case when n < 50 then 'blank' when n < 100 then 'caution' else 'ok' end as reading, case when n >= 50 then round(value, 6) end as value, case when n >= 50 and valid >= {0.95 * REPS} then round(low, 6) end as low, case when n >= 50 and valid >= {0.95 * REPS} then round(high, 6) end as high from pl left join ci using (scope, survey, category, indicator)"""
 )
 def y_scope_cube(spark: SparkSession, folder: str) -> DataFrame:
     """Eight scopes, two surveys, age bands, eight indicators of weekdays, with household-bootstrap intervals."""
-    parts = cut(_cube_parts(spark, folder))  # read by the draws of both surveys, the point estimates and the replicates
-    one = lambda s, o: bs.draws(parts.where(F.col("survey") == s), "hh", REPS, o).withColumn("survey", F.lit(s))
-    out = cube(parts, one("J", 0).unionByName(one("P", 1000)), REPS, indicators=CUBE_INDICATORS, names=COMPONENTS, derived={"person_days": F.col("universe") - F.col("dropped")})
-    return out.select("scope", "survey", "category", "indicator", "n", *(F.round(c, 6).alias(c) for c in ("value", "low", "high")))
+    out = cube(*_cube(spark, folder), REPS)
+    return out.select("scope", "survey", "category", "indicator", "n", "reading", *(F.round(c, 6).alias(c) for c in ("value", "low", "high")))
+
+
+_EFFECTS = lambda src, at: f"select {at}, indicator, switch, ref.value as reference, v.value - ref.value as effect from ({_IND(src)}) v join ({_IND(src)}) ref using ({at}, indicator) join (select unnest(['days', 'purpose', 'distance']) as switch, unnest([{', '.join(repr(s) for s in SWITCHES.values())}]) as scope) k on k.scope = v.scope where ref.scope = '{REFERENCE}'"
 
 
 @query(
-    f"""with {_PARTS}, pt as (select scope, survey, sum(days) as days, sum(trips) as trips, sum(minutes) as minutes, sum(km) as km, sum(hours) as hours from parts group by all), pl as (select scope, survey, indicator, value from ({_IND("pt")}))
-    select survey, indicator, round(max(value) filter (where scope = 'round-dest-local'), 6) as reference, round(max(value) filter (where scope = 'alldays-dest-local') - max(value) filter (where scope = 'round-dest-local'), 6) as days_switch, round(max(value) filter (where scope = 'round-allpurp-local') - max(value) filter (where scope = 'round-dest-local'), 6) as purpose_switch, round(max(value) filter (where scope = 'round-dest-daytable') - max(value) filter (where scope = 'round-dest-local'), 6) as distance_switch from pl group by all"""
+    f"""with {_PARTS}, pt as (select scope, survey, {_SUMS} from parts group by all), rs as (select scope, survey, rep, {_DRAWN} from parts join dr using (survey, hh) group by all), p as ({_EFFECTS("pt", "survey")}), r as ({_EFFECTS("rs", "survey, rep")}),
+    ci as (select survey, indicator, switch, quantile_cont(effect, 0.025) as low, quantile_cont(effect, 0.975) as high, count(effect) as valid from r group by all)
+    select survey, indicator, switch, round(reference, 6) as reference, round(effect, 6) as effect, case when valid >= {0.95 * REPS} then round(low, 6) end as low, case when valid >= {0.95 * REPS} then round(high, 6) end as high from p left join ci using (survey, indicator, switch)"""
 )
 def y_scope_switches(spark: SparkSession, folder: str) -> DataFrame:
-    """What each of the three switches changes against the reference scope."""
-    p = cube(_parts(spark, folder).withColumn("category", F.lit("all")))
-    at = lambda s: F.max(F.when(F.col("scope") == s, F.col("value")))
-    ref = at("round-dest-local")
-    return p.groupBy("survey", "indicator").agg(F.round(ref, 6).alias("reference"), *(F.round(at(s) - ref, 6).alias(n) for n, s in (("days_switch", "alldays-dest-local"), ("purpose_switch", "round-allpurp-local"), ("distance_switch", "round-dest-daytable"))))
+    """What each of the three switches adds to the reference scope, with intervals of the effect itself."""
+    out = switch_effects(*_cube(spark, folder), REPS)
+    return out.select("survey", "indicator", "switch", *(F.round(c, 6).alias(c) for c in ("reference", "effect", "low", "high")))
 
 
 # --- reports of several parts
@@ -143,11 +147,7 @@ def y_tail_difference(spark: SparkSession, folder: str) -> DataFrame:
     """Difference of the minutes that days above three hours give, with its interval."""
     d = days(spark, folder)
     w, x = F.col("w"), F.col("x")
-    out = []
-    for s, o in (("a", 0), ("b", 1000)):
-        one = d.where(F.col("survey") == s)
-        out.append(bs.replicates(one, ["survey"], "hh", {"t": F.when(x > 180, w * x), "w0": w}, bs.draws(one, "hh", REPS, o)))
-    r = out[0].unionByName(out[1]).withColumn("tail", F.col("t") / F.col("w0"))
+    r = replicated(d, [], {"t": F.when(x > 180, w * x), "w0": w}).withColumn("tail", safe_div(F.col("t"), F.col("w0")))
     p = dc.side_by_side(r, ["rep"], "survey", "a", "b", ("tail",)).withColumn("d", F.col("tail_b") - F.col("tail_a"))
     return p.agg(*(F.round(F.expr(f"percentile(d, {q})"), 6).alias(n) for q, n in ((0.025, "low"), (0.975, "high"))))
 

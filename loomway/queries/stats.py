@@ -137,27 +137,28 @@ def x_robustness(spark: SparkSession, folder: str) -> DataFrame:
 # --- household bootstrap
 
 
-def _draw_sql(name: str, source: str, offset: int = 0) -> str:
-    r = f"(r + {offset})"
-    return f"""{name}_hh as (select hh, row_number() over (order by hh) - 1 as idx from (select distinct hh from {source})), {name}_n as (select count(*)::bigint as n from {name}_hh),
-    {name} as (select hh, r as rep, count(*) as mult from (select r, (((((i * 48271 + {r} * 69621 + 11) % 2147483647) * ((i * 16807 + {r} * 40692 + 7) % 46337)) % 2147483647) % n) as idx
-      from {name}_n, range(0, (select n from {name}_n)) a(i), range(0, {REPS}) b(r)) join {name}_hh using (idx) group by hh, r)"""
+def draw_sql(name: str, households: str, offset: int = 0, extra: str = "") -> str:
+    """`name`(hh, rep, mult): the draws of bootstrap.draws() for a query that gives (hh)."""
+    r, k = f"(r + {offset})", bs.STRATUM
+    return f"""{name}_hh as (select hh, idx, idx * ((n + {k - 1}) // {k}) // n as st from (select hh, row_number() over (order by md5(hh), hh) - 1 as idx, count(*) over () as n from ({households}))),
+    {name}_st as (select st, min(idx) as lo, count(*) as m from {name}_hh group by 1),
+    {name} as (select {extra} hh, r as rep, count(*) as mult from (select r, lo + (((((i * 48271 + {r} * 69621 + 11) % 2147483647) * ((i * 16807 + {r} * 40692 + 7) % 46337)) % 2147483647) % m) as idx
+      from (select lo, m, unnest(range(lo, lo + m)) as i from {name}_st), range(0, {REPS}) b(r)) join {name}_hh using (idx) group by hh, r)"""
 
 
-_BOTH = f"{DAYS}, da as (select * from days where survey = 'a'), db as (select * from days where survey = 'b'), {_draw_sql('dra', 'da')}, {_draw_sql('drb', 'db', 1000)}"
+_BOTH = f"{DAYS}, da as (select * from days where survey = 'a'), db as (select * from days where survey = 'b'), {draw_sql('dra', 'select distinct hh from da')}, {draw_sql('drb', 'select distinct hh from db', 1000)}"
+_OFFSETS = {"a": 0, "b": 1000}
+
+
+def replicated(d: DataFrame, keys: list[str], sums: dict | None = None) -> DataFrame:
+    """Replicates of days per survey and keys, each survey with its own draws."""
+    sums = sums or {"sw": F.col("w"), "sx": F.col("w") * F.col("x")}
+    return bs.replicates(d, ["survey", *keys], ["survey", "hh"], sums, bs.draws(d, "hh", REPS, "survey", _OFFSETS), REPS)
 
 
 def _replicates(spark: SparkSession, folder: str, keys: list[str], sums: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Days, and their replicates per survey and keys, each survey with its own draws."""
     d = days(spark, folder)
-    sums = sums or {"sw": F.col("w"), "sx": F.col("w") * F.col("x")}
-    out = []
-    for survey, offset in (("a", 0), ("b", 1000)):
-        one = d.where(F.col("survey") == survey)
-        drawn = bs.draws(one, "hh", REPS, offset)
-        bs.check_roster(one, drawn.select("hh").union(one.select("hh")), "hh")
-        out.append(bs.replicates(one, ["survey", *keys], "hh", sums, drawn))
-    return d, out[0].unionByName(out[1])
+    return d, replicated(d, keys, sums)
 
 
 def _rep_sql(key: str) -> str:
@@ -168,9 +169,7 @@ def _rep_sql(key: str) -> str:
 @query(f"with {_BOTH} select 'a' as survey, hh, rep, mult::bigint as mult from dra union all select 'b', hh, rep, mult from drb")
 def x_draws(spark: SparkSession, folder: str) -> DataFrame:
     """The draws themselves."""
-    d = days(spark, folder)
-    a, b = (bs.draws(d.where(F.col("survey") == s), "hh", REPS, o).select(F.lit(s).alias("survey"), "hh", "rep", "mult") for s, o in (("a", 0), ("b", 1000)))
-    return a.unionByName(b)
+    return bs.long_draws(bs.draws(days(spark, folder), "hh", REPS, "survey", _OFFSETS), REPS)
 
 
 @query(f"with {_BOTH}, {_rep_sql('band')}, pt as (select survey, band, count(*) as n, sum(w * x) / sum(w) as mean from days group by all), ci as (select survey, band, quantile_cont(sx / nullif(sw, 0), 0.025) as low, quantile_cont(sx / nullif(sw, 0), 0.975) as high, count(sx / nullif(sw, 0)) as valid from reps group by all) select survey, band, n, valid, round(mean, 6) as mean, round(case when valid >= {0.95 * REPS} then low end, 6) as low, round(case when valid >= {0.95 * REPS} then high end, 6) as high from pt join ci using (survey, band)")

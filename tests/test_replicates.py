@@ -1,8 +1,10 @@
 """All registered household bootstraps draw the production number of replicates."""
 
+import hashlib
 from collections import Counter
 
 import __spark_entry__ as entry
+from loomway.operators import bootstrap as bs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,11 +26,11 @@ def test_interval_against_brute_force(spark):
     rows = days(spark, FOLDER).select("survey", "band", "hh", "w", "x").collect()
     for survey, offset in (("a", 0), ("b", 1000)):
         mine = [r for r in rows if r.survey == survey]
-        hh = sorted({r.hh for r in mine})
+        hh = sorted({r.hh for r in mine}, key=lambda h: (hashlib.md5(h.encode()).hexdigest(), h))
+        assert len(hh) <= bs.STRATUM
         est = {}
         for rep in range(200):
-            r_ = rep + offset
-            mult = Counter(hh[((((i * 48271 + r_ * 69621 + 11) % 2147483647) * ((i * 16807 + r_ * 40692 + 7) % 46337)) % 2147483647) % len(hh)] for i in range(len(hh)))
+            mult = Counter(hh[bs.drawn_index(i, rep + offset, len(hh))] for i in range(len(hh)))
             sums = {}
             for r in mine:
                 s = sums.setdefault(r.band, [0.0, 0.0])

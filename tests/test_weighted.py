@@ -1,3 +1,5 @@
+import hashlib
+from collections import Counter
 import random
 
 import numpy as np
@@ -90,18 +92,32 @@ def test_prefix_sums_and_index(spark):
 
 def test_draws_and_replicates(spark):
     roster = spark.createDataFrame([(f"h{i:03}",) for i in range(200)] + [(None,)], "hh string")
-    d = bs.draws(roster, "hh", 10)
+    drawn = bs.draws(roster, "hh", 10)
+    d = bs.long_draws(drawn, 10)
     per = {r.rep: r.n for r in d.groupBy("rep").agg(F.sum("mult").alias("n")).collect()}
     assert per == {r: 200 for r in range(10)}
     var = d.agg((F.sum(F.col("mult") * F.col("mult")) / 2000 - 1).alias("v")).first().v
     assert 0.7 < var < 1.3
-    rows = spark.createDataFrame([("a", "h001", 2.0), ("a", "h002", 3.0), ("b", "h001", 1.0)], "g string, hh string, x double")
-    got = {(r.g, r.rep): r.s for r in bs.replicates(rows, ["g"], "hh", {"s": F.col("x")}, d).collect()}
+    rows = spark.createDataFrame([("a", "h001", 2.0), ("a", "h002", 3.0), ("b", "h001", 1.0), (None, "h002", 1.0), ("b", "h002", None)], "g string, hh string, x double").withColumn("mult", F.lit("clash"))
+    got = {(r.g, r.rep): r.s for r in bs.replicates(rows, ["g"], "hh", {"s": F.col("x")}, drawn, 10).collect()}
     mult = {(r.hh, r.rep): r.mult for r in d.collect()}
+    assert len(got) == 30
     for (g, rep), s in got.items():
-        assert s == sum(x * mult.get((h, rep), 0) for k, h, x in (("a", "h001", 2.0), ("a", "h002", 3.0), ("b", "h001", 1.0)) if k == g)
-    with pytest.raises(ValueError):
-        bs.check_roster(rows, roster.where("hh <> 'h001'"), "hh")
+        assert s == sum(x * mult.get((h, rep), 0) for k, h, x in (("a", "h001", 2.0), ("a", "h002", 3.0), ("b", "h001", 1.0), (None, "h002", 1.0)) if k == g)
+    assert bs.replicates(rows.limit(0), ["g"], "hh", {"s": F.col("x")}, drawn, 10).count() == 0
+    with pytest.raises(Exception, match="outside the roster"):
+        bs.replicates(rows, [], "hh", {"s": F.col("x")}, drawn.where("hh <> 'h001'"), 10).collect()
+
+
+def test_strata_draw_as_many_as_they_have(spark, monkeypatch):
+    monkeypatch.setattr(bs, "STRATUM", 30)
+    roster = spark.createDataFrame([(s, f"h{i:03}") for s, n in (("a", 100), ("b", 7)) for i in range(n)], "s string, hh string")
+    rows = bs.long_draws(bs.draws(roster, "hh", 8, "s", {"a": 0, "b": 500}), 8).collect()
+    order = {s: {h: i for i, h in enumerate(sorted((f"h{i:03}" for i in range(n)), key=lambda h: (hashlib.md5(h.encode()).hexdigest(), h)))} for s, n in (("a", 100), ("b", 7))}
+    per = Counter()
+    for r in rows:
+        per[r.s, r.rep, order[r.s][r.hh] * (4 if r.s == "a" else 1) // len(order[r.s])] += r.mult
+    assert per == {("a", rep, st): 25 for rep in range(8) for st in range(4)} | {("b", rep, 0): 7 for rep in range(8)}
 
 
 def test_verdicts_and_gates(spark):
