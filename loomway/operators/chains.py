@@ -44,8 +44,13 @@ def scope_days(trips: DataFrame, order: Sequence[str]) -> DataFrame:
         F.min_by("moridom", key).alias("first_moridom"),
         F.max_by(F.nullif("destination_purpose", F.lit("")), key).alias("last_destination"),
     )
+    return ends.withColumns(_at_home()).withColumn("is_round", F.col("starts_at_residence") & F.col("ends_at_residence"))
+
+
+def _at_home() -> dict[str, Column]:
+    """Whether a day starts and ends at a residence, from first_origin, first_moridom and last_destination."""
     starts = F.when(F.col("first_origin").isNull() | (F.col("first_origin") == "9999"), F.col("first_moridom") == 1).otherwise(F.col("first_origin").isin(*RESIDENCE))
-    return ends.withColumns({"starts_at_residence": F.coalesce(starts, F.lit(False)), "ends_at_residence": F.coalesce(F.col("last_destination").isin(*RESIDENCE), F.lit(False))}).withColumn("is_round", F.col("starts_at_residence") & F.col("ends_at_residence"))
+    return {"starts_at_residence": F.coalesce(starts, F.lit(False)), "ends_at_residence": F.coalesce(F.col("last_destination").isin(*RESIDENCE), F.lit(False))}
 
 
 def scope_trips(trips: DataFrame, order: Sequence[str], activity_stay_min: float = 15.0) -> DataFrame:
@@ -63,8 +68,11 @@ def scope_trips(trips: DataFrame, order: Sequence[str], activity_stay_min: float
     out = out.withColumn("prior_activity", F.lag("outward_activity", 1, False).over(w))
     falsy = lambda c: F.coalesce(c, F.lit(False))
     rules = falsy(F.col("motive").isin(*HOLIDAY)) | falsy(F.col("destination_purpose").isin(*PROFESSIONAL_ROUND)) | F.col("outward_activity") | (falsy(F.col("destination_purpose").isin(*RESIDENCE)) & F.col("prior_activity"))
-    days = scope_days(trips, order).select("day_id", "starts_at_residence", "ends_at_residence", "is_round")
-    return out.withColumn("is_destination", ~rules).join(days, "day_id")
+    # The day's ends are windows of the same partitioning and order: no second pass over the trips.
+    day = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = {"first_origin": F.first(F.nullif("origin_purpose", F.lit(""))).over(day), "first_moridom": F.first("moridom").over(day), "last_destination": F.last(F.nullif("destination_purpose", F.lit(""))).over(day)}
+    out = out.withColumn("is_destination", ~rules).where("day_id is not null").withColumns(ends).withColumns(_at_home()).drop(*ends)
+    return out.withColumn("is_round", F.col("starts_at_residence") & F.col("ends_at_residence"))
 
 
 def tours(scoped: DataFrame, order: Sequence[str], selected: Column) -> DataFrame:

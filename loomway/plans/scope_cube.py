@@ -40,9 +40,13 @@ def components(scoped: DataFrame, roster: DataFrame, scopes: Sequence[str] = cha
     src = {"minutes": "minutes", "producer_km": "producer_km", "crow_km": "crow_km"}
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     per = lambda f: [F.count(F.when(f, 1)).cast("double").alias("trips"), *(x for v, n in known for x in (zero(F.sum(F.when(f, F.col(src[v])))).alias(v), F.count(F.when(f, F.col(src[v]))).cast("double").alias(n)))]
-    days = scoped.where("typejour = 1 and w > 0").groupBy("survey", "day_id").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max("w").alias("w"), F.bool_or("is_round").alias("is_round"), *(F.struct(*per(chains.scope_filter(s))).alias(f"_{i}") for i, s in enumerate(scopes)))
+    # Whether a day is round is the same for all of its trips, so scopes that differ in that alone share their sums.
+    trips_of = {s: "alldays-" + s.split("-", 1)[1] for s in scopes}
+    shared = sorted(set(trips_of.values()))
+    flagged = scoped.where("typejour = 1 and w > 0").select("survey", "day_id", "hh", "category", "w", "is_round", *src.values(), *(chains.scope_filter(s).alias(f"_f{i}") for i, s in enumerate(shared)))
+    days = flagged.groupBy("survey", "day_id").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max("w").alias("w"), F.bool_or("is_round").alias("is_round"), *(F.struct(*per(F.col(f"_f{i}"))).alias(f"_{i}") for i in range(len(shared))))
     kept = lambda s: F.col("is_round") if s.startswith("round") else F.lit(True)
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), kept(s).alias("is_kept"), F.col(f"_{i}").alias("t")) for i, s in enumerate(scopes))))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("scope"), kept(s).alias("is_kept"), F.col(f"_{shared.index(trips_of[s])}").alias("t")) for s in scopes)))
     day = days.select("survey", "hh", "category", "w", each.alias("z")).select("survey", "hh", "category", "w", "z.scope", "z.is_kept", "z.t.*")
     w, k = F.col("w"), F.col("is_kept")
     travel = k & (F.col("trips") > 0)

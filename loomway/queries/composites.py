@@ -50,11 +50,12 @@ def _cube_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Crow-fly distances are in the raw trips of 2008 (J) only. 2008 has a roster of persons; that of 2019 (P) are the persons of its trips."""
     known = lambda c, ok: F.when(finite(F.col(c)) & ok, F.col(c))
     crow = first_per_key(table(spark, folder, "k_deploc", "rec_id", "ident_dep", "v2_dvo_loc").where("ident_dep is not null"), ["ident_dep"], ["rec_id"]).select("ident_dep", "v2_dvo_loc")
-    t = _scoped(spark, folder).withColumns({"hh": F.coalesce("hh", F.lit("none")), "category": F.coalesce("age_band", F.lit("unknown")), "person": norm_key(F.col("ident_ind"))})
-    rows = t.where(finite(F.col("pond_jour"))).join(crow, "ident_dep", "left")
+    known_by = {"hh": F.coalesce("hh", F.lit("none")), "category": F.coalesce("age_band", F.lit("unknown"))}
+    rows = _scoped(spark, folder).withColumns(known_by).where(finite(F.col("pond_jour")) & (F.col("typejour") == 1)).join(crow, "ident_dep", "left")
     d, km, cf = "duration_min", "distance_km_declared", "v2_dvo_loc"
     rows = rows.withColumns({"w": F.col("pond_jour"), "minutes": known(d, F.col(d).between(0, 1440)), "producer_km": known(km, F.col(km) >= 0), "crow_km": known(cf, F.col(cf) >= 0)})
-    mine = t.where("person is not null").groupBy("survey", "person").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max(F.when(finite(F.col("pond_ind")), F.col("pond_ind"))).alias("w"))
+    t = trips(spark, folder).withColumns({**known_by, "person": norm_key(F.col("ident_ind"))})
+    mine = t.where("person is not null and day_id is not null").groupBy("survey", "person").agg(F.min("hh").alias("hh"), F.min("category").alias("category"), F.max(F.when(finite(F.col("pond_ind")), F.col("pond_ind"))).alias("w"))
     i = table(spark, folder, "k_individu", "rec_id", "ident_ind", "ident_men", "pondki", "deleted_at").where("deleted_at is null").withColumn("person", norm_key(F.col("ident_ind"))).where("person is not null")
     i = first_per_key(i, ["person"], ["rec_id"]).select("person", F.coalesce(norm_key(F.col("ident_men")), F.lit("none")).alias("hh"), F.when(finite(F.col("pondki")), F.col("pondki")).alias("w"))
     j = i.join(mine.where("survey = 'J'").select("person", "category"), "person", "left").select(F.lit("J").alias("survey"), "hh", F.coalesce("category", F.lit("unknown")).alias("category"), "w")
