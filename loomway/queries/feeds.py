@@ -281,15 +281,12 @@ def _laea() -> str:
     qp, q0 = gr._q(1.0), gr._q(s0)
     b0, rq = math.asin(q0 / qp), gr._A * math.sqrt(qp / 2)
     d = gr._A * math.cos(math.radians(gr._LAT0)) / math.sqrt(1 - gr._E2 * s0 * s0) / (rq * math.cos(b0))
-    return f"""{_NODES}, q as (select *, asin(greatest(-1.0, least(1.0, {_Q("sin(radians(lat))")} / {qp!r}))) as b, radians(lon - 10) as dl from nodes where lon between -25 and 45 and lat between 30 and 72),
-      k as (select *, {rq!r} * sqrt(2 / (1 + {math.sin(b0)!r} * sin(b) + {math.cos(b0)!r} * cos(b) * cos(dl))) as k from q), xy as (select id, lon, lat, 4321000 + k * {d!r} * cos(b) * sin(dl) as x, 3210000 + k / {d!r} * ({math.cos(b0)!r} * sin(b) - {math.sin(b0)!r} * cos(b) * cos(dl)) as y from k)"""
+    return f"""{_NODES}, q as (select *, asin(greatest(-1.0, least(1.0, {_Q("sin(radians(lat))")} / {qp!r}))) as b, radians(lon - 10) as dl, lon between -25 and 45 and lat between 30 and 72 as inside from nodes),
+      k as (select *, {rq!r} * sqrt(2 / (1 + {math.sin(b0)!r} * sin(b) + {math.cos(b0)!r} * cos(b) * cos(dl))) as k from q), xy as (select id, lon, lat, case when inside then 4321000 + k * {d!r} * cos(b) * sin(dl) end as x, case when inside then 3210000 + k / {d!r} * ({math.cos(b0)!r} * sin(b) - {math.sin(b0)!r} * cos(b) * cos(dl)) end as y from k)"""
 
 
 def _projected(spark: SparkSession, folder: str) -> DataFrame:
-    """All usable nodes; x and y are null outside EPSG:3035's domain here, lon -25 to 45 and lat 30 to 72.
-
-    The SQL of the queries over it leaves those nodes out.
-    """
+    """All usable nodes; x and y are null outside EPSG:3035's domain here, lon -25 to 45 and lat 30 to 72."""
     n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
     inside = F.col("lon").between(-25, 45) & F.col("lat").between(30, 72)
     x, y = gr.project(F.col("lon"), F.col("lat"))
@@ -311,7 +308,7 @@ def g_grid_cells(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("cell", "points", "north", "east", gr.cell_code(F.col("north"), F.col("east"), 1000).alias("code"), F.get(gr.children(F.col("cell"), 1000, 200), F.lit(0)).alias("first_child"), F.get(gr.neighbours(F.col("cell")), F.lit(0)).alias("first_neighbour"), gr.tile_bounds(F.col("north"), F.col("east"), 10_000, 500)["north_min"].cast("long").alias("tile_north"))
 
 
-@query(f"with {_laea()}, c as (select distinct (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell from xy), kids as (select cell, unnest(range(0, 25)) as i from c) select cell, ((cell // 100000 * 5 + i // 5) * 100000 + cell % 100000 * 5 + i % 5)::bigint as child, (select count(*) from c d where d.cell = kids.cell + (i // 5 - 2) * 100000 + i % 5 - 2) - (i = 12)::int as neighbour_used from kids")
+@query(f"with {_laea()}, c as (select distinct (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell from xy where x is not null), kids as (select cell, unnest(range(0, 25)) as i from c) select cell, ((cell // 100000 * 5 + i // 5) * 100000 + cell % 100000 * 5 + i % 5)::bigint as child, (select count(*) from c d where d.cell = kids.cell + (i // 5 - 2) * 100000 + i % 5 - 2) - (i = 12)::int as neighbour_used from kids")
 def g_children_and_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """All children of the used cells, and whether the neighbour at the same place of the stencil is used."""
     cells = _projected(spark, folder).where("x is not null").select(gr.cell_id(F.col("y"), F.col("x"), 1000).alias("cell")).distinct()  # outside there are no cells
@@ -322,12 +319,12 @@ def g_children_and_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return hit.select("cell", "child", F.when(F.col("i") == 12, 0).otherwise(F.coalesce("u", F.lit(0))).cast("long").alias("neighbour_used"))
 
 
-_BOX = "box as (select siren, xmin, ymin, xmax, ymax from epci_polygons where isfinite(xmin) and isfinite(xmax) and xmax - xmin < 3)"
+_BOX = "box as (select siren, xmin, ymin, xmax, ymax from epci_polygons where isfinite(xmin) and isfinite(xmax))"
 
 
 @query(f"with {_NODES}, {_BOX} select siren, count(*) as nodes, round(min(sqrt(pow(n.lon - (xmin + xmax) / 2, 2) + pow(n.lat - (ymin + ymax) / 2, 2))), 9) as nearest from nodes n join box b on n.lon between xmin and xmax and n.lat between ymin and ymax group by 1")
 def g_box_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes within each region's box, however wide, by a bucketed range join, and the one nearest its middle. The SQL leaves out boxes of 3 degrees or more."""
+    """Nodes within each region's box, however wide, by a bucketed range join, and the one nearest its middle."""
     n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
     b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")))
     j = band_join(n, b, "lon", "xmin", "xmax", 0.25).where("lat between ymin and ymax")
@@ -337,7 +334,7 @@ def g_box_join(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"with {_NODES}, {_BOX}, d as (select siren, id, greatest(0.0, least(1.0, ((lon - xmin) * (xmax - xmin) + (lat - ymin) * (ymax - ymin)) / nullif((xmax - xmin) * (xmax - xmin) + (ymax - ymin) * (ymax - ymin), 0))) as t, lon, lat, xmin, ymin, xmax, ymax from nodes join box on lon between xmin and xmax and lat between ymin and ymax) select siren, round(min(sqrt(pow(lon - xmin - t * (xmax - xmin), 2) + pow(lat - ymin - t * (ymax - ymin), 2))), 9) as distance from d group by 1")
 def g_segment_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """Least distance of a region's nodes from the diagonal of its box, however wide. The SQL leaves out boxes of 3 degrees or more."""
+    """Least distance of a region's nodes from the diagonal of its box, however wide."""
     n = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
     b = table(spark, folder, "epci_polygons", "siren", "xmin", "ymin", "xmax", "ymax").where(finite(F.col("xmin")) & finite(F.col("xmax")))
     j = band_join(n, b, "lon", "xmin", "xmax", 0.25).where("lat between ymin and ymax")
@@ -345,7 +342,7 @@ def g_segment_distance(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy("siren").agg(F.round(F.min(d), 9).alias("distance"))
 
 
-@query(f"with {_laea()}, c as (select (floor(y / 200) * 100000 + floor(x / 200))::bigint as cell, count(*) as n from xy group by 1) select (cell // 100000 // 5 * 100000 + cell % 100000 // 5)::bigint as parent, count(*) as children, sum(n)::bigint as points, round(sum(n * n) / sum(n), 8) as crowding from c group by 1")
+@query(f"with {_laea()}, c as (select (floor(y / 200) * 100000 + floor(x / 200))::bigint as cell, count(*) as n from xy group by 1) select (cell // 100000 // 5 * 100000 + cell % 100000 // 5)::bigint as parent, count(cell) as children, sum(n)::bigint as points, case when count(cell) > 0 then round(sum(n * n) / sum(n), 8) end as crowding from c group by 1")
 def g_aggregate_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of 200 m summed to their kilometre cells; points outside the domain are counted under a null one, without children."""
     c = _projected(spark, folder).groupBy(gr.cell_id(F.col("y"), F.col("x"), 200).alias("cell")).agg(F.count("*").alias("n"))

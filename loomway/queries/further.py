@@ -91,7 +91,7 @@ def y_measurement_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("survey", F.explode(F.array(*(F.struct(F.lit(k).alias("effect"), F.round(c, 6).alias("minutes")) for k, c in effects.items()))).alias("z")).select("survey", "z.*")
 
 
-@query(f"with {_laea()}, c as (select (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell, id, x, y, lag(x) over o as px, lag(y) over o as py from xy window o as (partition by (floor(y / 1000) * 100000 + floor(x / 1000)) order by id)) select cell, count(*) as points, round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 2) as length, round(min(x), 2) as xmin, round(max(x), 2) as xmax, round(min(y), 2) as ymin, round(max(y), 2) as ymax, round(avg(x), 2) as cx, round(avg(y), 2) as cy from c group by 1")
+@query(f"with {_laea()}, c as (select (floor(y / 1000) * 100000 + floor(x / 1000))::bigint as cell, id, x, y, lag(x) over o as px, lag(y) over o as py from xy window o as (partition by (floor(y / 1000) * 100000 + floor(x / 1000)) order by id)) select cell, count(*) as points, case when cell is not null then round(coalesce(sum(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 0), 2) end as length, round(min(x), 2) as xmin, round(max(x), 2) as xmax, round(min(y), 2) as ymin, round(max(y), 2) as ymax, round(avg(x), 2) as cx, round(avg(y), 2) as cy from c group by 1")
 def g_assembled_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines from each cell's nodes in the order of their ids: points, length, envelope and middle; points outside the domain are counted in a null cell without a line."""
     every = _projected(spark, folder)
