@@ -32,6 +32,11 @@ def finite_or_null(c: Column) -> Column:
     return F.when(finite(c), c)
 
 
+def let(x: Column, f) -> Column:
+    """f of x, where x stands once in the plan and is evaluated once, however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b, null where b is zero or null."""
     return F.try_divide(a.cast("double"), b.cast("double"))

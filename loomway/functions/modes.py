@@ -14,24 +14,20 @@ SPEED_LIMIT_KMH = {"walk": 7.0, "cycle": 35.0, "car": 130.0}
 RESIDENCE = ("1.1", "1.2", "1.3")
 LEISURE_ANY, LEISURE_SHORT, HOLIDAY = (7.7, 7.8), 7.6, (8.1, 8.2, 8.3, 8.4)
 PROFESSIONAL_ROUND = ("9.4", "9.95")
-SMALL, MEDIUM, LARGE = ("0", "1", "2", "3"), ("4", "5", "6"), ("7", "8")
+SMALL, LARGE = ("0", "1", "2", "3"), ("7", "8")
+CYCLE, DRIVER, PASSENGER = (2.1, 2.2), (3.1, 3.3), 3.2
+URBAN_PT, TRAIN = (5.1, 5.2, 5.3, 5.4, 5.5, 5.6, 5.7), (5.8, 5.9)
+WALK_GROUP, TRAIN_GROUP = 1, 6
 NO_ANSWER = 9999
 
 
 def mode_group(mtp: Column, inside: Column, outside: Column) -> Column:
     """Eight classes; a passenger with only people of other households is a carpool passenger."""
     whole = F.floor(mtp)
-    return (
-        F.when(mtp.isNull() | (mtp == NO_ANSWER), "other")
-        .when(whole == 1, "walk")
-        .when(mtp.isin(2.1, 2.2), "cycle")
-        .when(mtp.isin(3.1, 3.3), "car_driver")
-        .when((mtp == 3.2) & (F.coalesce(outside, F.lit(0)) > 0) & (F.coalesce(inside, F.lit(0)) == 0), "car_passenger_carpool")
-        .when(mtp == 3.2, "car_passenger_household")
-        .when(mtp.isin(5.1, 5.2, 5.3, 5.4, 5.5, 5.6, 5.7), "urban_pt")
-        .when(mtp.isin(5.8, 5.9) | (whole == 6), "train")
-        .otherwise("other")
-    )
+    shared = (F.coalesce(outside, F.lit(0)) > 0) & (F.coalesce(inside, F.lit(0)) == 0)
+    passenger = F.when(shared, "car_passenger_carpool").otherwise("car_passenger_household")
+    known = F.when(mtp.isin(*CYCLE), "cycle").when(mtp.isin(*DRIVER), "car_driver").when(mtp == PASSENGER, passenger).when(mtp.isin(*URBAN_PT), "urban_pt").when(mtp.isin(*TRAIN) | (whole == TRAIN_GROUP), "train")
+    return F.when(mtp == NO_ANSWER, "other").when(whole == WALK_GROUP, "walk").otherwise(F.coalesce(known, F.lit("other")))
 
 
 def vehicle(mtp: Column) -> Column:
@@ -52,7 +48,8 @@ def density_class(status: Column, size: Column) -> Column:
 def income_midpoint(label: Column) -> Column:
     """Midpoint in euros of a bracket text: half of an upper bound, 1.5 times an open lower one; null where no number stands."""
     head = F.element_at(F.split(label, r"\("), 1)
-    found = F.transform(F.regexp_extract_all(head, F.lit(r"(?U)(\d[\d\s]*\d|\d)"), 1), lambda x: F.regexp_replace(x, r"(?U)\s", "").try_cast("double"))
+    # Digits in groups of three behind blanks, or digits in a row.
+    found = F.transform(F.regexp_extract_all(head, F.lit(r"(?U)([0-9]{1,3}(?:\s[0-9]{3})+|[0-9]+)"), 1), lambda x: F.regexp_replace(x, r"(?U)\s", "").try_cast("double"))
     return (
         F.when(label.isNull() | (F.size(found) == 0), F.lit(None).cast("double"))
         .when(F.contains(head, F.lit("plus")), F.try_element_at(found, F.lit(1)) * 1.5)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomway.functions import grid as gr
 from loomway.functions.exprs import finite, norm_key, safe_div
 from loomway.functions.modes import route_type_family
-from loomway.functions.text import is_express_bus, normalise_ref, normalise_text
+from loomway.functions.text import EXPRESS_WORDS, LETTER_SIGNS, LINE_LETTERS, LINE_WORDS, is_express_bus, normalise_ref, normalise_text
 from loomway.operators import chains, feeds, legs
 from loomway.operators.nearby import usable_points
 from loomway.operators.packed import unpack
@@ -185,10 +185,18 @@ def t_grid_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 _FOLD = lambda c: f"lower(strip_accents(coalesce({c}, '')))"
 _TEXT = lambda c: f"regexp_replace({_FOLD(c)}, '[^a-z0-9]+', '', 'g')"
-_REF = lambda c: f"regexp_replace(regexp_replace(regexp_replace({_FOLD(c)}, '^\\s*(?:ligne|line)\\s*', ''), '^\\s*[tml]\\s*[-.:]?\\s*([a-z0-9])', '\\1'), '[^a-z0-9]+', '', 'g')"
+_LEFT = lambda c: f"ltrim({c}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
-@query(f"select rec_id, {_TEXT('network')} as network_key, {_TEXT('section_from')} as from_key, {_REF('line_2026')} as line_key, regexp_matches(regexp_replace({_FOLD('concat_ws(chr(32), line_2026, mode, notes)')}, '[^a-z0-9]+', '', 'g'), 'express|bhns|liane|chronobus') as express from pt_openings_mapping")
+def _ref_sql(c: str) -> str:
+    """normalise_ref() as nested selects of one value."""
+    word = "case " + " ".join(f"when starts_with(t, '{w}') then {_LEFT(f'substr(t, {len(w) + 1})')}" for w in LINE_WORDS) + " else t end"
+    sign = f"case when substr(r, 1, 1) in {LETTER_SIGNS} then {_LEFT('substr(r, 2)')} else r end"
+    return f"""(select regexp_replace(case when substr(t, 1, 1) in {LINE_LETTERS} and regexp_matches(z, '^[a-z0-9]') then z else t end, '[^a-z0-9]+', '', 'g')
+      from (select t, {sign} as z from (select t, {_LEFT("substr(t, 2)")} as r from (select {word} as t from (select {_LEFT(_FOLD(c))} as t)))))"""
+
+
+@query(f"select rec_id, {_TEXT('network')} as network_key, {_TEXT('section_from')} as from_key, {_ref_sql('line_2026')} as line_key, regexp_matches(regexp_replace({_FOLD('concat_ws(chr(32), line_2026, mode, notes)')}, '[^a-z0-9]+', '', 'g'), '{"|".join(EXPRESS_WORDS)}') as express from pt_openings_mapping")
 def t_text_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Normalised names and line references, and the express bus rule."""
     o = table(spark, folder, "pt_openings_mapping")

@@ -279,7 +279,7 @@ def s_weekday_unpivot(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("rec_id", F.col("z.day").alias("day"), F.col("z.flag").alias("flag"), (F.pmod(F.col("z.day") + 2, F.lit(7)) + 1).cast("int").alias("day_shifted"))
 
 
-@query("""with m as (select rec_id, trancherevenumensuel as label, list_transform(regexp_extract_all(split_part(trancherevenumensuel, '(', 1), '[0-9][0-9 ]*[0-9]|[0-9]'), lambda x: try_cast(regexp_replace(x, ' ', '', 'g') as double)) as v, split_part(trancherevenumensuel, '(', 1) as head from q_tcm_menage)
+@query("""with m as (select rec_id, trancherevenumensuel as label, list_transform(regexp_extract_all(split_part(trancherevenumensuel, '(', 1), '[0-9]{1,3}(?: [0-9]{3})+|[0-9]+'), lambda x: try_cast(regexp_replace(x, ' ', '', 'g') as double)) as v, split_part(trancherevenumensuel, '(', 1) as head from q_tcm_menage)
     select rec_id, case when label is null or len(v) = 0 then null when contains(head, 'plus') then 1.5 * v[1] when len(v) = 1 then v[1] / 2 else (v[1] + v[2]) / 2 end as midpoint from m""")
 def s_income_midpoint(spark: SparkSession, folder: str) -> DataFrame:
     """Income bracket texts to their midpoints."""

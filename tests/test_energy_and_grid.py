@@ -1,7 +1,9 @@
 import math
+import unicodedata
 
 import numpy as np
 import pytest
+
 from pyspark.sql import functions as F
 
 from loomway.functions import energy as en
@@ -87,3 +89,20 @@ def test_vehicle_tables():
     assert t.wait_min["ter"] == 4 and t.wait_min["metro"] == pytest.approx(2 * (1 + 0.15**2))
     assert t.stairs_min["tram"] == 0 and t.stairs_kj["metro"] == pytest.approx(2.6 * t.stairs_min["metro"])
     assert math.isclose(t.ride_kj_per_min["intercites"], 1.5)
+
+
+def test_fold_is_that_of_the_whole_of_unicode(spark):
+    texts = ["ế ﬁ Ａ ² ĳ", "Ǆ ™ ½ ㎏", "𝐀𝟗", "İK ſ", "日本 straße", "é", "Ŀa", None, "", "plain", "a" * 5000 + "ﬁ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    want = [unicodedata.normalize("NFKD", t or "").encode("ascii", "ignore").decode() for t in texts]
+    got = df.select("i", ascii_fold(F.col("t")).alias("f"), normalise_text(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [r.f for r in got] == want
+    assert got[0].n == "efia2ij"
+    assert [r.n for r in got] == ["".join(c for c in w.lower() if c.isalnum()) for w in want]
+
+
+def test_references(spark):
+    texts = ["Ligne 12", "  line-A", "T3a", "M 14", "L", "l.e", "tram", "T-", "ligneT4", "LIGNE  T : 5", "linea", "t--a", "É5", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(normalise_ref(F.col("t"))).collect()]
+    assert got == ["12", "a", "3a", "14", "l", "e", "ram", "t", "4", "5", "a", "ta", "e5", ""]
