@@ -36,8 +36,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard_wid
 
     Two levels: intervals are clipped to shards of the axis and merged within
     (entity, shard); then only pieces that touch a shard's border are stitched,
-    at most two for each shard of an entity, and only each shard's first start
-    and last end are compared for the gaps between shards. No task holds all
+    and only each shard's first and last piece are compared for the gaps between
+    shards: at most four for each shard of an entity. No task holds all
     intervals of an entity. Equal starts are pre-aggregated, so repeated rows
     change nothing.
 
@@ -55,28 +55,18 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, shard_wid
         .withColumn("shard", F.explode(F.sequence(lo, hi)))
         .select("k", "shard", F.greatest("s", F.col("shard") * width).alias("s"), F.least("e", (F.col("shard") + 1) * width).alias("e"))
     )
-    local = _islands(pieces, ["k", "shard"])
-    # Gaps within a shard, and for each shard its first start and last end, in the order of the pieces.
     order = W.partitionBy("k", "shard").orderBy("s")
-    local = local.withColumn("prev", F.lag("e").over(order))
+    local = _islands(pieces, ["k", "shard"]).withColumns({"prev": F.lag("e").over(order), "next": F.lead("s").over(order)})
     left, right = F.col("shard") * width, (F.col("shard") + 1) * width
     inner = (F.col("s") > left) & (F.col("e") < right)
-    edge = local.where(~inner)
-    w = W.partitionBy("k").orderBy("s", "shard", "e")
-    stitched = (
-        edge.withColumn("_new", F.when(F.lag("e").over(w) == F.col("s"), 0).otherwise(1))
-        .withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("k", "_island")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
-        .select("k", F.lit("period").alias("kind"), "s", "e")
-    )
-    whole = local.where(inner).select("k", F.lit("period").alias("kind"), "s", "e")
-    gaps_in = local.where(F.col("prev") < F.col("s")).select("k", F.lit("gap").alias("kind"), F.col("prev").alias("s"), F.col("s").alias("e"))
-    ends = local.groupBy("k", "shard").agg(F.min("s").alias("first"), F.max("e").alias("last"))
-    gaps_out = (
-        ends.withColumn("before", F.lag("last").over(W.partitionBy("k").orderBy("shard")))
-        .where(F.col("before") < F.col("first"))
-        .select("k", F.lit("gap").alias("kind"), F.col("before").alias("s"), F.col("first").alias("e"))
-    )
-    out = stitched.unionByName(whole).unionByName(gaps_in).unionByName(gaps_out)
-    return out.select(F.col("k").alias(entity), "kind", F.col("s").alias(start), F.col("e").alias(end))
+    row = lambda kind, s, e: F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"))
+    some = lambda *rows: F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")
+    s, e, prev = F.col("s"), F.col("e"), F.col("prev")
+    within = local.select("k", some(F.when(inner, row("period", s, e)), F.when(prev < s, row("gap", prev, s))))
+    # Pieces that touch a border, and each shard's first and last: in their order a piece follows the last one of an earlier shard.
+    across = W.partitionBy("k").orderBy("s", "shard", "e")
+    edge = local.where(~inner | prev.isNull() | F.col("next").isNull()).select("k", "shard", "s", "e", (~inner).alias("touches"), F.lag("e").over(across).alias("prev"), F.lag("shard").over(across).alias("before"))
+    edge = edge.withColumn("new", F.when(prev == s, 0).otherwise(1)).withColumn("island", F.sum("new").over(across.rowsBetween(W.unboundedPreceding, 0)))
+    until = F.max("e").over(W.partitionBy("k", "island"))
+    stitched = edge.withColumn("until", until).select("k", some(F.when(F.col("touches") & (F.col("new") == 1), row("period", s, F.col("until"))), F.when((F.col("before") != F.col("shard")) & (prev < s), row("gap", prev, s))))
+    return within.unionByName(stitched).select(F.col("k").alias(entity), F.col("r.kind").alias("kind"), F.col("r.s").alias(start), F.col("r.e").alias(end))
