@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomway.functions.exprs import strip_ws
+from loomway.functions.exprs import let, strip_ws
 
 
 def is_date8(c: Column) -> Column:
@@ -64,7 +64,7 @@ def _outside(parts: Column) -> Column:
     return F.filter(parts, lambda _, i: i % 2 == 0)
 
 
-def quoting_ok(parts: Column, sep: str) -> Column:
+def quoting_ok(parts: Column, sep: Column) -> Column:
     """Quotes close, open only at a field's start and end only at its end; a doubled one inside is text.
 
     Split at every quote, pieces at even places are outside. An empty one
@@ -72,61 +72,60 @@ def quoting_ok(parts: Column, sep: str) -> Column:
     the separator, save at the line's own ends.
     """
     n = F.size(parts)
-    edge = lambda p, i: ((i == 0) | (p == "") | F.startswith(p, F.lit(sep))) & ((i == n - 1) | (p == "") | F.endswith(p, F.lit(sep)))
+    edge = lambda p, i: ((i == 0) | (p == "") | F.startswith(p, sep)) & ((i == n - 1) | (p == "") | F.endswith(p, sep))
     return (n % 2 == 1) & F.forall(F.transform(parts, lambda p, i: (i % 2 == 1) | edge(p, i)), lambda x: x)
 
 
-def field_count(parts: Column, sep: str) -> Column:
-    return F.aggregate(_outside(parts), F.lit(1), lambda a, p: a + F.length(p) - F.length(F.replace(p, F.lit(sep), F.lit(""))))
+def field_count(parts: Column, sep: Column) -> Column:
+    return F.aggregate(_outside(parts), F.lit(1), lambda a, p: a + F.length(p) - F.length(F.replace(p, sep, F.lit(""))))
 
 
-def fields_of(parts: Column, sep: str) -> Column:
+def fields_of(parts: Column, sep: Column) -> Column:
     """Field texts of a well-quoted line, unquoted; separators inside quotes are written aside while splitting."""
     bs, es, eb = F.lit("\\"), F.lit("\\s"), F.lit("\\b")
-    hide = lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(p, bs, eb), F.lit(sep), es)).otherwise(F.replace(p, bs, eb))
+    hide = lambda p, i: F.when(i % 2 == 1, F.replace(F.replace(p, bs, eb), sep, es)).otherwise(F.replace(p, bs, eb))
     raw = F.split(F.array_join(F.transform(parts, hide), '"'), sep, -1)
     bare = lambda f: F.when(F.startswith(f, F.lit('"')), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)
-    return F.transform(raw, lambda f: F.replace(F.replace(bare(f), es, F.lit(sep)), eb, bs))
+    return F.transform(raw, lambda f: F.replace(F.replace(bare(f), es, sep), eb, bs))
+
+
+def _fault(line: Column, sep: Column, count: Column, valid) -> Column:
+    """Why a line can't be read, `none` where it can: quoting before column_count before bad_value."""
+    judged = lambda parts: F.when(~quoting_ok(parts, sep), "quoting").when(field_count(parts, sep) != count, "column_count").otherwise(let(fields_of(parts, sep), lambda f: F.when(valid(f), "none").otherwise("bad_value")))
+    return let(F.split(_body(line), '"', -1), judged)
+
+
+def _rules(layout: Layout, fields: Column) -> Column:
+    return reduce(lambda a, b: a & b, (rule(F.try_element_at(fields, F.lit(layout.fields.index(n) + 1))) for n, rule in layout.rules.items()), F.lit(True))
 
 
 def strict_load(raw: DataFrame, layout: Layout, rec_id: str = "rec_id", line: str = "line") -> DataFrame:
-    """Only the conforming lines, as typed columns: (rec_id, _line, fields of the layout)."""
-    parts = F.split(_body(F.col(line)), '"', -1)
-    good = (
-        raw.select(F.col(rec_id).alias("rec_id"), F.col(line).alias("_line"), parts.alias("_p"))
-        .where(quoting_ok(F.col("_p"), layout.sep) & (field_count(F.col("_p"), layout.sep) == len(layout.fields)))
-        .withColumn("_f", fields_of(F.col("_p"), layout.sep))
-    )
-    field = {name: F.try_element_at("_f", F.lit(i + 1)) for i, name in enumerate(layout.fields)}
-    ok = reduce(lambda a, b: a & b, (rule(field[name]) for name, rule in layout.rules.items()), F.lit(True))
-    return good.where(ok).select("rec_id", "_line", *(c.alias(n) for n, c in field.items()))
+    """Only the conforming lines of one file, as typed columns: (rec_id, _line, fields of the layout)."""
+    sep = F.lit(layout.sep)
+    good = raw.select(F.col(rec_id).alias("rec_id"), F.col(line).alias("_line")).where(_fault(F.col("_line"), sep, F.lit(len(layout.fields)), lambda f: _rules(layout, f)) == "none")
+    good = good.withColumn("_f", let(F.split(_body(F.col("_line")), '"', -1), lambda p: fields_of(p, sep)))
+    return good.select("rec_id", "_line", *(F.try_element_at("_f", F.lit(i + 1)).alias(n) for i, n in enumerate(layout.fields)))
 
 
-def _subtract(raw: DataFrame, loaded: DataFrame, value: str) -> DataFrame:
-    """Raw offsets that were not loaded. The value's hash goes with the offset, should an offset repeat."""
-    key = lambda c: [F.col("rec_id"), F.xxhash64(F.col(c)).alias("_h")]
-    return raw.select("*", *key(value)[1:]).join(loaded.select(*key(value)), ["rec_id", "_h"], "left_anti").drop("_h")
+def _subtract(raw: DataFrame, loaded: DataFrame, *values: str) -> DataFrame:
+    """Raw offsets that were not loaded. The values' hash goes with the offset, should an offset repeat."""
+    h = F.xxhash64(*values).alias("_h")
+    return raw.select("*", h).join(loaded.select("rec_id", h), ["rec_id", "_h"], "left_anti").drop("_h")
 
 
-def rejected_lines(raw: DataFrame, layout: Layout, file_name: str, rec_id: str = "rec_id", line: str = "line") -> DataFrame:
-    """Lines of one file that did not load: (src_table, rec_id, reason).
+def rejected_lines(raw: DataFrame, layouts: dict[str, Layout], rec_id: str = "rec_id", line: str = "line", file_name: str = "file_name") -> DataFrame:
+    """Lines of the files with a layout that did not load: (src_table, rec_id, reason).
 
     Strict load, subtraction from the raw offsets, and a diagnosis of the rest:
-    quoting before column_count before bad_value. A null or empty line has one
-    empty field. Rows without an offset can't be subtracted and are diagnosed
-    alike.
+    quoting before column_count before bad_value; each file by its own layout,
+    all in one pass. A null or empty line has one empty field. Rows without an
+    offset can't be subtracted and are diagnosed alike. Other files are no case.
     """
-    mine = raw.where(F.col("file_name") == file_name).select(F.col(rec_id).alias("rec_id"), F.col(line).alias("_line"))
-    rest = _subtract(mine, strict_load(mine, layout, "rec_id", "_line"), "_line")
-    rest = rest.withColumn("_p", F.split(_body(F.col("_line")), '"', -1))
-    f = F.col("_f")
-    ok = reduce(lambda a, b: a & b, (rule(F.try_element_at(f, F.lit(layout.fields.index(n) + 1))) for n, rule in layout.rules.items()), F.lit(True))
-    return (
-        rest.withColumn("_f", F.when(quoting_ok(F.col("_p"), layout.sep), fields_of(F.col("_p"), layout.sep)))
-        .withColumn("reason", F.when(f.isNull(), "quoting").when(field_count(F.col("_p"), layout.sep) != len(layout.fields), "column_count").when(~ok, "bad_value"))
-        .where("reason is not null")
-        .select(F.lit("raw_records").alias("src_table"), "rec_id", "reason")
-    )
+    of = lambda f: F.coalesce(*(F.when(F.col("_file") == name, f(layout)) for name, layout in layouts.items()))
+    fault = _fault(F.col("_line"), of(lambda x: F.lit(x.sep)), of(lambda x: F.lit(len(x.fields))), lambda f: of(lambda x: _rules(x, f)))
+    read = raw.where(F.col(file_name).isin(*layouts)).select(F.col(rec_id).alias("rec_id"), F.col(line).alias("_line"), F.col(file_name).alias("_file"))
+    rest = _subtract(read, read.where(fault == "none"), "_line", "_file")
+    return rest.withColumn("reason", fault).where("reason != 'none'").select(F.lit("raw_records").alias("src_table"), "rec_id", "reason")
 
 
 def rejected_values(stored: DataFrame, column: str, rule, src_table: str, rec_id: str = "rec_id") -> DataFrame:

@@ -132,7 +132,7 @@ STORED_RULES = (("calendar", "start_date", br.is_date8), ("calendar_dates", "exc
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines and stored values that can't be read as what they should be."""
     raw = table(spark, folder, "raw_records", "rec_id", "file_name", "line")
-    found = [br.rejected_lines(raw, layout, name) for name, layout in br.LAYOUTS.items()]
+    found = [br.rejected_lines(raw, br.LAYOUTS)]
     found += [br.rejected_values(table(spark, folder, t, "rec_id", c), c, rule, t) for t, c, rule in STORED_RULES]
     return reduce(DataFrame.unionByName, found)
 

@@ -37,13 +37,12 @@ LINES = [
 def test_lines(spark):
     rows = [(i, f, line, 9) for i, (f, line, _) in enumerate(LINES)]
     raw = spark.createDataFrame(rows, "rec_id long, file_name string, line string, _f int")
-    got = {}
+    got = {r.rec_id: r.reason for r in br.rejected_lines(raw, br.LAYOUTS).collect()}
     for name, layout in br.LAYOUTS.items():
         mine = raw.where(F.col("file_name") == name)
-        bad = {r.rec_id: r.reason for r in br.rejected_lines(raw, layout, name).collect()}
+        bad = {i for i in got if LINES[i][0] == name}
         good = {r.rec_id for r in br.strict_load(mine, layout).collect()}
-        assert not good & bad.keys() and good | bad.keys() == {i for i, (f, *_) in enumerate(LINES) if f == name}
-        got |= bad
+        assert not good & bad and good | bad == {i for i, (f, *_) in enumerate(LINES) if f == name}
     assert got == {i: why for i, (*_, why) in enumerate(LINES) if why}
 
 
@@ -55,7 +54,7 @@ def test_loaded_fields_are_unquoted(spark):
 
 def test_repeated_and_null_offsets(spark):
     raw = spark.createDataFrame([(1, "calendar_dates", "a,b,1"), (1, "calendar_dates", "a,b,3"), (None, "calendar_dates", "a,b,1"), (None, "calendar_dates", "q")], "rec_id long, file_name string, line string")
-    got = sorted((tuple(r) for r in br.rejected_lines(raw, br.LAYOUTS["calendar_dates"], "calendar_dates").collect()), key=repr)
+    got = sorted((tuple(r) for r in br.rejected_lines(raw, {"calendar_dates": br.LAYOUTS["calendar_dates"]}).collect()), key=repr)
     assert got == [("raw_records", 1, "bad_value"), ("raw_records", None, "column_count")]
 
 
@@ -67,4 +66,4 @@ def test_stored_minutes(spark, value, ok):
 
 def test_empty(spark):
     raw = spark.createDataFrame([], "rec_id long, file_name string, line string")
-    assert br.rejected_lines(raw, br.LAYOUTS["calendar"], "calendar").count() == 0
+    assert br.rejected_lines(raw, br.LAYOUTS).count() == 0
