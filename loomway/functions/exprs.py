@@ -56,6 +56,12 @@ def code_map(c: Column, mapping: dict, default=None) -> Column:
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+def looked_up(c: Column, mapping: dict, what: str = "code") -> Column:
+    """Entry of a code; null for null. A code without an entry is an error."""
+    known = code_map(c, mapping)
+    return F.when(c.isNotNull() & known.isNull(), F.raise_error(F.concat(F.lit(f"unknown {what}: "), c.cast("string")))).otherwise(known)
+
+
 def clock_minutes(c: Column) -> Column:
     """Minutes since 00:00 of H:MM, HH:MM or HH:MM:SS with hours 0-23, minutes and seconds 0-59; else null."""
     ok = c.rlike(r"\A([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?\z")

@@ -71,6 +71,18 @@ def standardise(cells: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return y.agg(sa.alias("standard_a"), sb.alias("standard_b"), safe_div(sb, sa).alias("ratio"), F.count("*").alias("cells"))
 
 
+def standard_speeds(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cells, speed_a, speed_b): both sides' speed at their mean mix of kilometres over the cells that both have.
+
+    `cells` has (keys, side, cell, k, h): kilometres and hours of side a or b.
+    """
+    x = side_by_side(cells, [*keys, "cell"], "side", "a", "b", ("k", "h")).where("k_a > 0 and h_a > 0 and k_b > 0 and h_b > 0")
+    of = W.partitionBy(*keys)  # a few cells
+    mix = (F.col("k_a") / F.sum("k_a").over(of) + F.col("k_b") / F.sum("k_b").over(of)) / 2
+    speed = lambda s: safe_div(F.lit(1.0), F.sum(F.col("mix") * F.col(f"h_{s}") / F.col(f"k_{s}"))).alias(f"speed_{s}")
+    return x.withColumn("mix", mix).groupBy(*keys).agg(F.count("*").alias("cells"), speed("a"), speed("b"))
+
+
 def between_share(cells: DataFrame) -> DataFrame:
     """Share of the variance that lies between cells, from rows (cell, weight, total, squares)."""
     w, t = F.sum("weight"), F.sum("total")
@@ -123,6 +135,13 @@ def to_target_mix(cells: DataFrame, target: DataFrame) -> DataFrame:
     return x.groupBy("survey").agg(safe_div(F.sum(s * F.col("total") / F.col("weight")), F.sum(s)).alias("value"), (1 - safe_div(F.sum(s), F.sum("share"))).alias("lost_share"))
 
 
+def to_joint_mix(cells: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(value): sample a's mean at b's joint mix of cells. A cell of b that a lacks is an error."""
+    x = side_by_side(cells, ["cell"], "survey", a, b, ("weight", "total")).where("weight_b > 0")
+    mean = F.when(F.coalesce(F.col("weight_a") > 0, F.lit(False)), F.col("total_a") / F.col("weight_a")).otherwise(F.raise_error(F.concat(F.lit("no support in cell "), F.coalesce(F.col("cell").cast("string"), F.lit("null")))))
+    return x.agg(safe_div(F.sum(F.col("weight_b") * mean), F.sum("weight_b")).alias("value"))
+
+
 def collapse_cells(counts: dict[tuple[int, int], tuple[int, int]], least: int) -> dict[tuple[int, int], int]:
     """Two-way cells (row, level) joined along their row's levels until each has `least` rows in both samples.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomway.functions.exprs import iso_weekday, safe_div
+from loomway.functions.exprs import code_map, iso_weekday, safe_div
 from loomway.operators.relational import keep_best
 from loomway.session import cut
 
@@ -191,6 +191,38 @@ def match_openings(lines: DataFrame, candidates: DataFrame, refs: DataFrame) ->
     return by_name.join(last, "rec_id", "left").select("rec_id", "network", "key", take("candidate", F.col("all")).alias("candidate"), take("pos", F.lit(None)).alias("pos"), how.alias("how"))
 
 
+def review_lists(lines: DataFrame, share: str, gate: float) -> DataFrame:
+    """Adds `list`: automatic from the gate's share of covered stops on, else review; an unknown share is reviewed."""
+    return lines.withColumn("list", F.when(F.col(share) >= gate, "automatic").otherwise("review"))
+
+
+def severity(reason: Column, worst_first: Sequence[str]) -> Column:
+    """Place of a reason in the order of severity; others come last."""
+    return F.coalesce(*(F.when(reason == r, F.lit(i)) for i, r in enumerate(worst_first)), F.lit(len(worst_first)))
+
+
+# What a change that a state takes back makes of a line.
+INSTRUCTIONS = {"new_line": "drop", "reopening": "drop", "extension": "cut", "new_station": "new_station"}
+
+
+def edit_instruction(state: Column, change: Column) -> Column:
+    """drop, cut or new_station where the state is `remove` and the change is known; else null."""
+    return F.when(state == "remove", code_map(change, INSTRUCTIONS))
+
+
+def area_coverage(authorities: DataFrame, sources: DataFrame, source: str, alone: int = 1) -> DataFrame:
+    """(authority, coverage, feeds) of every authority, from the feeds' JSON lists of areas.
+
+    dedicated where a feed of at most `alone` areas names the authority, else
+    indirect where any does, else uncovered. Lists that are no JSON name none.
+    """
+    areas = sources.select(source, F.array_distinct(F.from_json("areas", "array<string>")).alias("_areas"))
+    named = areas.select(source, F.size("_areas").alias("_n"), F.explode("_areas").alias("authority"))
+    per = named.groupBy("authority").agg(F.min("_n").alias("_least"), F.count_distinct(source).alias("feeds"))
+    coverage = F.when(F.col("_least") <= alone, "dedicated").when(F.col("_least").isNotNull(), "indirect").otherwise("uncovered")
+    return authorities.join(per, "authority", "left").select("authority", coverage.alias("coverage"), F.coalesce("feeds", F.lit(0).cast("long")).alias("feeds"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], keep_if_same: str, kept: Sequence[str]) -> DataFrame:
     """Records refreshed by id; `kept` columns stay where `keep_if_same` did not change, and are null where it did."""
     o, n = old.alias("o"), new.alias("n")

@@ -62,42 +62,47 @@ def terminal_minutes(df: DataFrame, variant: str = "declared") -> DataFrame:
     return df.withColumns({"walk_min": walk_used, "wait_min": wait_used, "parking_min": code_map(des, en.PARKING_MIN)})
 
 
-def bike_ride_time(df: DataFrame) -> DataFrame:
-    """Adds bike_ride_s: the duration less terminal walk and stops, null where what is left is not credible."""
+def bike_ride_time(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Adds bike_ride_s, the duration less terminal walk and stops, null where what is left is not credible, and the power it implies."""
     d_s = F.col("duration_min") * 60
     s = en.BIKE_STOPS
     naive = safe_div(F.col("distance_km") * 1000, d_s)
     lost = F.col("walk_min") * 60 + s["per_km"] * F.col("distance_km") * (naive * (1 / s["deceleration"] + 1 / s["acceleration"]) + s["red_s"] ** 2 / (2 * s["cycle_s"]))
-    ride = d_s - lost
+    ride = d_s - scale * lost
     ok = (F.col("mode_group") == "cycle") & (F.col("duration_min") > 0) & (ride >= F.greatest(F.lit(MIN_RIDE_S), MIN_RIDE_SHARE * d_s)) & (safe_div(F.col("distance_km") * 3600, ride) <= MAX_BIKE_KMH)
-    return df.withColumn("bike_ride_s", F.when(ok, ride))
+    df = df.withColumn("bike_ride_s", F.when(ok, ride))
+    return df.withColumn("implied_power_w", en.required_power_w(F.col("distance_km") * 1000 / F.col("bike_ride_s"), F.lit(0.0), F.lit(en.MASS_KG)))
 
 
-def flat_bike_speed() -> float:
-    """m/s on the flat at the calibrated power, the rider's mass only."""
-    return float(en.bike_speed_np(np.array([en.BIKE["p0_w"]]), np.array([0.0]), np.array([en.MASS_KG]))[0])
+def flat_bike_speed(power_w: float | None = None) -> float:
+    """m/s on the flat at a power, the calibrated one where none is given, the rider's mass only."""
+    return float(en.bike_speed_np(np.array([power_w or en.BIKE["p0_w"]]), np.array([0.0]), np.array([en.MASS_KG]))[0])
 
 
-def leg_energy(rates: str) -> Column:
-    """kJ above rest of a whole trip under one rate set, null for modes without a formula."""
+def leg_energy(rates: str, scale: float = 1.0, bike_power_w: float | None = None) -> Column:
+    """kJ above rest of a whole trip under one rate set, null for modes without a formula.
+
+    `scale` multiplies the minutes and energy of a trip's ends; the way between takes the rest.
+    """
     t = en.vehicle_tables(rates)
     mode, d = F.col("mode_group"), F.col("duration_min")
     walk_rate = en.MASS_KG * en.WALK_COST[rates] * (en.WALK_SPEED_KMH * 1000 / 60) / 1000
     stand, sit, drive = (en.rate(x, rates) for x in ("standing", "sitting", "driving"))
-    walk, wait, park = F.col("walk_min"), F.col("wait_min"), F.col("parking_min")
+    walk, wait, park = (scale * F.col(c) for c in ("walk_min", "wait_min", "parking_min"))
+    pool_wait = scale * en.CARPOOL_WAIT_MIN
     zero = F.lit(0.0)
     ride_s = F.coalesce(F.col("bike_ride_s"), d * 60)
     b = en.BIKE
     bike = (
-        b["p0_w"] / b["efficiency"] * ride_s / 1000
+        (bike_power_w or b["p0_w"]) / b["efficiency"] * ride_s / 1000
         + b["unloaded_met"] * en.MET_MINUTE_KJ_PER_KG * en.MASS_KG * ride_s / 60
         + stand * walk
-        + en.BIKE_STOPS["per_km"] * F.col("distance_km") * F.lit(0.5 * (en.MASS_KG + b["mass"]) * flat_bike_speed() ** 2 / b["efficiency"] / 1000)
+        + en.BIKE_STOPS["per_km"] * F.col("distance_km") * F.lit(0.5 * (en.MASS_KG + b["mass"]) * flat_bike_speed(bike_power_w) ** 2 / b["efficiency"] / 1000 * scale)
     )
     car = lambda r: walk_rate * walk + r * park + r * F.greatest(d - walk - park, zero)
-    carpool = walk_rate * walk + stand * en.CARPOOL_WAIT_MIN + sit * park + sit * F.greatest(d - walk - en.CARPOOL_WAIT_MIN - park, zero)
-    stairs_min = code_map(F.col("vehicle"), t.stairs_min)
-    ride = walk_rate * walk + stand * wait + code_map(F.col("vehicle"), t.stairs_kj) + code_map(F.col("vehicle"), t.ride_kj_per_min) * F.greatest(d - walk - wait - stairs_min, zero)
+    carpool = walk_rate * walk + stand * pool_wait + sit * park + sit * F.greatest(d - walk - pool_wait - park, zero)
+    stairs_min = scale * code_map(F.col("vehicle"), t.stairs_min)
+    ride = walk_rate * walk + stand * wait + scale * code_map(F.col("vehicle"), t.stairs_kj) + code_map(F.col("vehicle"), t.ride_kj_per_min) * F.greatest(d - walk - wait - stairs_min, zero)
     return (
         F.when(mode == "walk", en.MASS_KG * en.WALK_COST[rates] * F.col("distance_km"))
         .when(mode == "cycle", bike)
@@ -108,10 +113,15 @@ def leg_energy(rates: str) -> Column:
     )
 
 
-def trip_legs(trips: DataFrame, terminal: str = "declared", density: str = "proxy") -> DataFrame:
-    """The whole pipeline: classification, speed correction, terminal minutes, ride time and both energies."""
-    rows = bike_ride_time(terminal_minutes(corrected_distances(classify(trips, density)), terminal))
-    return rows.withColumns({"energy_kh_kj": leg_energy("kh"), "energy_cp_kj": leg_energy("cp")})
+def trip_legs(trips: DataFrame, terminal: str = "declared", density: str = "proxy", scale: float = 1.0, bike_power_w: float | None = None) -> DataFrame:
+    """The whole pipeline: classification, speed correction, terminal minutes, ride time and both energies.
+
+    `scale` multiplies the ends of trips where they are the defaults, and has no
+    effect on declared ones; `bike_power_w` replaces the calibrated power.
+    """
+    by = scale if terminal == "defaults" else 1.0
+    rows = bike_ride_time(terminal_minutes(corrected_distances(classify(trips, density)), terminal), by)
+    return rows.withColumns({f"energy_{r}_kj": leg_energy(r, by, bike_power_w) for r in ("kh", "cp")})
 
 
 def day_summary(legs: DataFrame) -> DataFrame:

@@ -103,3 +103,15 @@ def switch_effects(parts: DataFrame, draws: DataFrame, reps: int, level: float =
     each = effects(_indicators(sums, ["scope", "survey"], "rep"), [*keys, "rep"])
     ci = bs.interval(each, [*keys, "switch"], F.col("effect"), level, reps)
     return point.join(ci.drop("valid"), [*keys, "switch"], "left").select(*keys, "switch", "reference", "effect", "low", "high")
+
+
+def survey_ratios(parts: DataFrame, draws: DataFrame, reps: int, a: str, b: str, level: float = 0.9) -> DataFrame:
+    """(scope, indicator, a, b, ratio, low, high): b against a, two independent samples paired by replicate."""
+    keys = ["scope", "indicator"]
+    at = lambda s, c="value": F.max(F.when(F.col("survey") == s, F.col(c)))
+    sums = [F.sum(c).alias(c) for c in COMPONENTS]
+    point = _indicators(parts.groupBy("scope", "survey").agg(*sums), ["scope", "survey"]).groupBy(*keys).agg(at(a).alias("a"), at(b).alias("b"))
+    reps_ = _indicators(bs.replicates(parts, ["scope", "survey"], ["survey", "hh"], {c: F.col(c) for c in COMPONENTS}, draws, reps), ["scope", "survey"], "rep")
+    q = reps_.groupBy(*keys, "rep").agg(safe_div(at(b), at(a)).alias("q"))
+    ci = bs.interval(q, keys, F.col("q"), level, reps)
+    return point.join(ci.drop("valid"), keys, "left").withColumn("ratio", safe_div(F.col("b"), F.col("a"))).select(*keys, "a", "b", "ratio", "low", "high")

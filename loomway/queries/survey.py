@@ -84,30 +84,36 @@ def _terminal(variant: str) -> str:
     return f"terminal as (select *, {walk_used} as walk_min, {wait_used} as wait_min, {_case('density_des', en.PARKING_MIN)} as parking_min from corrected)"
 
 
-def _energy_sql(rates: str) -> str:
+def _energy_sql(rates: str, scale: float = 1.0, power: float | None = None) -> str:
     t = en.vehicle_tables(rates)
     wr = f"{en.MASS_KG * en.WALK_COST[rates] * (en.WALK_SPEED_KMH * 1000 / 60) / 1000!r}::double"
     st, si, dr = (f"{en.rate(x, rates)!r}::double" for x in ("standing", "sitting", "driving"))
     b = en.BIKE
-    stop = 0.5 * (en.MASS_KG + b["mass"]) * legs.flat_bike_speed() ** 2 / b["efficiency"] / 1000
+    p0 = power or b["p0_w"]
+    stop = 0.5 * (en.MASS_KG + b["mass"]) * legs.flat_bike_speed(power) ** 2 / b["efficiency"] / 1000
     ride_s = "coalesce(bike_ride_s, duration_min * 60)"
-    car = lambda r: f"{wr} * walk_min + {r} * parking_min + {r} * greatest(duration_min - walk_min - parking_min, 0)"
+    k = f"{scale!r}::double"
+    walk, wait, park, pool = f"({k} * walk_min)", f"({k} * wait_min)", f"({k} * parking_min)", f"({k} * 3.0)"
+    car = lambda r: f"{wr} * {walk} + {r} * {park} + {r} * greatest(duration_min - {walk} - {park}, 0)"
     stairs_min = _case("vehicle", t.stairs_min)
     # DuckDB's greatest skips nulls as Spark's does.
     return f"""case when mode_group = 'walk' then {en.MASS_KG * en.WALK_COST[rates]!r}::double * distance_km
-      when mode_group = 'cycle' then {b["p0_w"] / b["efficiency"]!r}::double * {ride_s} / 1000 + {en.MET_MINUTE_KJ_PER_KG * en.MASS_KG!r}::double * {ride_s} / 60 + {st} * walk_min + distance_km * {stop!r}::double
+      when mode_group = 'cycle' then {p0 / b["efficiency"]!r}::double * {ride_s} / 1000 + {en.MET_MINUTE_KJ_PER_KG * en.MASS_KG!r}::double * {ride_s} / 60 + {st} * {walk} + distance_km * {stop * scale!r}::double
       when mode_group = 'car_driver' then {car(dr)} when mode_group = 'car_passenger_household' then {car(si)}
-      when mode_group = 'car_passenger_carpool' then {wr} * walk_min + {st} * 3.0 + {si} * parking_min + {si} * greatest(duration_min - walk_min - 3.0 - parking_min, 0)
-      when mode_group in ('urban_pt', 'train') then {wr} * walk_min + {st} * wait_min + {_case("vehicle", t.stairs_kj)} + {_case("vehicle", t.ride_kj_per_min)} * greatest(duration_min - walk_min - wait_min - {stairs_min}, 0) end"""
+      when mode_group = 'car_passenger_carpool' then {wr} * {walk} + {st} * {pool} + {si} * {park} + {si} * greatest(duration_min - {walk} - {pool} - {park}, 0)
+      when mode_group in ('urban_pt', 'train') then {wr} * {walk} + {st} * {wait} + {k} * {_case("vehicle", t.stairs_kj)} + {_case("vehicle", t.ride_kj_per_min)} * greatest(duration_min - {walk} - {wait} - {k} * {stairs_min}, 0) end"""
 
 
 _LOST = "(walk_min * 60 + distance_km * ((distance_km * 1000 / nullif(duration_min * 60, 0)) * 3.0 + 8.75))"
 
 
-def _legs_sql(variant: str) -> str:
-    return f"""{_SPEEDS}, {_terminal(variant)}, rides as (select *, case when mode_group = 'cycle' and duration_min > 0 and duration_min * 60 - {_LOST} >= greatest(60.0, 0.5 * duration_min * 60)
-      and distance_km * 3600 / nullif(duration_min * 60 - {_LOST}, 0) <= 45 then duration_min * 60 - {_LOST} end as bike_ride_s from terminal),
-      legs as (select *, {_energy_sql("kh")} as energy_kh_kj, {_energy_sql("cp")} as energy_cp_kj from rides)"""
+def _legs_sql(variant: str, scale: float = 1.0, power: float | None = None) -> str:
+    lost = f"{scale!r}::double * {_LOST}"
+    v = "(distance_km * 1000 / bike_ride_s)"
+    implied = f"{v} * ({en.MASS_KG * en.GRAVITY * en.BIKE['crr']!r}::double + {0.5 * en.BIKE['air'] * en.BIKE['cda']!r}::double * {v} * {v}) / {en.BIKE['drivetrain']!r}::double"
+    return f"""{_SPEEDS}, {_terminal(variant)}, rides as (select *, case when mode_group = 'cycle' and duration_min > 0 and duration_min * 60 - {lost} >= greatest(60.0, 0.5 * duration_min * 60)
+      and distance_km * 3600 / nullif(duration_min * 60 - {lost}, 0) <= 45 then duration_min * 60 - {lost} end as bike_ride_s from terminal),
+      legs as (select *, {implied} as implied_power_w, {_energy_sql("kh", scale, power)} as energy_kh_kj, {_energy_sql("cp", scale, power)} as energy_cp_kj from rides)"""
 
 
 _FINITE_TRIP = "isfinite(duration_min) and duration_min between 0 and 1440 and (distance_km_declared is null or isfinite(distance_km_declared))"
@@ -218,19 +224,23 @@ def s_tours(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("ident_dep", F.col("tour_id").cast("long").alias("tour_id"), "tour_size", "is_complete")
 
 
-_RULES = ("'holiday'", "'round'", "'activity'", "'return'", "'none'")
+RULE_SQL = """case when coalesce(motive in (8.1::double, 8.2::double, 8.3::double, 8.4::double), false) then 'holiday' when coalesce(destination_purpose in ('9.4', '9.95'), false) then 'round' when outward_activity then 'activity'
+    when coalesce(destination_purpose in ('1.1', '1.2', '1.3'), false) and prior_activity then 'return' else 'none' end"""
+
+
+def rule():
+    """Which rule, the first that applies, takes a trip of scope_trips() out."""
+    falsy = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(falsy(F.col("motive").isin(*md.HOLIDAY)), "holiday").when(falsy(F.col("destination_purpose").isin(*md.PROFESSIONAL_ROUND)), "round").when(F.col("outward_activity"), "activity").when(falsy(F.col("destination_purpose").isin(*md.RESIDENCE)) & F.col("prior_activity"), "return").otherwise("none")
 
 
 @query(
-    f"""with {_SCOPED}, ruled as (select *, case when coalesce(motive in (8.1::double, 8.2::double, 8.3::double, 8.4::double), false) then 'holiday' when coalesce(destination_purpose in ('9.4', '9.95'), false) then 'round' when outward_activity then 'activity'
-    when coalesce(destination_purpose in ('1.1', '1.2', '1.3'), false) and prior_activity then 'return' else 'none' end as rule from scoped)
+    f"""with {_SCOPED}, ruled as (select *, {RULE_SQL} as rule from scoped)
     select survey, mode_group, rule, grouping(survey)::int as all_surveys, grouping(mode_group)::int as all_modes, count(*) as trips, round(sum(pond_jour) filter (where isfinite(pond_jour)), 1) as weight from ruled group by grouping sets ((survey, mode_group, rule), (survey, rule), (mode_group, rule), (rule))"""
 )
 def s_rule_attribution(spark: SparkSession, folder: str) -> DataFrame:
     """Which rule, the first that applies, takes a trip out; by survey and mode with grouping sets."""
-    falsy = lambda c: F.coalesce(c, F.lit(False))
-    rule = F.when(falsy(F.col("motive").isin(*md.HOLIDAY)), "holiday").when(falsy(F.col("destination_purpose").isin(*md.PROFESSIONAL_ROUND)), "round").when(F.col("outward_activity"), "activity").when(falsy(F.col("destination_purpose").isin(*md.RESIDENCE)) & F.col("prior_activity"), "return").otherwise("none")
-    rows = _scoped(spark, folder).withColumn("rule", rule)
+    rows = _scoped(spark, folder).withColumn("rule", rule())
     g = rows.groupingSets([["survey", "mode_group", "rule"], ["survey", "rule"], ["mode_group", "rule"], ["rule"]], "survey", "mode_group", "rule")
     return g.agg(F.grouping("survey").cast("int").alias("all_surveys"), F.grouping("mode_group").cast("int").alias("all_modes"), F.count("*").alias("trips"), F.round(F.sum(F.when(finite(F.col("pond_jour")), F.col("pond_jour"))), 1).alias("weight"))
 
