@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import islice
 
 import regex
 
@@ -21,7 +22,12 @@ _SPLIT = re.compile(r"(?<=[.!?…])[»\"”)]*\s+(?!(?<=\d\.\s)(?:" + _MONTHS.re
 #: What is finished of an open piece: signs of a script without blanks may follow an end directly.
 _CLOSED = re.compile(r".*[.!?…](?=[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])")
 _WORD = re.compile(r"[^\W_]+")
+#: What makes a word more than a number, to the word's end: one match for each such word.
+_LETTERED = re.compile(r"[^\W\d_][^\W_]*")
+_DIGIT = re.compile(r"\d")
 _HIDDEN = regex.compile(r"[\p{Cf}\x00-\x08\x0a-\x1f\x7f-\x9f]+")
+#: The common marks, and all of them.
+_COMBINING = re.compile("[\u0300-\u036f]+")
 _ACCENTS = regex.compile(r"\p{M}+")
 _MARKED = re.compile("[ÃÂâ][\u0080-¿€–-™]")
 
@@ -76,7 +82,10 @@ def sentences(text: str | None) -> list[str]:
             if _MARKED.search(line):
                 line = _redecode(line)
             line = unicodedata.normalize("NFKC", line)
-        line = _LEAD.sub("", _HIDDEN.sub("", line)).strip()
+        if not line.isprintable():
+            line = _HIDDEN.sub("", line)
+        lead = _LEAD.match(line)
+        line = (line[lead.end() :] if lead else line).strip()
         if not line or line[0] in "[|":
             continue
         pieces = _SPLIT.split(line)
@@ -84,9 +93,7 @@ def sentences(text: str | None) -> list[str]:
             closed = _CLOSED.match(pieces.pop())
             if closed:
                 pieces.append(closed[0])
-        for s in pieces:
-            if sum(not w.isdigit() for w in _WORD.findall(s)) >= 2:
-                out.append(s)
+        out += [s for s in pieces if next(islice(_LETTERED.finditer(s), 1, 2), None)]
     return out
 
 
@@ -94,5 +101,7 @@ def words(sentence: str) -> list[str]:
     """Lower-case words without accents; a number is one word for all."""
     plain = sentence.lower()
     if not plain.isascii():
-        plain = _ACCENTS.sub("", unicodedata.normalize("NFKD", plain)).replace("ß", "ss")
-    return ["0" if w.isdigit() else w for w in _WORD.findall(plain)]
+        plain = _COMBINING.sub("", unicodedata.normalize("NFKD", plain)).replace("ß", "ss")
+        plain = plain if plain.isascii() else _ACCENTS.sub("", plain)
+    found = _WORD.findall(plain)
+    return ["0" if w.isdigit() else w for w in found] if not plain.isascii() or _DIGIT.search(plain) else found

@@ -134,16 +134,17 @@ def gradient(m: Model, b: Batch, relabel: bool) -> tuple[float, int, np.ndarray,
     n = len(b.occ_start)
     if not n:
         return 0.0, 0, np.empty(0, np.int32), np.empty((0, DIM), np.float32), np.zeros_like(m.out), np.zeros_like(m.bias)
+    # Outputs are linear in the embeddings: sums over sentences have as many columns as subjects, and embeddings stay with the words.
     word_vec = np.add.reduceat(m.emb[b.word_feats], b.word_start, axis=0)
-    h = np.add.reduceat(word_vec[b.occ], b.occ_start, axis=0) / b.length[:, None]
-    p = 1 / (1 + np.exp(-np.clip(h @ m.out + m.bias, -30, 30)))
+    z = np.add.reduceat((word_vec @ m.out)[b.occ], b.occ_start, axis=0) / b.length[:, None] + m.bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     y, weight = targets(p, b.labels, relabel)
     loss = float(-(weight[:, None] * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum())
     g = (p - y) * weight[:, None].astype(np.float32)
-    dh = (g @ m.out.T) / b.length[:, None]
     # Every word of a batch occurs in it.
-    dword = np.add.reduceat(dh[b.sent_by_word], b.word_first, axis=0)
-    return loss, n, b.used, np.add.reduceat(dword[b.word_by_bucket], b.bucket_first, axis=0), h.T @ g, g.sum(0)
+    per_word = np.add.reduceat((g / b.length[:, None])[b.sent_by_word], b.word_first, axis=0)
+    dword = per_word @ m.out.T
+    return loss, n, b.used, np.add.reduceat(dword[b.word_by_bucket], b.bucket_first, axis=0), word_vec.T @ per_word, g.sum(0)
 
 
 class Adam:
@@ -185,6 +186,8 @@ class Scorer:
         self.vectors, self.counts = np.zeros((1024, self.table.shape[1]), np.float32), np.zeros(1024, np.int32)
 
     def _number(self, w: str) -> int:
+        if w in self.seen:
+            return self.seen[w]
         i = self.seen[w] = len(self.seen)
         if i == len(self.counts):
             self.vectors, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.vectors, self.counts))
@@ -201,7 +204,8 @@ class Scorer:
         start = []
         for s in sents:
             start.append(len(occ))
-            occ += [seen[w] if w in seen else number(w) for w in words(s)] or [0]
+            ids = list(map(seen.get, words(s)))
+            occ += ([number(w) if i is None else i for i, w in zip(ids, words(s))] if None in ids else ids) or [0]
         if not start:
             return np.empty((0, len(self.subjects)), np.float32)
         ids, at = np.array(occ, np.int64), np.array(start, np.int64)
