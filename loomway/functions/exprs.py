@@ -56,6 +56,15 @@ def code_map(c: Column, mapping: dict, default=None) -> Column:
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+def drawn_below(key: str, share: float) -> Column:
+    """Whether a key belongs to a stable sample of a share of all keys, by the first digits of its MD5."""
+    return F.substring(F.md5(F.col(key)), 1, 8) < F.lit(f"{round(share * 16**8):08x}")
+
+
+def drawn_below_sql(key: str, share: float) -> str:
+    return f"substr(md5({key}), 1, 8) < '{round(share * 16**8):08x}'"
+
+
 def looked_up(c: Column, mapping: dict, what: str = "code") -> Column:
     """Entry of a code; null for null. A code without an entry is an error."""
     known = code_map(c, mapping)

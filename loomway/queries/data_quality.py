@@ -159,7 +159,21 @@ def p3_loaded_calendar(spark: SparkSession, folder: str) -> DataFrame:
 PACKED = (("pt_openings_mapping", "candidate_route_ids", True), ("pt_openings_mapping", "candidate_refs", True), ("gtfs_multiple_resources", "resource_ids", False))
 
 
-@query()
+_QUOTED = '"(?:[^"]|"")*(?:"|$)'
+
+
+def items_sql(table_: str, column: str, blanks: bool, keys: str = "rec_id") -> str:
+    """(keys, pos, item): quoted parts as they are, separators as a control character, and the rest split at it."""
+    ordinary = r"[\p{L}\p{N}:\-+._" + (" " if blanks else "") + "]+"
+    text = rf"""array_to_string(list_transform(regexp_extract_all({column}, '{_QUOTED}|{ordinary}|[\s\S]', 0), lambda x: case when not starts_with(x, '"') then case when regexp_full_match(x, '{ordinary}') then x else chr(1) end
+      when (length(x) - length(replace(x, '"', ''))) % 2 = 0 then replace(substr(x, 2, length(x) - 2), '""', '"') else replace(substr(x, 2), '""', '"') end), '')"""
+    return f"""(select {keys}, generate_subscripts(items, 1)::int as pos, unnest(items) as item from (select {keys}, list_filter(list_transform(string_split({text}, chr(1)), lambda x: trim(x, {_SPACES})), lambda x: x <> '') as items from {table_} where {column} is not null))"""
+
+
+_P5 = " union all ".join(f"select '{t}' as src_table, rec_id, '{c}' as field, pos, item from {items_sql(t, c, blanks)}" for t, c, blanks in PACKED)
+
+
+@query(_P5)
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Identifiers of the packed fields, one row per place."""
     parts = [
@@ -169,7 +183,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+@query(
+    f"""select rec_id, gtfs_resource_count, coalesce(n, 0)::bigint as items from gtfs_multiple_resources left join (select rec_id, count(*) as n from {items_sql("gtfs_multiple_resources", "resource_ids", False)} group by 1) using (rec_id)
+    where gtfs_resource_count is distinct from coalesce(n, 0)"""
+)
 def p5_count_check(spark: SparkSession, folder: str) -> DataFrame:
     """Stored rows whose stated number of resources differs from the items found."""
     rows = table(spark, folder, "gtfs_multiple_resources", "rec_id", "resource_ids", "gtfs_resource_count")

@@ -17,6 +17,7 @@ from loomway.operators.nearby import usable_points
 from loomway.operators.packed import unpack
 from loomway.operators.relational import band_join, first_per_key
 from loomway.queries.base import TRIPS, key_sql, registry, trips
+from loomway.queries.data_quality import items_sql
 from loomway.queries.survey import _MODE
 from loomway.session import cut
 from loomway.tables import table
@@ -207,7 +208,20 @@ def t_text_keys(spark: SparkSession, folder: str) -> DataFrame:
 _FAMILIES = {"metro": ["metro"], "tram": ["tram"], "tram_train": ["tram", "rail"], "cable": ["metro"], "rail": ["rail"], "bus": ["bus"], "bhns": ["bus"], "trolleybus": ["bus"], "ferry": ["ferry"]}
 
 
-@query()
+_FAMILY_SQL = "case lower(trim(mode)) " + " ".join(f"when '{m}' then {f!r}" for m, f in _FAMILIES.items()) + " end"
+_ANY_NAME = lambda h: f"len(list_filter(c.names, lambda n: contains(n, {h}))) > 0"
+
+
+@query(
+    f"""with o as (select rec_id, coalesce(opening_id, rec_id::varchar) as opening, {_TEXT("network")} as network, {_ref_sql("line_2026")} as key, {_FAMILY_SQL} as families, list_distinct(list_filter([{_TEXT("section_from")}, {_TEXT("section_to")}], lambda x: x <> '')) as hints, candidate_refs from pt_openings_mapping),
+    c as (select rec_id as candidate, opening, network, families, hints as names, candidate_refs from (select *, row_number() over (partition by opening order by rec_id) as rn from o where network <> '') where rn = 1),
+    refs as (select network, key, opening, min(pos) as pos from (select network, opening, pos, {_ref_sql("item")} as key from {items_sql("c", "candidate_refs", True, "network, opening")}) where key <> '' group by all),
+    named as (select o.rec_id, {{'candidate': c.candidate, 'pos': refs.pos}} as pick, o.opening <> c.opening and len(list_filter(o.hints, lambda h: {_ANY_NAME("h")})) > 0 as by_stop from o join refs using (network, key) join c on c.opening = refs.opening),
+    per as (select rec_id, count(*) as n, min(pick) as one, count(*) filter (where by_stop) as n_stop, min(pick) filter (where by_stop) as stop from named group by 1),
+    b as (select o.*, coalesce(n, 0) as n, one, coalesce(n_stop, 0) as n_stop, stop from o left join per using (rec_id)),
+    e as (select b.rec_id, count(*) as n_all, min(c.candidate) as pick from b join c on c.network = b.network and c.opening <> b.opening and list_has_any(b.families, c.families) where n <> 1 and n_stop <> 1 and len(hints) > 0 and len(list_filter(b.hints, lambda h: not ({_ANY_NAME("h")}))) = 0 group by 1)
+    select rec_id, network, key, case when n = 1 then one.candidate when n_stop = 1 then stop.candidate when n_all = 1 then pick end as candidate, case when n = 1 then one.pos when n_stop = 1 then stop.pos end as pos, case when n = 1 then 'exact' when n_stop = 1 or coalesce(n_all = 1, false) then 'stop-confirmed' when n > 1 then 'ambiguous' else 'none' end as how from b left join e using (rec_id)"""
+)
 def t_opening_matches(spark: SparkSession, folder: str) -> DataFrame:
     """Every line with the opening of its network that has its reference, by name, by any stop hint or by all hints in its mode.
 

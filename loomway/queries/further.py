@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from loomway.operators import legs
 from loomway.operators.relational import first_per_key
 from loomway.queries.base import DAYS, TRIPS, days, key_sql, registry, trips
 from loomway.queries.feeds import _laea, _projected
+from loomway.queries.stats import merge_sql
 from loomway.queries.survey import _legs_sql
 from loomway.tables import table
 
@@ -72,12 +74,20 @@ def x_pooled_mix(spark: SparkSession, folder: str) -> DataFrame:
     return dc.to_target_mix(c, t).select("survey", F.round("value", 6).alias("value"), F.round("lost_share", 8).alias("lost_share"))
 
 
-@query()
+@query(
+    f"""with recursive {DAYS}, c as (select income::int as income, n::int as level, least(count(*) filter (where survey = 'a'), count(*) filter (where survey = 'b'))::bigint as size from days where income <> 'unknown' group by all), {merge_sql("income, ", "level", "size", "c", 20)}
+    select income, level, list_max(list_filter(firsts, lambda f: f <= level)) as cell from c join (select income, arg_min(firsts, len(firsts)) as firsts from m group by 1) using (income)"""
+)
 def x_joint_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Income by number of trips, joined along the trips until both surveys have twenty days in each cell."""
-    c = days(spark, folder).where("income <> 'unknown'").groupBy(F.col("income").cast("int").alias("income"), F.least(F.col("n"), F.lit(12).cast("long")).cast("int").alias("level")).agg(*(F.count(F.when(F.col("survey") == s, 1)).alias(s) for s in "ab")).collect()  # a few dozen counts
-    m = dc.collapse_cells({(r["income"], r["level"]): (r["a"], r["b"]) for r in c}, 20)
-    return spark.createDataFrame(sorted((i, lv, to) for (i, lv), to in m.items()), "income int, level int, cell int")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = dc.collapse_cells({(r.income, r.level): (r.a, r.b) for r in pdf.itertuples()}, 20)
+        return pd.DataFrame(sorted((i, lv, to) for (i, lv), to in m.items()), columns=["income", "level", "cell"])
+
+    # A class has a count for each number of trips.
+    c = days(spark, folder).where("income <> 'unknown'").groupBy(F.col("income").cast("int").alias("income"), F.col("n").cast("int").alias("level")).agg(*(F.count(F.when(F.col("survey") == s, 1)).alias(s) for s in "ab"))
+    return c.groupBy("income").applyInPandas(merge, "income int, level int, cell int")
 
 
 @query(f"with {TRIPS}, t as (select survey, pond_jour as w, duration_min as d, floor(duration_min / 15 + 0.5) * 15 as coarse, ((arrival_s - departure_s) % 86400 + 86400) % 86400 / 60.0 as clock from trips where isfinite(duration_min) and duration_min between 0 and 1440 and isfinite(pond_jour) and departure_s is not null and arrival_s is not null), m as (select survey, sum(w * d) / sum(w) as declared, sum(w * coarse) / sum(w) as coarse, sum(w * clock) / sum(w) as clock from t group by 1) select survey, effect, round(v, 6) as minutes from (select survey, 'declared' as effect, declared as v from m union all select survey, 'rounding', coarse - declared from m union all select survey, 'clock', clock - declared from m)")

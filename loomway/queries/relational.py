@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomway.functions.exprs import code_map, norm_key, safe_div
+from loomway.functions.exprs import code_map, drawn_below, drawn_below_sql, norm_key, safe_div
 from loomway.operators.relational import keep_best, repeated_keys
 from loomway.queries.base import TRIPS, key_sql, registry, trips
 from loomway.tables import table
@@ -285,9 +285,9 @@ def f_lists_and_nulls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"with {TRIPS}, h as (select survey, hh, {drawn_below_sql('hh', 0.3)} as kept from trips where hh is not null) select survey, count(*) as trips, count(*) filter (where kept) as kept_trips, count(distinct hh) as households, count(distinct hh) filter (where kept) as kept_households from h group by 1")
 def f_household_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A stable sample of whole households by hash, which is the feature: kept trips and households per survey."""
     t = trips(spark, folder).where("hh is not null")
-    kept = F.pmod(F.xxhash64("hh"), F.lit(100)) < 30
+    kept = drawn_below("hh", 0.3)
     return t.groupBy("survey").agg(F.count("*").alias("trips"), F.count(F.when(kept, 1)).alias("kept_trips"), F.count_distinct("hh").alias("households"), F.count_distinct(F.when(kept, F.col("hh"))).alias("kept_households"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -329,21 +332,49 @@ def x_rank_map(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("mode", "v", F.round("r", 8).alias("mid_rank"), "mapped")
 
 
-@query()
+AGE_BANDS = ("6-14", "15-24", "25-34", "35-49", "50-64", "65-74", "75+")
+_PLACE = "[" + ", ".join(f"'{b}'" for b in AGE_BANDS) + "]"
+
+
+@query(
+    f"""with recursive {DAYS}, c as (select category, list_position({_PLACE}, band) - 1 as i, count(*) filter (where survey = 'a') as a, count(*) filter (where survey = 'b') as b from days where list_contains({_PLACE}, band) group by all), g as (select category, i, coalesce(a, 0) as a, coalesce(b, 0) as b from (select distinct category from c) cross join (select unnest(range(0, {len(AGE_BANDS)}))::int as i) left join c using (category, i)),
+    w as (select category, i, 0 as first, null::int as full_, a, b from g where i = 0 union all select g.category, g.i, case when least(w.a, w.b) >= 30 then g.i else w.first end, case when least(w.a, w.b) >= 30 then w.first else w.full_ end, case when least(w.a, w.b) >= 30 then 0 else w.a end + g.a, case when least(w.a, w.b) >= 30 then 0 else w.b end + g.b from w join g on g.category = w.category and g.i = w.i + 1),
+    z as (select category, first as last_first, full_ as before, a + b > 0 and least(a, b) < 30 as short from w where i = {len(AGE_BANDS) - 1})
+    select category, {_PLACE}[i + 1] as band, {_PLACE}[case when short and first = last_first then coalesce(before, 0) else first end + 1] as merged_from from w join z using (category)"""
+)
 def x_band_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Age bands joined until both surveys have enough days in each stratum."""
-    bands = ("6-14", "15-24", "25-34", "35-49", "50-64", "65-74", "75+")
-    c = days(spark, folder).where(F.col("band").isin(*bands)).groupBy("category", "band").agg(*(F.count(F.when(F.col("survey") == s, 1)).alias(s) for s in "ab")).collect()  # a few dozen counts
-    merged = dc.neighbour_merge({(r["category"], bands.index(r["band"])): (r["a"], r["b"]) for r in c}, len(bands))
-    return spark.createDataFrame(sorted((s, bands[i], bands[j]) for (s, i), j in merged.items()), "category string, band string, merged_from string")
 
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        stratum = pdf["category"].iloc[0]
+        merged = dc.neighbour_merge({(stratum, AGE_BANDS.index(b)): (x, y) for b, x, y in zip(pdf["band"], pdf["a"], pdf["b"])}, len(AGE_BANDS))
+        return pd.DataFrame([(s, AGE_BANDS[i], AGE_BANDS[j]) for (s, i), j in sorted(merged.items())], columns=["category", "band", "merged_from"])
+
+    # Each stratum has a count for each of a few bands.
+    c = days(spark, folder).where(F.col("band").isin(*AGE_BANDS)).groupBy("category", "band").agg(*(F.count(F.when(F.col("survey") == s, 1)).alias(s) for s in "ab"))
+    return c.groupBy("category").applyInPandas(merge, "category string, band string, merged_from string")
 
-@query()
+
+def merge_sql(groups: str, level: str, size: str, source: str, least: int) -> str:
+    """Recursive steps `m`(groups, firsts, sizes): the smallest cluster joins its smaller neighbour until all have `least`; the last step is the shortest."""
+    i = "list_position(sizes, list_min(sizes))"
+    lo = f"case when {i} = 1 then 1 when {i} = len(sizes) then len(sizes) - 1 when sizes[{i} - 1] <= sizes[{i} + 1] then {i} - 1 else {i} end"
+    return f"""m as (select {groups} list({level} order by {level}) as firsts, list({size} order by {level}) as sizes from {source} {f"group by {groups.rstrip(', ')}" if groups else ""}
+      union all select {groups} firsts[1:lo] || firsts[lo + 2:] as firsts, sizes[1:lo - 1] || [sizes[lo] + sizes[lo + 1]] || sizes[lo + 2:] as sizes from (select *, {lo} as lo from m where len(sizes) > 1 and list_min(sizes) < {least}))"""
+
+
+@query(
+    f"""with recursive {DAYS}, c as (select n, count(*)::bigint as days from days group by 1), {merge_sql("", "n", "days", "c", 100)}
+    select n as level, list_max(list_filter(firsts, lambda f: f <= n)) as cluster from c, (select arg_min(firsts, len(firsts)) as firsts from m)"""
+)
 def x_level_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of trips per day joined to clusters of at least 100 days, the smallest first."""
-    c = days(spark, folder).groupBy("n").agg(F.count("*").alias("days")).collect()  # one row per number of trips
-    merged = dc.smallest_first_merge({r["n"]: r["days"] for r in c}, 100)
-    return spark.createDataFrame(sorted(merged.items()), "level long, cluster long")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(sorted(dc.smallest_first_merge(dict(zip(pdf["n"].tolist(), pdf["days"].tolist())), 100).items()), columns=["level", "cluster"])
+
+    # One row for each number of trips.
+    return days(spark, folder).groupBy("n").agg(F.count("*").alias("days")).groupBy().applyInPandas(merge, "level long, cluster long")
 
 
 @query(f"with {DAYS} select survey, round(regr_slope(x, n), 8) as slope_unweighted, count(*) as n from days group by 1")
@@ -353,15 +384,32 @@ def x_slope(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("term = 'n'").select("survey", F.round("estimate", 8).alias("slope_unweighted"), "n")
 
 
-@query()
+_DUMMY_MODES, _DUMMY_BANDS = ("car_passenger", "urban_pt", "cycle", "multimodal", "walking_only"), ("6-14", "15-24", "50-64", "65-74", "75+")
+#: The models, each with the terms of the one before: survey alone, with modes, with age bands and an interaction; `twice` depends on another column.
+LADDER = {"m0": 2, "m1": 2 + len(_DUMMY_MODES), "m2": 4 + len(_DUMMY_MODES) + len(_DUMMY_BANDS)}
+_TERMS = ["constant", "survey_b", *(f"mode_{m}" for m in _DUMMY_MODES), *(f"band_{b}" for b in _DUMMY_BANDS), "survey_b:cycle", "twice"]
+_TERM_SQL = ["1", "(survey = 'b')::int", *(f"(mode = '{m}')::int" for m in _DUMMY_MODES), *(f"(band = '{b}')::int" for b in _DUMMY_BANDS), "(survey = 'b' and mode = 'cycle')::int", "2 * (survey = 'b')::int"]
+
+
+def _model_sql(k: int) -> str:
+    """Normal equations of the first k terms, eliminated column by column; a column that depends on earlier ones is passed over."""
+    return f"""with recursive {DAYS}, r as (select w, [{", ".join(f"({t})::double" for t in _TERM_SQL[:k])}, ln(x)] as v from days where x > 0), c as (select i, j, sum(w * v[i] * v[j]) as a from r cross join (select unnest(range(1, {k + 1})) as i) cross join (select unnest(range(1, {k + 2})) as j) group by all),
+      e as (select 1::bigint as p, list(a order by i) as m, []::boolean[] as ok, list_transform(list(a order by i), lambda x, i: x[i]) as first from (select i, list(a order by j) as a from c group by i)
+      union all select p + 1, case when m[p][p] > 1e-9 * first[p] then list_transform(m, lambda x, i: case when i = p then list_transform(x, lambda y: y / m[p][p]) else list_transform(x, lambda y, j: y - x[p] * m[p][j] / m[p][p]) end) else m end, list_append(ok, m[p][p] > 1e-9 * first[p]), first from e where p <= {k})
+      select t.term, round(case when ok[t.i] then m[t.i][{k + 1}] end, 6) as estimate, (select count(*) from r) as n from e, (select unnest([{", ".join(f"'{t}'" for t in _TERMS[:k])}]) as term, unnest(range(1, {k + 1})) as i) t where p = {k + 1}"""
+
+
+@query(" union all ".join(f"select '{name}' as model, *, round(100 * (exp(estimate) - 1), 4) as effect_pct from ({_model_sql(k)})" for name, k in LADDER.items()))
 def x_wls(spark: SparkSession, folder: str) -> DataFrame:
-    """Weighted least squares of log minutes on dummies of mode, age and survey with an interaction."""
+    """A ladder of weighted least squares of log minutes on dummies of survey, mode and age, with an interaction: estimates and effects in per cent."""
     d = days(spark, folder).where("x > 0")
     flag = lambda c: c.cast("double")
-    cols = {"constant": F.lit(1.0), "survey_b": flag(F.col("survey") == "b"), **{f"mode_{m}": flag(F.col("mode") == m) for m in ("car_passenger", "urban_pt", "cycle", "multimodal", "walking_only")}, **{f"band_{b}": flag(F.col("band") == b) for b in ("6-14", "15-24", "50-64", "65-74", "75+")}}
+    cols = {"constant": F.lit(1.0), "survey_b": flag(F.col("survey") == "b"), **{f"mode_{m}": flag(F.col("mode") == m) for m in _DUMMY_MODES}, **{f"band_{b}": flag(F.col("band") == b) for b in _DUMMY_BANDS}}
     cols["survey_b:cycle"] = cols["survey_b"] * cols["mode_cycle"]
     cols["twice"] = cols["survey_b"] * 2  # depends on another column: no estimate
-    return wls(d, F.ln("x"), F.col("w"), cols)
+    models = [wls(d, F.ln("x"), F.col("w"), dict(list(cols.items())[:k])).withColumn("model", F.lit(name)) for name, k in LADDER.items()]
+    out = reduce(DataFrame.unionByName, models).withColumn("estimate", F.round("estimate", 6))
+    return out.select("model", "term", "estimate", "n", F.round(100 * (F.exp("estimate") - 1), 4).alias("effect_pct"))
 
 
 # --- rounding, clocks, bands, matrices
@@ -376,14 +424,24 @@ def x_rounding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("share", F.round(F.col("trips") / F.sum("trips").over(W.partitionBy()), 8))
 
 
-@query()
+_FRACTION = "('0x' || substr(md5(ident_dep), 1, 8))::bigint / 4294967296.0::double"
+
+
+@query(
+    f"""with {TRIPS}, t as (select survey, ident_dep, duration_min as d, duration_min % 15 = 0 as whole from trips where isfinite(duration_min) and duration_min > 0 and duration_min <= 1440 and ident_dep is not null), s as (select survey, avg(whole::int::double) as share from t group by 1), g as (select max(share) as target from s),
+    r as (select t.*, target, not whole and {_FRACTION} < (target - share) / nullif(1 - share, 0) as drawn from t join s using (survey), g), c as (select *, case when drawn then greatest(15, floor(d / 15 + 0.5) * 15) else d end as coarse from r)
+    select survey, count(*) as trips, count(*) filter (where drawn) as drawn, round(max(target), 8) as target, round(avg((coarse % 15 = 0)::int::double), 8) as share_after, round(avg(d), 6) as mean_before, round(avg(coarse), 6) as mean_after from c group by 1"""
+)
 def x_rounding_simulation(spark: SparkSession, folder: str) -> DataFrame:
-    """Durations coarsened to quarter hours for a share of trips drawn by a seeded hash: means before and after."""
-    d = F.col("duration_min")
-    rows = trips(spark, folder).where(finite(d) & (d > 0) & (d <= 1440))
-    drawn = F.pmod(F.xxhash64(F.lit(11), "ident_dep"), F.lit(10_000)) < 3000
-    coarse = F.when(drawn, F.greatest(F.lit(15.0), F.floor(d / 15 + 0.5) * 15)).otherwise(d)
-    return rows.groupBy("survey").agg(F.count("*").alias("trips"), F.avg(drawn.cast("double")).alias("drawn_share"), F.avg("duration_min").alias("mean_before"), F.avg(coarse).alias("mean_after"))
+    """Durations coarsened to quarter hours, by a draw from the trip's MD5, until a survey has the larger share of such durations: means before and after."""
+    d, whole = F.col("d"), F.col("whole")
+    t = trips(spark, folder).withColumn("d", F.col("duration_min")).where(finite(d) & (d > 0) & (d <= 1440) & F.col("ident_dep").isNotNull()).select("survey", "ident_dep", "d", (d % 15 == 0).alias("whole"))
+    share = t.groupBy("survey").agg(F.avg(whole.cast("int").cast("double")).alias("share"))  # one row for each survey
+    of = share.withColumn("target", F.max("share").over(W.partitionBy()))
+    part = F.conv(F.substring(F.md5("ident_dep"), 1, 8), 16, 10).cast("double") / 2**32
+    r = t.join(F.broadcast(of), "survey").withColumn("drawn", F.coalesce(~whole & (part < safe_div(F.col("target") - F.col("share"), 1 - F.col("share"))), F.lit(False)))
+    r = r.withColumn("coarse", F.when(F.col("drawn"), F.greatest(F.lit(15.0), F.floor(d / 15 + 0.5) * 15)).otherwise(d))
+    return r.groupBy("survey").agg(F.count("*").alias("trips"), F.count_if("drawn").alias("drawn"), F.round(F.max("target"), 8).alias("target"), F.round(F.avg((F.col("coarse") % 15 == 0).cast("int").cast("double")), 8).alias("share_after"), F.round(F.avg("d"), 6).alias("mean_before"), F.round(F.avg("coarse"), 6).alias("mean_after"))
 
 
 @query(f"with {TRIPS} select survey, m % 5 = 0 as on_five, case when m = 0 then 'hour' when m = 30 then 'half' when m % 15 = 0 then 'quarter' when m % 5 = 0 then 'five' else 'other' end as class, count(*) as trips, round(avg(((arrival_s - departure_s) % 86400 + 86400) % 86400 / 60.0 - duration_min) filter (where isfinite(duration_min)  and duration_min between 0 and 1440 and arrival_s is not null), 6) as mean_gap from (select *, (departure_s // 60) % 60 as m from trips where departure_s is not null) group by all")

@@ -373,10 +373,31 @@ def e_walking_leg(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy("day_id").agg(F.collect_list(seg).alias("s")).select("day_id", F.round(en.walking_leg(F.col("s"))["time_s"], 3).alias("walk_s"))
 
 
-@query()
+_BIKE = en.BIKE
+_DRAG = 0.5 * _BIKE["air"] * _BIKE["cda"]
+
+
+def _speed_sql(power: str, mass: float) -> str:
+    """The positive root of v^3 + p v + q by Cardano's formula, or by cosines where there are three real ones."""
+    p, q = f"({mass * en.GRAVITY / _DRAG!r}::double * ({_BIKE['crr']!r} * cos(atan(g)) + sin(atan(g))))", f"(-({power}) * {_BIKE['drivetrain'] / _DRAG!r}::double)"
+    d = f"({q} * {q} / 4 + {p} * {p} * {p} / 27)"
+    return f"case when {d} >= 0 then greatest(0, cbrt(-{q} / 2 + sqrt(greatest({d}, 0))) + cbrt(-{q} / 2 - sqrt(greatest({d}, 0)))) else 2 * sqrt(greatest(-{p} / 3, 0)) * cos(acos(greatest(-1.0, least(1.0, 3 * {q} / (2 * {p}) * sqrt(greatest(-3 / {p}, 0))))) / 3) end"
+
+
+_NEED = lambda v: f"greatest(0, {v} * ({97.0 * en.GRAVITY!r}::double * ({_BIKE['crr']!r} * cos(atan(g)) + sin(atan(g))) + {_DRAG!r}::double * {v} * {v}) / {_BIKE['drivetrain']!r})"
+
+
+@query(
+    f"""with {_GRID}, r as (select i, g, greatest(0, least(250, 80 * (1 + 8 * g)))::double as rider, least(250, 1.5 * greatest(0, least(250, 80 * (1 + 8 * g))))::double as motor from grid), v as (select *, {_speed_sql("100.0", 89.0)} as speed, {_speed_sql("rider + motor", 97.0)} as v, {_speed_sql("rider", 97.0)} as alone, {25 / 3.6!r}::double as cap, {40 / 3.6!r}::double as down from r),
+    c as (select i, g, speed, rider, down, case when v > cap and motor > 0 then greatest(alone, cap) else v end as v, case when v > cap and motor > 0 then case when alone >= cap then 0 else greatest(0, {_NEED("cap")} - rider) end else motor end as motor from v),
+    f as (select i, speed, least(v, down) as v, case when v > down then least(rider, {_NEED("down")}) else rider end as rider, case when v > down then greatest(0, {_NEED("down")} - least(rider, {_NEED("down")})) else motor end as motor from c)
+    select i, round(speed, 6) as speed, round(v, 6) as assisted_speed, round(rider, 4) as rider_w, round(motor, 4) as motor_w, round(case when rider + motor <= 0 then 1 else rider / (rider + motor) end, 6) as rider_share from f"""
+)
 def e_bike_speeds(spark: SparkSession, folder: str) -> DataFrame:
     """Speed on each gradient by the cubic force balance, and an assisted ride."""
     g = _grid(spark)
     lit = F.lit
     ride = en.ebike_ride("g", lit(80.0), lit(8.0), lit(250.0), lit(97.0), lit(1.5), lit(250.0), lit(25 / 3.6), lit(40 / 3.6))
-    return g.select("i", en.bike_speed(lit(100.0), F.col("g"), lit(89.0)).alias("speed"), ride.alias("r")).select("i", "speed", F.col("r.speed").alias("assisted_speed"), "r.rider_w", "r.motor_w", en.rider_share(F.col("r.rider_w"), F.col("r.motor_w")).alias("rider_share"))
+    r = lambda c, n, k=6: F.round(c, k).alias(n)
+    out = g.select("i", en.bike_speed(lit(100.0), F.col("g"), lit(89.0)).alias("speed"), ride.alias("r"))
+    return out.select("i", r("speed", "speed"), r("r.speed", "assisted_speed"), r("r.rider_w", "rider_w", 4), r("r.motor_w", "motor_w", 4), r(en.rider_share(F.col("r.rider_w"), F.col("r.motor_w")), "rider_share"))
