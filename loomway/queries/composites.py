@@ -13,7 +13,7 @@ from loomway.operators import bootstrap as bs
 from loomway.operators import chains
 from loomway.operators import decompose as dc
 from loomway.operators import weighted as wt
-from loomway.operators.relational import first_per_key
+from loomway.operators.relational import first_per_key, repeated_keys, require_empty
 from loomway.plans.scope_cube import COMPONENTS, INDICATORS, REFERENCE, SWITCHES, WEEKDAYS, components, cube, switch_effects
 from loomway.queries.base import DAYS, TRIPS, days, key_sql, registry, trips
 from loomway.queries.stats import _BOTH, REPS, draw_sql, replicated
@@ -176,8 +176,35 @@ def y_openings_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select o_orderpriority, count(*) as orders, round(sum(o_totalprice), 2) as total from orders group by 1")
 def k_signed_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders through a signed, partitioned cache in the shared folder, read back with partition discovery."""
-    root = f"{checkpoint_dir(spark)}/loomway-cache-{uuid.uuid4().hex}"
+    """Orders through a signed cache, partitioned by priority, in the shared folder: built once, and read a second time with partition discovery."""
+    root = f"{checkpoint_dir(spark)}/loomway-cache"
     df = table(spark, folder, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
-    cached = sinks.signed(spark, root, "orders", lambda: df, source=folder, columns=df.columns)
+    of = {"source": folder, "columns": df.columns, "partition_by": ["o_orderpriority"]}
+    sinks.signed(spark, root, "orders", lambda: df, **of)
+
+    def again() -> DataFrame:
+        raise RuntimeError("built twice")
+
+    cached = sinks.signed(spark, root, "orders", again, **of)
     return cached.groupBy("o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("select n_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0 and n_nationkey >= 5 group by 1")
+def k_shadowed_view(spark: SparkSession, folder: str) -> DataFrame:
+    """A view that is narrowed twice under its own name."""
+    name = f"customers_{uuid.uuid4().hex}"
+    table(spark, folder, "customer", "c_nationkey", "c_acctbal").createOrReplaceTempView(name)
+    sinks.shadow(spark, name, lambda v: v.where("c_acctbal > 0"))
+    v = sinks.shadow(spark, name, lambda v: v.where("c_nationkey >= 5"))
+    spark.catalog.dropTempView(name)
+    n = table(spark, folder, "nation", "n_nationkey", "n_name")
+    return v.join(n, v["c_nationkey"] == n["n_nationkey"]).groupBy("n_name").agg(F.count("*").alias("customers"))
+
+
+@query("select r_name, count(*) as nations from nation join region on n_regionkey = r_regionkey group by 1")
+def k_validated(spark: SparkSession, folder: str) -> DataFrame:
+    """A join behind its checks, which are errors: keys that repeat, references without a target."""
+    n, r = table(spark, folder, "nation", "n_nationkey", "n_regionkey"), table(spark, folder, "region", "r_regionkey", "r_name")
+    require_empty(repeated_keys(r, ["r_regionkey"]), "regions repeat")
+    require_empty(n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_anti"), "nations without a region")
+    return n.join(r, n["n_regionkey"] == r["r_regionkey"]).groupBy("r_name").agg(F.count("*").alias("nations"))

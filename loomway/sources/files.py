@@ -1,4 +1,4 @@
-"""Readers: delimited text, feeds, Parquet with boxes, GeoJSON, archives and configuration."""
+"""Readers: delimited text, feeds, Parquet with boxes, GeoJSON, archives, Arrow tables and configuration."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterable
+from itertools import islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +54,19 @@ def optional_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return df.select(*((F.col(c).try_cast(t) if c.lower() in have else F.lit(None).cast(t)).alias(c) for c, t in wanted.items()))
 
 
-def read_features(spark: SparkSession, path: str, properties: Iterable[str]) -> DataFrame:
-    """GeoJSON features: (properties, wkt), polygons and multipolygons as WKT; a feature without shape has a null one."""
+def read_features(spark: SparkSession, path: str, properties: Iterable[str], lines: bool = False) -> DataFrame:
+    """GeoJSON features: (properties, wkt), polygons and multipolygons as WKT; a feature without shape has a null one.
+
+    A collection is one JSON value, so each file is one row; `lines` reads files
+    with a feature in each line, which split like any text.
+    """
     ring = T.ArrayType(T.ArrayType(T.DoubleType()))
     geometry = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
     props = T.StructType([T.StructField(p, T.StringType()) for p in properties])
     feature = T.StructType([T.StructField("properties", props), T.StructField("geometry", geometry)])
-    raw = spark.read.text(path, wholetext=True)
-    rows = raw.select(F.explode(F.from_json("value", T.StructType([T.StructField("features", T.ArrayType(feature))]))["features"]).alias("f"))
+    raw = spark.read.text(path, wholetext=not lines)
+    collection = T.StructType([T.StructField("features", T.ArrayType(feature))])
+    rows = raw.select(F.from_json("value", feature).alias("f")).where("f is not null") if lines else raw.select(F.explode(F.from_json("value", collection)["features"]).alias("f"))
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     points = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit(")"))
     polygon = lambda p: F.concat(F.lit("("), F.array_join(F.transform(p, points), ", "), F.lit(")"))
@@ -72,22 +78,33 @@ def read_features(spark: SparkSession, path: str, properties: Iterable[str]) ->
 def read_archived(spark: SparkSession, pattern: str, member: str, encoding: str = "UTF-8") -> DataFrame:
     """(archive, line_no, line) of a member of many zip archives; each is opened by one task and read line by line.
 
-    Archives that can't be read or lack the member give no lines; see archive_report().
+    Archives that can't be read or lack the member give no lines; see
+    archive_report(). A member is read twice, to know that all of it can be
+    decoded, and never held as a whole.
     """
 
+    def lines_of(z: zipfile.ZipFile):
+        with z.open(next(n for n in z.namelist() if n.rpartition("/")[2] == member)) as f:
+            for line in io.TextIOWrapper(f, encoding, newline="\n"):
+                yield line.rstrip("\r\n")
+
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(next(n for n in z.namelist() if n.rpartition("/")[2] == member)) as f:
-                        lines = [x.rstrip("\r\n") for x in io.TextIOWrapper(f, encoding, newline="\n")]
-                except (zipfile.BadZipFile, StopIteration, UnicodeError):
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                    if member not in {n.rpartition("/")[2] for n in z.namelist()}:
+                        continue
+                    for _ in lines_of(z):
+                        pass
+                except (zipfile.BadZipFile, UnicodeError):
                     continue
-                for i in range(0, len(lines), 10_000):
-                    part = lines[i : i + 10_000]
-                    yield pd.DataFrame({"archive": path, "line_no": range(i + 1, i + 1 + len(part)), "line": part})
+                it, no = lines_of(z), 1
+                while part := list(islice(it, 10_000)):
+                    yield pd.DataFrame({"archive": path, "line_no": range(no, no + len(part)), "line": part})
+                    no += len(part)
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInPandas(run, "archive string, line_no long, line string")
 
@@ -117,13 +134,24 @@ def archive_report(spark: SparkSession, pattern: str, required: Iterable[str]) -
 
 
 def read_config(path: str, defaults: dict) -> dict:
-    """A JSON configuration over its defaults; unknown keys are an error."""
-    given = json.loads(Path(path).read_text())
+    """A JSON or YAML configuration over its defaults; unknown keys are an error. YAML needs its library."""
+    text = Path(path).read_text()
+    if Path(path).suffix in (".yaml", ".yml"):
+        import yaml
+
+        given = yaml.safe_load(text) or {}
+    else:
+        given = json.loads(text)
     if unknown := set(given) - set(defaults):
         raise ValueError(f"unknown settings: {sorted(unknown)}")
     return defaults | given
 
 
+def from_arrow(spark: SparkSession, table) -> DataFrame:
+    """An Arrow table as a relation, its columns as they are."""
+    return spark.createDataFrame(table)
+
+
 def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal relation; an empty one keeps its types."""
     return spark.createDataFrame(rows, schema)

@@ -1,9 +1,10 @@
-"""Writers: Parquet with stages and signatures, tidy CSV tables."""
+"""Writers: Parquet with stages and signatures, tidy CSV tables; views and fetched results."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,55 @@ def signature(**parts) -> str:
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def signed(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame], **parts) -> DataFrame:
+def publish(spark: SparkSession, df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
+    """Writes beside the path, reads the copy back, and renames it: a reader sees the whole table or none.
+
+    A table that another writer has published meanwhile stays, and the copy goes.
+    """
+    beside = f"{path}.staging-{uuid.uuid4().hex}"
+    write_parquet(df, beside, partition_by)
+    if sorted(spark.read.parquet(beside).columns) != sorted(df.columns):
+        raise ValueError(f"{beside} lacks columns")
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    system = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(at(path)) or not system.rename(at(beside), at(path)):
+        system.delete(at(beside), True)
+
+
+def signed(spark: SparkSession, root: str, name: str, build: Callable[[], DataFrame], partition_by: Iterable[str] = (), **parts) -> DataFrame:
     """A cached table under a folder that its inputs name: other inputs, another folder, so nothing stale is read."""
-    return stage(spark, f"{root}/{name}-{signature(**parts)}", build)
+    path = f"{root}/{name}-{signature(**parts)}"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        publish(spark, build(), path, partition_by)
+    return spark.read.parquet(path)
+
+
+def shadow(spark: SparkSession, view: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A view replaced by what `change` makes of it, under its own name; what was read from it before stays."""
+    df = change(spark.table(view))
+    df.createOrReplaceTempView(view)
+    return df
+
+
+def fetch(df: DataFrame, most: int = 100_000):
+    """A small result as an Arrow table; more rows than `most` are an error, not a cut."""
+    out = df.limit(most + 1).toArrow()
+    if out.num_rows > most:
+        raise ValueError(f"more than {most} rows")
+    return out
+
+
+def fetch_columns(df: DataFrame, most: int = 100_000) -> dict:
+    """A small result as one NumPy array for each column."""
+    return {n: c.to_numpy() for n, c in zip(df.columns, fetch(df, most).columns)}
+
+
+def fetch_one(df: DataFrame) -> tuple:
+    """The one row of a result; none or several are an error."""
+    got = df.limit(2).collect()
+    if len(got) != 1:
+        raise ValueError("not one row")
+    return tuple(got[0])
 
 
 def write_report(df: DataFrame, path: str, values: Iterable[str] = (), count: str | None = None, least: int = 50) -> None:

@@ -88,3 +88,37 @@ def test_streams_agree_with_batch(spark, tmp_path):
     twice = days.deduplicated(s.union(s), ["event_id"])
     days.run_available(twice, "once", str(tmp_path / "c3")).stop()
     assert spark.table("once").count() == e.count()
+
+
+def test_features_by_line_and_long_archives(spark, tmp_path):
+    shape = {"type": "Polygon", "coordinates": [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]}
+    p = tmp_path / "lines.json"
+    p.write_text("\n".join(json.dumps({"type": "Feature", "properties": {"code": str(i)}, "geometry": shape if i else None}) for i in range(3)) + "\n")
+    assert {r.code: r.wkt is None for r in files.read_features(spark, str(p), ["code"], lines=True).collect()} == {"0": True, "1": False, "2": False}
+    with zipfile.ZipFile(tmp_path / "long.zip", "w") as z:
+        z.writestr("a.txt", "\n".join(map(str, range(25_000))))
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("a.txt", b"fine\n" * 20_000 + b"\xff\xfe")
+    got = files.read_archived(spark, str(tmp_path / "*.zip"), "a.txt")
+    assert got.count() == 25_000 and got.where("line_no != cast(line as long) + 1").count() == 0
+
+
+def test_publishing_views_and_results(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(spark, spark.range(3), path)
+    sinks.publish(spark, spark.range(9), path)  # the one that is there stays
+    assert spark.read.parquet(path).count() == 3 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    spark.range(10).createOrReplaceTempView("shadowed")
+    before = spark.table("shadowed")
+    sinks.shadow(spark, "shadowed", lambda v: v.where("id > 3"))
+    assert sinks.shadow(spark, "shadowed", lambda v: v.where("id < 6")).count() == spark.table("shadowed").count() == 2 and before.count() == 10
+    assert sinks.fetch(spark.range(4)).num_rows == 4 and sinks.fetch_columns(spark.range(3))["id"].tolist() == [0, 1, 2]
+    assert sinks.fetch_one(spark.range(1)) == (0,)
+    for bad in (lambda: sinks.fetch(spark.range(4), 3), lambda: sinks.fetch_one(spark.range(2)), lambda: sinks.fetch_one(spark.range(0))):
+        with pytest.raises(ValueError):
+            bad()
+    arrow = pytest.importorskip("pyarrow").table({"a": [1, None], "b": ["x", "y"]})
+    assert files.from_arrow(spark, arrow).dtypes == [("a", "bigint"), ("b", "string")]
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a: 2\n# comment\n")
+    assert files.read_config(str(tmp_path / "c.yaml"), {"a": 1, "b": [3]}) == {"a": 2, "b": [3]}
