@@ -16,7 +16,7 @@ from loomway.session import cut
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 GUIDED = ("tram", "metro", "rail")
-HOMONYM_SHARE, FERRY_RADIUS_M = 0.3, 200.0
+HOMONYM_SHARE, FERRY_RADIUS_M, LOOSE_SHARE = 0.3, 200.0, 0.5
 
 
 def day8(c: Column) -> Column:
@@ -77,18 +77,21 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
 
     stops: (network, pattern_id, mode, express, ordinal); distances: (network,
     pattern_id, ordinal, relation_id, in_service, distance_m), one row per stop
-    and relation; names: (network, pattern_id, relation_id, affiliation). With
-    `dates` the grid has that dimension too: distances and names then carry the
-    `date` they hold on, and the outcomes their own.
+    and relation, and perhaps is_fallback for tracks that no relation names;
+    names: (network, pattern_id, relation_id, affiliation). With `dates` the grid
+    has that dimension too: distances and names then carry the `date` they hold
+    on, and the outcomes their own.
 
     A pattern takes the relations of its name with the best affiliation; for
     buses and ferries only where they cover HOMONYM_SHARE of its stops. Without
     one it takes the relations of the best covered share from `share` on. A
     stop of a guided mode is covered by any relation in service within the
-    radius, another one by the pattern's own. Networks with less than half
-    their patterns matched are not testable; else a pattern under theta is
-    dropped, and an end with at least k uncovered stops is cut on guided and
-    express lines.
+    radius, and by a fallback track where the pattern has no relation at all;
+    another one by the pattern's own. Networks with less than half their patterns
+    matched are not testable. On guided and express lines an end with at least k
+    uncovered stops is cut, and what is left under theta is dropped; other lines
+    are kept from LOOSE_SHARE of covered stops on. A line that is kept whole, but
+    by its shape and not by its name, is renamed.
 
     A stop meets the radii once: whether it is within each of them are columns
     of its row, so no join or aggregate before the last step has a row for each
@@ -101,15 +104,20 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     meta = stops.groupBy(*pk).agg(F.any_value("mode", True).alias("mode"), F.bool_or("express").alias("express"), F.count("*").alias("n"))
     each = range(len(radii))
     reach = [F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.lit(float(r))) for r in radii]
-    near = distances.where(F.col("in_service") & (F.col("distance_m") <= max(*radii, FERRY_RADIUS_M))).groupBy(*dpk, "ordinal", "relation_id").agg(F.min("distance_m").alias("distance_m"))
+    back = F.coalesce(F.col("is_fallback"), F.lit(False)) if "is_fallback" in distances.columns else F.lit(False)
+    near = distances.where(~back & F.col("in_service") & (F.col("distance_m") <= max(*radii, FERRY_RADIUS_M))).groupBy(*dpk, "ordinal", "relation_id").agg(F.min("distance_m").alias("distance_m"))
     near = near.join(meta.select(*pk, "mode"), pk).select(*dpk, "ordinal", "relation_id", *((F.col("distance_m") <= reach[i]).alias(f"in_{i}") for i in each))
     named = keep_best(names, dpk, F.col("affiliation")).select(*dpk, "relation_id").distinct().withColumn("named", F.lit(True))
     covers = near.groupBy(*dpk, "relation_id").agg(*(F.count_if(f"in_{i}").alias(f"c_{i}") for i in each))
     best = covers.groupBy(*dpk).agg(*(F.max(f"c_{i}").alias(f"b_{i}") for i in each))
     tagged = near.join(covers.join(best, dpk), [*dpk, "relation_id"]).join(named, [*dpk, "relation_id"], "left")
     ways = {"name": lambda i: F.col("named") & F.col(f"in_{i}"), "shape": lambda i: (F.col(f"c_{i}") == F.col(f"b_{i}")) & F.col(f"in_{i}"), "track": lambda i: F.col(f"in_{i}")}
+    no, near_by = F.lit(False), tagged.select(*dpk, "ordinal", *(f(i).alias(f"{w}_{i}") for w, f in ways.items() for i in each), *(F.col(f"in_{i}").alias(f"wide_{i}") for i in each), *(f"b_{i}" for i in each))
+    spare = distances.where(back & (F.col("distance_m") <= max(radii))).join(meta.where(F.col("mode").isin(*GUIDED)).select(*pk), pk, "left_semi")
+    spare = spare.select(*dpk, "ordinal", *(no.alias(f"{w}_{i}") for w in ways for i in each), *((F.col("distance_m") <= float(r)).alias(f"wide_{i}") for i, r in enumerate(radii)), *(F.lit(None).cast("long").alias(f"b_{i}") for i in each))
+    ways = [*ways, "wide"]
     # A stop counts once however many relations are near it.
-    per_stop = tagged.groupBy(*dpk, "ordinal").agg(*(F.coalesce(F.bool_or(f(i)), F.lit(False)).alias(f"{w}_{i}") for w, f in ways.items() for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
+    per_stop = near_by.unionByName(spare).groupBy(*dpk, "ordinal").agg(*(F.coalesce(F.bool_or(f"{w}_{i}"), no).alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
     found = lambda c: F.struct(F.count_if(c).alias("n"), F.min(F.when(F.col(c), F.col("ordinal"))).alias("first"), F.max(F.when(F.col(c), F.col("ordinal"))).alias("last"))
     per_pattern = per_stop.groupBy(*dpk).agg(*(found(f"{w}_{i}").alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
     # The dates are parameters, a few values.
@@ -118,13 +126,13 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     loose, guided, n = F.col("mode").isin("bus", "ferry"), F.col("mode").isin(*GUIDED), F.col("n")
     share_of = lambda c: F.coalesce(c / n, F.lit(0.0))
 
-    def point(i: int, share: float) -> Column:
-        by_name = F.coalesce("has_name", F.lit(False)) & (~loose | (share_of(F.col(f"name_{i}.n")) >= HOMONYM_SHARE))
-        by_shape = ~by_name & F.coalesce(F.col(f"b_{i}") > 0, F.lit(False)) & (share_of(F.col(f"b_{i}")) >= share)
-        stops_of = F.when(guided, F.col(f"track_{i}")).when(by_name, F.col(f"name_{i}")).when(by_shape, F.col(f"shape_{i}"))
-        return F.struct(F.lit(float(radii[i])).alias("r"), F.lit(float(share)).alias("share"), (by_name | by_shape).alias("matched"), F.coalesce(stops_of["n"], F.lit(0).cast("long")).alias("covered"), stops_of["first"].alias("first"), stops_of["last"].alias("last"))
-
-    points = cut(at.select(*dpk, "mode", "express", "n", F.explode(F.array(*(point(i, s) for i in each for s in shares))).alias("z")).select(*dpk, "mode", "express", "n", "z.*"))
+    at = at.select(*dpk, "mode", "express", "n", "has_name", F.explode(F.array(*(F.struct(F.lit(float(radii[i])).alias("r"), F.col(f"b_{i}").alias("best"), *(F.col(f"{w}_{i}").alias(w) for w in ways)) for i in each))).alias("z")).select(*dpk, "mode", "express", "n", "has_name", "z.*")
+    at = at.withColumn("share", F.explode(F.array(*(F.lit(float(s)) for s in shares))))
+    at = at.withColumn("by_name", F.coalesce("has_name", F.lit(False)) & (~loose | (share_of(F.col("name.n")) >= HOMONYM_SHARE)))
+    at = at.withColumn("renamed", ~F.col("by_name") & F.coalesce(F.col("best") > 0, F.lit(False)) & (share_of(F.col("best")) >= F.col("share")))
+    at = at.withColumn("matched", F.col("by_name") | F.col("renamed"))
+    at = at.withColumn("of", F.when(guided & F.col("matched"), F.col("track")).when(guided, F.col("wide")).when(F.col("by_name"), F.col("name")).when(F.col("renamed"), F.col("shape")))
+    points = cut(at.select(*dpk, "mode", "express", "n", "r", "share", "matched", "renamed", F.coalesce("of.n", F.lit(0).cast("long")).alias("covered"), "of.first", "of.last"))
     # Networks are few: a window over each would put one in a task, an aggregate and a join don't.
     status = points.groupBy(*on, "network", "r", "share").agg((F.count_if("matched") * 2 >= F.count("*")).alias("testable"))
     cuts = guided | ((F.col("mode") == "bus") & F.coalesce(F.col("express"), F.lit(False)))
@@ -136,8 +144,11 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     # All covered stops lie between the first and the last, so cutting loses none.
     remaining = F.coalesce(safe_div(F.col("covered"), left), F.lit(0.0))
     rows = rows.withColumns({"_left": left, "_remaining": remaining}).withColumn("theta", F.explode(F.array(*(F.lit(float(t)) for t in thetas))))
-    outcome = F.when(~F.col("testable"), "not-testable").when((F.col("_left") < 2) | (F.col("_remaining") < F.col("theta")), "dropped").when(F.col("_left") < n, "cut").otherwise("kept")
-    return rows.select(*dpk, "r", "share", "k", "theta", "n", "covered", "start_idx", "end_idx", outcome.alias("outcome"))
+    whole = F.when(F.col("renamed"), "kept-renamed").otherwise("kept")
+    loosely = F.when(F.col("_remaining") >= LOOSE_SHARE, whole).otherwise("dropped")
+    strictly = F.when((F.col("_left") < 2) | (F.col("_remaining") < F.col("theta")), "dropped").when(F.col("_left") < n, "cut").otherwise(whole)
+    outcome = F.when(~F.col("testable"), "not-testable").when(~cuts, loosely).otherwise(strictly)
+    return rows.select(*dpk, "mode", "r", "share", "k", "theta", "n", "covered", "start_idx", "end_idx", outcome.alias("outcome"))
 
 
 def scores(predicted: Column, actual: Column) -> dict[str, Column]:

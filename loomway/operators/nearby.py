@@ -112,29 +112,42 @@ class Slabs:
         slope = (e[:, 3] - e[:, 1]) / (e[:, 2] - e[:, 0]) if len(e) else np.empty(0)
         points = np.unique(e[:, [0, 2]])
         more = [points]
-        active = []
-        for a, z in zip(points[:-1], points[1:]):
-            k = np.flatnonzero((e[:, 0] <= a) & (e[:, 2] >= z))
-            yl, yr = e[k, 1] + (a - e[k, 0]) * slope[k], e[k, 1] + (z - e[k, 0]) * slope[k]
-            dl, dr = yl[:, None] - yl[None, :], yr[:, None] - yr[None, :]
+        slab, k = cls._spread(points, e)
+        left, right = points[slab], points[slab + 1]
+        yl, yr = e[k, 1] + (left - e[k, 0]) * slope[k], e[k, 1] + (right - e[k, 0]) * slope[k]
+        order = np.lexsort((yr, yl, slab))
+        # Edges from low to high at a slab's left that fall back at its right: only there do any cross.
+        falls = (np.diff(slab[order]) == 0) & (np.diff(yr[order]) < 0)
+        at = np.searchsorted(slab[order], np.unique(slab[order][1:][falls])), np.searchsorted(slab[order], np.unique(slab[order][1:][falls]), "right")
+        for lo, hi in zip(*at):
+            m = order[lo:hi]
+            dl, dr = yl[m][:, None] - yl[m][None, :], yr[m][:, None] - yr[m][None, :]
             i, j = np.nonzero(np.triu(dl * dr < 0))
-            if len(i):
-                cross = a + (z - a) * dl[i, j] / (dl[i, j] - dr[i, j])
-                more.append(cross[(cross > a) & (cross < z)])
+            x0, x1 = left[m[0]], right[m[0]]
+            cross = x0 + (x1 - x0) * dl[i, j] / (dl[i, j] - dr[i, j])
+            more.append(cross[(cross > x0) & (cross < x1)])
         points = np.unique(np.concatenate(more))
-        xs, offset, order, inside = points, [0], [], []
-        for a, z in zip(points[:-1], points[1:]):
-            k = np.flatnonzero((e[:, 0] <= a) & (e[:, 2] >= z))
-            k = k[np.argsort(e[k, 1] + ((a + z) / 2 - e[k, 0]) * slope[k], kind="stable")]
+        slab, k = cls._spread(points, e)
+        middle = (points[slab] + points[slab + 1]) / 2
+        order = np.lexsort((k, e[k, 1] + (middle - e[k, 0]) * slope[k], slab))
+        slab, k = slab[order], k[order]
+        offset = np.searchsorted(slab, np.arange(max(1, len(points))))
+        inside, ring = [], list(map(tuple, e[k, 4:6].astype(int).tolist()))
+        for lo, hi in zip(offset[:-1].tolist(), offset[1:].tolist()):
             odd: set[tuple[int, int]] = set()
             inside.append(False)
-            for i in k:
-                odd ^= {(int(e[i, 4]), int(e[i, 5]))}
+            for i in range(lo, hi):
+                odd ^= {ring[i]}
                 inside.append(any(r == 0 and not any(q == p and h > 0 for q, h in odd) for p, r in odd))
-            order.append(k)
-            offset.append(offset[-1] + len(k))
-        k = np.concatenate(order) if order else np.empty(0, int)
-        return cls(xs, np.array(offset, np.int64), e[k, 0], e[k, 1], slope[k], np.array(inside, bool))
+        return cls(points, offset.astype(np.int64), e[k, 0], e[k, 1], slope[k], np.array(inside, bool))
+
+    @staticmethod
+    def _spread(points: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slab, edge) of every edge in every slab it spans; edges begin and end at breakpoints."""
+        first, last = np.searchsorted(points, e[:, 0]), np.searchsorted(points, e[:, 2])
+        n = last - first
+        edge = np.repeat(np.arange(len(e)), n)
+        return np.repeat(first, n) + np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n), edge
 
     def clip(self, a: float, z: float) -> Slabs | None:
         """The slabs that meet [a, z]."""
@@ -158,7 +171,6 @@ class Slabs:
             lo[open_], hi[open_] = np.where(below, m + 1, lo[open_]), np.where(below, hi[open_], m)
         return ok & self.inside[np.where(ok, lo + at, 0)] & (lo >= start)
 
-
     def pack(self) -> bytes:
         """One binary value: the arrays' lengths, then the arrays. Arrow writes it far faster than lists."""
         arrays = [np.asarray(getattr(self, n), float) for n in _ARRAYS]
