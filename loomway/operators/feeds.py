@@ -105,24 +105,31 @@ def evaluate_grid(stops: DataFrame, distances: DataFrame, names: DataFrame, radi
     each = range(len(radii))
     reach = [F.when(F.col("mode") == "ferry", F.lit(FERRY_RADIUS_M)).otherwise(F.lit(float(r))) for r in radii]
     back = F.coalesce(F.col("is_fallback"), F.lit(False)) if "is_fallback" in distances.columns else F.lit(False)
-    near = distances.where(~back & F.col("in_service") & (F.col("distance_m") <= max(*radii, FERRY_RADIUS_M))).groupBy(*dpk, "ordinal", "relation_id").agg(F.min("distance_m").alias("distance_m"))
-    near = near.join(meta.select(*pk, "mode"), pk).select(*dpk, "ordinal", "relation_id", *((F.col("distance_m") <= reach[i]).alias(f"in_{i}") for i in each))
-    named = keep_best(names, dpk, F.col("affiliation")).select(*dpk, "relation_id").distinct().withColumn("named", F.lit(True))
-    covers = near.groupBy(*dpk, "relation_id").agg(*(F.count_if(f"in_{i}").alias(f"c_{i}") for i in each))
-    best = covers.groupBy(*dpk).agg(*(F.max(f"c_{i}").alias(f"b_{i}") for i in each))
-    tagged = near.join(covers.join(best, dpk), [*dpk, "relation_id"]).join(named, [*dpk, "relation_id"], "left")
-    ways = {"name": lambda i: F.col("named") & F.col(f"in_{i}"), "shape": lambda i: (F.col(f"c_{i}") == F.col(f"b_{i}")) & F.col(f"in_{i}"), "track": lambda i: F.col(f"in_{i}")}
-    no, near_by = F.lit(False), tagged.select(*dpk, "ordinal", *(f(i).alias(f"{w}_{i}") for w, f in ways.items() for i in each), *(F.col(f"in_{i}").alias(f"wide_{i}") for i in each), *(f"b_{i}" for i in each))
-    spare = distances.where(back & (F.col("distance_m") <= max(radii))).join(meta.where(F.col("mode").isin(*GUIDED)).select(*pk), pk, "left_semi")
-    spare = spare.select(*dpk, "ordinal", *(no.alias(f"{w}_{i}") for w in ways for i in each), *((F.col("distance_m") <= float(r)).alias(f"wide_{i}") for i, r in enumerate(radii)), *(F.lit(None).cast("long").alias(f"b_{i}") for i in each))
-    ways = [*ways, "wide"]
+    near = distances.where(~back & F.col("in_service") & (F.col("distance_m") <= max(*radii, FERRY_RADIUS_M)))
+    spare = distances.where(back & (F.col("distance_m") <= max(radii)))
+    void = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kinds = dict(distances.dtypes)
+    row = lambda df, d, f, a: df.select(*dpk, "ordinal", "relation_id", d, f, a)
+    rows = row(near, "distance_m", void("double", "spare_m"), void("long", "affiliation")).unionByName(row(spare, void("double", "distance_m"), F.col("distance_m").alias("spare_m"), void("long", "affiliation")))
+    rows = rows.unionByName(names.select(*dpk, void(kinds["ordinal"], "ordinal"), "relation_id", void("double", "distance_m"), void("double", "spare_m"), F.col("affiliation").cast("long").alias("affiliation")))
+    # All that follows is partitioned by pattern: windows instead of joins, so that nothing moves again.
+    rows = rows.repartition(*pk).join(meta.select(*pk, "mode"), pk)
+    rows = rows.groupBy(*dpk, "mode", "ordinal", "relation_id").agg(F.min("distance_m").alias("distance_m"), F.min("spare_m").alias("spare_m"), F.max("affiliation").alias("affiliation"))
+    guided_line, within = F.col("mode").isin(*GUIDED), lambda i: F.coalesce(F.col("distance_m") <= reach[i], F.lit(False))
+    rows = rows.select(*dpk, "ordinal", "relation_id", "affiliation", *(within(i).alias(f"track_{i}") for i in each), *((within(i) | F.coalesce(guided_line & (F.col("spare_m") <= float(r)), F.lit(False))).alias(f"wide_{i}") for i, r in enumerate(radii)))
+    of_relation, of_pattern = W.partitionBy(*dpk, "relation_id"), W.partitionBy(*dpk)
+    rows = rows.withColumns({"aff": F.max("affiliation").over(of_relation), **{f"c_{i}": F.count_if(f"track_{i}").over(of_relation) for i in each}})
+    rows = rows.withColumns({"best_aff": F.max("aff").over(of_pattern), **{f"b_{i}": F.max(f"c_{i}").over(of_pattern) for i in each}})
+    named = F.coalesce(F.col("aff") == F.col("best_aff"), F.lit(False))
+    flags = {**{f"name_{i}": named & F.col(f"track_{i}") for i in each}, **{f"shape_{i}": (F.col(f"c_{i}") == F.col(f"b_{i}")) & F.col(f"track_{i}") for i in each}}
+    ways = ("name", "shape", "track", "wide")
     # A stop counts once however many relations are near it.
-    per_stop = near_by.unionByName(spare).groupBy(*dpk, "ordinal").agg(*(F.coalesce(F.bool_or(f"{w}_{i}"), no).alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
+    per_stop = rows.withColumns(flags).withColumn("has_name", named).groupBy(*dpk, "ordinal").agg(*(F.bool_or(f"{w}_{i}").alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each), F.bool_or("has_name").alias("has_name"))
     found = lambda c: F.struct(F.count_if(c).alias("n"), F.min(F.when(F.col(c), F.col("ordinal"))).alias("first"), F.max(F.when(F.col(c), F.col("ordinal"))).alias("last"))
-    per_pattern = per_stop.groupBy(*dpk).agg(*(found(f"{w}_{i}").alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each))
+    per_pattern = per_stop.groupBy(*dpk).agg(*(found(f"{w}_{i}").alias(f"{w}_{i}") for w in ways for i in each), *(F.max(f"b_{i}").alias(f"b_{i}") for i in each), F.bool_or("has_name").alias("has_name"))
     # The dates are parameters, a few values.
     at = meta.crossJoin(F.broadcast(spark.createDataFrame([(d,) for d in dates], "date date"))) if dates else meta
-    at = at.join(per_pattern, dpk, "left").join(named.select(*dpk, F.lit(True).alias("has_name")).distinct(), dpk, "left")
+    at = at.join(per_pattern, dpk, "left")
     loose, guided, n = F.col("mode").isin("bus", "ferry"), F.col("mode").isin(*GUIDED), F.col("n")
     share_of = lambda c: F.coalesce(c / n, F.lit(0.0))
 
