@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order in which their queries are registered.
-MODULES = ("data_quality", "survey", "stats", "feeds", "relational", "composites", "further", "reports")
+MODULES = ("data_quality", "survey", "stats", "feeds", "relational", "composites", "further", "reports", "cells")
 
 
 def collect() -> tuple[dict, dict]:

@@ -65,13 +65,17 @@ def x_person_modes(spark: SparkSession, folder: str) -> DataFrame:
     return days(spark, folder).groupBy("survey", "category").agg(*cols)
 
 
-@query(f"with {DAYS}, c as (select survey, density as cell, sum(w) as weight, sum(w * x) as total from days group by all), t as (select cell, sum(weight / sw) / 2 as share from c join (select survey, sum(weight) as sw from c group by 1) using (survey) group by 1) select survey, round(sum(share * total / weight) / sum(share), 6) as value, round(1 - sum(share) / 1.0, 8) as lost_share from c join t using (cell) where weight > 0 group by 1")
+#: Share of a target mix that a sample may lack.
+LOST_LIMIT = 0.1
+
+
+@query(f"with {DAYS}, c as (select survey, density as cell, sum(w) as weight, sum(w * x) as total from days group by all), t as (select cell, sum(weight / sw) / 2 as share from c join (select survey, sum(weight) as sw from c group by 1) using (survey) group by 1) select survey, case when 1 - sum(share) <= {LOST_LIMIT} then round(sum(share * total / weight) / sum(share), 6) end as value, round(1 - sum(share) / 1.0, 8) as lost_share from c join t using (cell) where weight > 0 group by 1")
 def x_pooled_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """Both surveys at their pooled mix of densities."""
+    """Both surveys at their pooled mix of densities; blank where more than LOST_LIMIT of the mix is lost."""
     c = days(spark, folder).groupBy("survey", F.col("density").alias("cell")).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("x")).alias("total"))
     s = W.partitionBy("survey")  # one row per density
     t = c.withColumn("s", F.col("weight") / F.sum("weight").over(s)).groupBy("cell").agg((F.sum("s") / 2).alias("share"))
-    return dc.to_target_mix(c, t).select("survey", F.round("value", 6).alias("value"), F.round("lost_share", 8).alias("lost_share"))
+    return dc.to_target_mix(c, t).select("survey", F.when(F.col("lost_share") <= LOST_LIMIT, F.round("value", 6)).alias("value"), F.round("lost_share", 8).alias("lost_share"))
 
 
 @query(
@@ -115,14 +119,14 @@ def g_assembled_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.unionByName(outside, allowMissingColumns=True)
 
 
-@query(f"with {DAYS}, k as (select survey, mode, income, count(*) as n, sum(w) as w, sum(w * x) as t from days group by all), c as (select mode, income, max(t / w) filter (where survey = 'a') as a, max(t / w) filter (where survey = 'b') as b, sum(n)::bigint as n, max(w) filter (where survey = 'b') as wb from k group by all) select mode, count(*) as cells, count(*) filter (where b / a between 1 / 1.1 and 1.1) as equivalent, round(sum(wb * abs(ln(b / a))) / sum(wb), 8) as mean_abs_log, arg_max(income, struct_pack(v := round(abs(ln(b / a)), 9), i := income)) as most_moved from c where a > 0 and b > 0 group by 1")
+@query(f"with {DAYS}, k as (select survey, mode, income, count(*) as n, sum(w) as w, sum(w * x) as t from days group by all), c as (select mode, income, max(t / w) filter (where survey = 'a') as a, max(t / w) filter (where survey = 'b') as b, sum(n)::bigint as n, max(w) filter (where survey = 'b') as wb from k group by all) select mode, count(*) as cells, count(*) filter (where b / a between 1 / 1.1 and 1.1) as equivalent, round(coalesce(sum(wb) filter (where b / a between 1 / 1.1 and 1.1), 0) / sum(wb), 8) as equivalent_share, round(max(abs(ln(b / a))), 8) as max_abs_log, round(sum(wb * abs(ln(b / a))) / sum(wb), 8) as mean_abs_log, arg_max(income, struct_pack(v := round(abs(ln(b / a)), 9), i := income)) as most_moved from c where a > 0 and b > 0 group by 1")
 def x_grouping_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of each mode by income: how many keep their level, and how far they move."""
     k = days(spark, folder).groupBy("survey", "mode", "income").agg(F.count("*").alias("n"), F.sum("w").alias("w"), (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m"))
     c = dc.side_by_side(k, ["mode", "income"], "survey", "a", "b", ("m", "w")).where("m_a > 0 and m_b > 0")
     q = F.col("m_b") / F.col("m_a")
     move = F.abs(F.ln(q))
-    return c.groupBy("mode").agg(F.count("*").alias("cells"), F.count(F.when(q.between(1 / 1.1, 1.1), 1)).alias("equivalent"), F.round(safe_div(F.sum(F.col("w_b") * move), F.sum("w_b")), 8).alias("mean_abs_log"), F.max_by("income", F.struct(F.round(move, 9).alias("v"), F.col("income").alias("i"))).alias("most_moved"))
+    return c.groupBy("mode").agg(F.count("*").alias("cells"), F.count(F.when(q.between(1 / 1.1, 1.1), 1)).alias("equivalent"), F.round(safe_div(F.coalesce(F.sum(F.when(q.between(1 / 1.1, 1.1), F.col("w_b"))), F.lit(0.0)), F.sum("w_b")), 8).alias("equivalent_share"), F.round(F.max(move), 8).alias("max_abs_log"), F.round(safe_div(F.sum(F.col("w_b") * move), F.sum("w_b")), 8).alias("mean_abs_log"), F.max_by("income", F.struct(F.round(move, 9).alias("v"), F.col("income").alias("i"))).alias("most_moved"))
 
 
 @query("with o as (select rec_id, unnest(regexp_extract_all(coalesce(notes, '') || ' ' || coalesce(mode, ''), '[a-z]+')) as word from pt_openings_mapping) select word, count(*) as uses, count(distinct rec_id) as openings from o group by 1")
