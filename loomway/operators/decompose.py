@@ -71,16 +71,31 @@ def standardise(cells: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return y.agg(sa.alias("standard_a"), sb.alias("standard_b"), safe_div(sb, sa).alias("ratio"), F.count("*").alias("cells"))
 
 
-def standard_speeds(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, cells, speed_a, speed_b): both sides' speed at their mean mix of kilometres over the cells that both have.
+def _by_role(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    at = lambda role, c: F.sum(F.when(F.col("role") == role, F.col(c)))
+    return cells.groupBy(*keys, "cell").agg(*(at(r, c).alias(f"{c}_{r}") for r in "ab" for c in ("w", "k", "h")), at("mix", "w").alias("w_mix"))
 
-    `cells` has (keys, side, cell, k, h): kilometres and hours of side a or b.
+
+def common_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, cell) that both sides and the mix have."""
+    return _by_role(cells, keys).where("w_a > 0 and w_b > 0 and w_mix > 0").select(*keys, "cell")
+
+
+def standard_speeds(cells: DataFrame, common: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """(keys, more, cells, speed_a, speed_b): both sides' kilometres over hours per trip, at the mix of trips of a third sample.
+
+    `cells` has (keys, more, role, cell, w, k, h): trips, kilometres and hours,
+    all weighted, of role a, b or mix. The cells are those of `common`, found
+    once; a side that lacks one of them, as in a replicate, has no speed.
     """
-    x = side_by_side(cells, [*keys, "cell"], "side", "a", "b", ("k", "h")).where("k_a > 0 and h_a > 0 and k_b > 0 and h_b > 0")
-    of = W.partitionBy(*keys)  # a few cells
-    mix = (F.col("k_a") / F.sum("k_a").over(of) + F.col("k_b") / F.sum("k_b").over(of)) / 2
-    speed = lambda s: safe_div(F.lit(1.0), F.sum(F.col("mix") * F.col(f"h_{s}") / F.col(f"k_{s}"))).alias(f"speed_{s}")
-    return x.withColumn("mix", mix).groupBy(*keys).agg(F.count("*").alias("cells"), speed("a"), speed("b"))
+    x = _by_role(cells, [*keys, *more]).join(common, [*keys, "cell"])
+
+    def speed(s: str) -> Column:
+        w, mix = F.col(f"w_{s}"), F.coalesce("w_mix", F.lit(0.0))
+        per = lambda c: F.sum(F.when(w > 0, mix * F.col(f"{c}_{s}") / w))
+        return F.when(F.bool_and(F.coalesce(w > 0, F.lit(False))), safe_div(per("k"), per("h"))).alias(f"speed_{s}")
+
+    return x.groupBy(*keys, *more).agg(F.count("*").alias("cells"), speed("a"), speed("b"))
 
 
 def between_share(cells: DataFrame) -> DataFrame:

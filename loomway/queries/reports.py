@@ -9,14 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomway.functions import codes
-from loomway.functions.exprs import finite, looked_up, safe_div
+from loomway.functions.exprs import finite, looked_up, norm_key, safe_div
 from loomway.functions.text import ascii_fold
 from loomway.operators import bootstrap as bs
 from loomway.operators import feeds, legs
 from loomway.operators import decompose as dc
+from loomway.operators.relational import first_per_key
 from loomway.plans.scope_cube import CAUTION, LEAST, survey_ratios
 from loomway.queries import feeds as feed_queries
-from loomway.queries.base import DAYS, TRIPS, days, registry, trips
+from loomway.queries.base import DAYS, TRIPS, days, key_sql, registry, trips
 from loomway.queries.composites import _DRAWN as _CUBE_DRAWN
 from loomway.queries.composites import _IND, _PARTS, _SUMS, _TRIP_OK, _cube
 from loomway.queries.stats import REPS, draw_sql
@@ -193,33 +194,44 @@ SPEED_BANDS = (0, 2, 5, 10, 20, 50)
 #: The later survey is cut here, for before and after.
 CUT_DAY = date(2018, 11, 29)
 _BAND = "case " + " ".join(f"when km >= {b} then {i}" for i, b in reversed(list(enumerate(SPEED_BANDS)))) + " end"
-_STANDARD = lambda src, at: f"""select {at}, count(*) as cells, 1 / sum(mix * ha / ka) as speed_a, 1 / sum(mix * hb / kb) as speed_b from (select *, (ka / sum(ka) over o + kb / sum(kb) over o) / 2 as mix from (
-    select {at}, cell, sum(k) filter (where side = 'a') as ka, sum(h) filter (where side = 'a') as ha, sum(k) filter (where side = 'b') as kb, sum(h) filter (where side = 'b') as hb from {src} group by all) where ka > 0 and ha > 0 and kb > 0 and hb > 0 window o as (partition by {at})) group by all"""
+#: Comparisons as conditions of their sides and of the sample whose mix of trips is held: the surveys with draws of their own and the earlier one's mix; before and after, which share draws, at the other survey's mix or at their own; days with a round at the mix of all days.
+_ROLES = {
+    "surveys": ("survey = 'J'", "survey = 'P'", "survey = 'J'"),
+    "date": (f"survey = 'P' and loaded_at < date '{CUT_DAY}'", f"survey = 'P' and loaded_at >= date '{CUT_DAY}'", "survey = 'J'"),
+    "date, own mix": (f"survey = 'P' and loaded_at < date '{CUT_DAY}'", f"survey = 'P' and loaded_at >= date '{CUT_DAY}'", "survey = 'P'"),
+    "round days": ("survey = 'J' and is_round", "survey = 'P' and is_round", "survey = 'J'"),
+}
+_ROLE_SQL = " union all ".join(f"select survey, hh, w, k, h, cell, selection, '{c}' as comparison, '{r}' as role from c0 where {cond}" for c, conds in _ROLES.items() for r, cond in zip(("a", "b", "mix"), conds))
+_PIVOT = ", ".join(f"sum({c}) filter (where role = '{r}') as {c}{r}" for r in ("a", "b") for c in "wkh") + ", sum(w) filter (where role = 'mix') as wm"
+_SIDE = lambda s: f"case when bool_and(coalesce(w{s} > 0, false)) then sum(coalesce(wm, 0) * k{s} / w{s}) filter (where w{s} > 0) / nullif(sum(coalesce(wm, 0) * h{s} / w{s}) filter (where w{s} > 0), 0) end as speed_{s}"
 
 
 @query(
-    f"""with {_RD}, c0 as (select survey, h2 as hh, loaded_at, w * km as k, w * d / 60 as h, {_BAND} as cell, unnest(['all', case when hour between 7 and 9 or hour between 16 and 19 then 'peak' else 'other hours' end, case when is_round then 'round day' else 'other day' end, case when floor(motive) = 9 then 'work' else 'other motive' end]) as selection from rt where mode_group = 'car_driver' and km > 0 and d > 0),
-    ca as (select survey, hh, k, h, cell, selection, 'surveys' as comparison, case survey when 'J' then 'a' when 'P' then 'b' end as side from c0 union all select survey, hh, k, h, cell, selection, 'date', case when loaded_at < date '{CUT_DAY}' then 'a' else 'b' end from c0 where survey = 'P'),
-    p as ({_STANDARD("ca", "comparison, selection")}), rs as (select comparison, selection, side, cell, rep, sum(k * mult) as k, sum(h * mult) as h from ca join dr using (survey, hh) group by all), q as ({_STANDARD("rs", "comparison, selection, rep")}),
+    f"""with {_RD}, c0 as (select survey, h2 as hh, loaded_at, is_round, w, w * km as k, w * d / 60 as h, {_BAND} as cell, unnest(['all', case when hour between 7 and 9 or hour between 16 and 19 then 'peak' else 'other hours' end, case when floor(motive) = 9 then 'work' else 'other motive' end]) as selection from rt where mode_group = 'car_driver' and km > 0 and d > 0),
+    ca as ({_ROLE_SQL}), ps as (select comparison, selection, cell, {_PIVOT} from ca group by all), cm as (select * from ps where wa > 0 and wb > 0 and wm > 0), p as (select comparison, selection, count(*) as cells, {_SIDE("a")}, {_SIDE("b")} from cm group by all),
+    rs as (select comparison, selection, cell, rep, role, sum(w * mult) as w, sum(k * mult) as k, sum(h * mult) as h from ca join dr using (survey, hh) group by all), rp as (select comparison, selection, cell, rep, {_PIVOT} from rs group by all),
+    g as (select cm.comparison, cm.selection, cm.cell, r.rep from cm cross join (select unnest(range(0, {REPS})) as rep) r), q as (select comparison, selection, rep, {_SIDE("a")}, {_SIDE("b")} from g left join rp using (comparison, selection, cell, rep) group by all),
     ci as (select comparison, selection, {_CI("speed_b / speed_a")} from q group by all) select comparison, selection, cells, round(speed_a, 6) as speed_a, round(speed_b, 6) as speed_b, round(speed_b / speed_a, 8) as ratio, case when valid >= {0.95 * REPS} then round(low, 8) end as low, case when valid >= {0.95 * REPS} then round(high, 8) end as high from p left join ci using (comparison, selection)"""
 )
 def y_car_speed_standardised(spark: SparkSession, folder: str) -> DataFrame:
-    """Car drivers' speed at an equal mix of distances, between the surveys and before and after a day, for several selections.
+    """Car drivers' speed at an equal mix of distances, for several comparisons and selections, with intervals.
 
-    The surveys have draws of their own; before and after share those of their survey.
+    A household has the same draws in whatever samples it stands, so samples of
+    one survey share them and those of two surveys do not.
     """
     rows = _rows(spark, folder)
     h, flag = F.col("hour"), lambda c, a, b: F.when(c, a).otherwise(b)
     band = F.coalesce(*(F.when(F.col("km") >= b, i) for i, b in reversed(list(enumerate(SPEED_BANDS)))))
-    pick = F.array(F.lit("all"), flag(h.between(7, 9) | h.between(16, 19), "peak", "other hours"), flag(F.col("is_round"), "round day", "other day"), flag(F.floor("motive") == 9, "work", "other motive"))
-    c = rows.where("mode_group = 'car_driver' and km > 0 and d > 0").select("survey", "hh", "loaded_at", (F.col("w") * F.col("km")).alias("k"), (F.col("w") * F.col("d") / 60).alias("h"), band.alias("cell"), F.explode(pick).alias("selection"))
-    side = F.when(F.col("survey") == "J", "a").when(F.col("survey") == "P", "b")
-    row = lambda name, s: F.struct(F.lit(name).alias("comparison"), s.alias("side"))
-    both = F.array_compact(F.array(row("surveys", side), F.when(F.col("survey") == "P", row("date", flag(F.col("loaded_at") < F.lit(CUT_DAY), "a", "b")))))
-    ca = c.withColumn("z", F.explode(both)).select("survey", "hh", "k", "h", "cell", "selection", "z.*")
-    keys, sums = ["comparison", "selection"], {"k": F.col("k"), "h": F.col("h")}
-    p = dc.standard_speeds(ca.groupBy(*keys, "side", "cell").agg(*(F.sum(x).alias(a) for a, x in sums.items())), keys)
-    q = dc.standard_speeds(_replicated(rows, ca, [*keys, "side", "cell"], sums), [*keys, "rep"])
+    pick = F.array(F.lit("all"), flag(h.between(7, 9) | h.between(16, 19), "peak", "other hours"), flag(F.floor("motive") == 9, "work", "other motive"))
+    c = rows.where("mode_group = 'car_driver' and km > 0 and d > 0")
+    roles = F.array_compact(F.array(*(F.when(F.expr(cond), F.struct(F.lit(n).alias("comparison"), F.lit(r).alias("role"))) for n, conds in _ROLES.items() for r, cond in zip(("a", "b", "mix"), conds))))
+    c = c.select("survey", "hh", "w", (F.col("w") * F.col("km")).alias("k"), (F.col("w") * F.col("d") / 60).alias("h"), band.alias("cell"), roles.alias("roles"), F.explode(pick).alias("selection"))
+    ca = c.select("survey", "hh", "w", "k", "h", "cell", "selection", F.explode("roles").alias("z")).select("survey", "hh", "w", "k", "h", "cell", "selection", "z.*")
+    keys, sums = ["comparison", "selection"], {x: F.col(x) for x in "wkh"}
+    cells = ca.groupBy(*keys, "role", "cell").agg(*(F.sum(x).alias(a) for a, x in sums.items()))
+    common = dc.common_cells(cells, keys)
+    p = dc.standard_speeds(cells, common, keys)
+    q = dc.standard_speeds(_replicated(rows, ca, [*keys, "role", "cell"], sums), common, keys, ["rep"])
     ci = bs.interval(q, keys, safe_div(F.col("speed_b"), F.col("speed_a")), 0.95, REPS)
     r = lambda c, k: F.round(c, k)
     return p.join(ci, keys, "left").select(*keys, "cells", r("speed_a", 6).alias("speed_a"), r("speed_b", 6).alias("speed_b"), r(safe_div(F.col("speed_b"), F.col("speed_a")), 8).alias("ratio"), r("low", 8).alias("low"), r("high", 8).alias("high"))
@@ -313,6 +325,31 @@ def y_calendar_effect(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*((c if c == "cells" else F.round(c, 8 if c == "lost_share" else 6).alias(c)) for c in ("mean_a", "mean_b", "counterfactual", "cells", "lost_share", "composition", "behaviour")))
 
 
+_LAG = "date_diff('day', try_strptime(v2_datesemref, '%d/%m/%Y')::date, try_strptime(mdatenq2v, '%d/%m/%Y')::date)"
+
+
+@query(
+    f"""with {_RT}, ps as (select k, lag from (select {key_sql("ident_ind")} as k, {_LAG} as lag, row_number() over (partition by {key_sql("ident_ind")} order by rec_id) as rn from k_individu where {key_sql("ident_ind")} is not null) where rn = 1),
+    t as (select case when lag is null then 'unknown' when lag <= 2 then '0-2' when lag <= 7 then '3-7' else '8+' end as recall, rt.day_id, rt.w, rt.km, rt.d from rt left join ps on ps.k = {key_sql("rt.ident_ind")} where survey = 'J'), dy as (select recall, day_id, max(w) as w, sum(km) as km, sum(d) as d, count(*) as n from t group by all),
+    g as (select recall, count(*) as days, sum(w * coalesce(km, 0)) / sum(w) as km_per_day, sum(w * n) / sum(w) as trips_per_day from dy group by 1), b as (select sum(w * coalesce(km, 0)) / sum(w) as all_km from dy)
+    select recall, days, round(km_per_day, 6) as km_per_day, round(trips_per_day, 6) as trips_per_day, round(km_per_day / nullif(all_km, 0) - 1, 8) as effect from g, b"""
+)
+def y_recall_effect(spark: SparkSession, folder: str) -> DataFrame:
+    """Kilometres and trips a day of the older survey by the days between the week asked about and the interview, against all of its days."""
+    d = lambda c: F.expr(f"try_to_date({c}, 'dd/MM/yyyy')")
+    i = table(spark, folder, "k_individu", "rec_id", "ident_ind", "mdatenq2v", "v2_datesemref").withColumn("k", norm_key(F.col("ident_ind"))).where("k is not null")
+    i = first_per_key(i, ["k"], ["rec_id"]).select("k", F.datediff(d("mdatenq2v"), d("v2_datesemref")).alias("lag"))
+    lag = F.col("lag")
+    recall = F.when(lag.isNull(), "unknown").when(lag <= 2, "0-2").when(lag <= 7, "3-7").otherwise("8+")
+    t = _rows(spark, folder).where("survey = 'J'").withColumn("k", norm_key(F.col("ident_ind"))).join(i, "k", "left")
+    dy = t.groupBy(recall.alias("recall"), "day_id").agg(F.max("w").alias("w"), F.coalesce(F.sum("km"), F.lit(0.0)).alias("km"), F.count("*").alias("n"))
+    w = F.col("w")
+    every = F.sum("s_km").over(W.partitionBy()) / F.sum("s_w").over(W.partitionBy())  # four rows
+    g = dy.groupBy("recall").agg(F.count("*").alias("days"), F.sum(w).alias("s_w"), F.sum(w * F.col("km")).alias("s_km"), F.sum(w * F.col("n")).alias("s_n"))
+    r = lambda e, n, k=6: F.round(e, k).alias(n)
+    return g.select("recall", "days", r(F.col("s_km") / F.col("s_w"), "km_per_day"), r(F.col("s_n") / F.col("s_w"), "trips_per_day"), r(safe_div(F.col("s_km") / F.col("s_w"), every) - 1, "effect", 8))
+
+
 @query(
     f"""with {DAYS}, g as (select survey, income, density, grouping(density)::int as all_densities, count(*) as n, sum(w * x) / sum(w) as minutes, sum(w * n) / sum(w) as trips, sum(w * e) filter (where isfinite(e)) / sum(w) filter (where isfinite(e)) as kj, coalesce(sum(w) filter (where mode = 'car_driver'), 0) / sum(w) as car_share from days group by grouping sets ((survey, income), (survey, income, density)))
     select survey, income, density, all_densities, n, case when n < {LEAST} then 'blank' when n < {CAUTION} then 'caution' else 'ok' end as reading, {", ".join(f"case when n >= {LEAST} then round({c}, {k}) end as {c}" for c, k in (("minutes", 6), ("trips", 6), ("kj", 4), ("car_share", 8)))} from g"""

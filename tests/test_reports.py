@@ -54,12 +54,19 @@ def test_scaled_ends_and_other_power(spark):
 
 
 def test_standard_speeds(spark):
-    cells = spark.createDataFrame([("s", "a", 0, 10.0, 1.0), ("s", "a", 1, 30.0, 1.0), ("s", "b", 0, 20.0, 1.0), ("s", "b", 1, 20.0, 1.0), ("s", "b", 2, 9.0, 9.0), ("none", "a", 0, 1.0, 1.0)], "sel string, side string, cell int, k double, h double")
-    (r,) = dc.standard_speeds(cells, ["sel"]).collect()
-    mix = [(10 / 40 + 20 / 40) / 2, (30 / 40 + 20 / 40) / 2]
+    rows = [("s", "a", 0, 2.0, 10.0, 1.0), ("s", "a", 1, 1.0, 30.0, 1.0), ("s", "b", 0, 1.0, 20.0, 1.0), ("s", "b", 1, 1.0, 20.0, 1.0), ("s", "b", 2, 1.0, 9.0, 9.0), ("s", "mix", 0, 1.0, 0.0, 0.0), ("s", "mix", 1, 3.0, 0.0, 0.0), ("s", "mix", 2, 9.0, 0.0, 0.0), ("none", "a", 0, 1.0, 1.0, 1.0)]
+    schema = "sel string, role string, cell int, w double, k double, h double"
+    cells = spark.createDataFrame(rows, schema)
+    common = dc.common_cells(cells, ["sel"])
+    assert values(common, "sel", "cell") == [("s", 0), ("s", 1)]
+    (r,) = dc.standard_speeds(cells, common, ["sel"]).collect()
     assert (r.sel, r.cells) == ("s", 2)
-    assert r.speed_a == pytest.approx(1 / (mix[0] / 10 + mix[1] / 30)) and r.speed_b == pytest.approx(20.0)
-    assert dc.standard_speeds(cells.limit(0), ["sel"]).count() == 0
+    assert r.speed_a == pytest.approx((1 * 5 + 3 * 30) / (1 * 0.5 + 3 * 1)) and r.speed_b == pytest.approx(20.0)
+    # A replicate that lacks a common cell on one side has no speed there.
+    reps = spark.createDataFrame([(*x, 0) for x in rows] + [("s", x[1], x[2], 0.0 if x[1:3] == ("a", 1) else x[3], *x[4:], 1) for x in rows[:-1]], schema + ", rep int")
+    got = {r.rep: (r.speed_a, r.speed_b) for r in dc.standard_speeds(reps, common, ["sel"], ["rep"]).collect()}
+    assert got[0][0] == pytest.approx(r.speed_a) and got[1][0] is None and got[1][1] == pytest.approx(20.0)
+    assert dc.standard_speeds(cells.limit(0), common.limit(0), ["sel"]).count() == 0
 
 
 def test_joint_mix_needs_support(spark):
