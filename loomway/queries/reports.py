@@ -12,7 +12,7 @@ from loomway.functions import codes
 from loomway.functions.exprs import finite, looked_up, norm_key, safe_div
 from loomway.functions.text import ascii_fold
 from loomway.operators import bootstrap as bs
-from loomway.operators import feeds, legs
+from loomway.operators import chains, feeds, legs
 from loomway.operators import decompose as dc
 from loomway.operators.relational import first_per_key
 from loomway.plans.scope_cube import CAUTION, LEAST, survey_ratios
@@ -21,7 +21,7 @@ from loomway.queries.base import DAYS, TRIPS, days, key_sql, registry, trips
 from loomway.queries.composites import _DRAWN as _CUBE_DRAWN
 from loomway.queries.composites import _IND, _PARTS, _SUMS, _TRIP_OK, _cube
 from loomway.queries.stats import REPS, draw_sql
-from loomway.queries.survey import _FINITE_TRIP, _SCOPED, RULE_SQL, _case, _legs_sql, _scoped, rule
+from loomway.queries.survey import _FINITE_TRIP, _SCOPED, RULE_SQL, _case, _legs_sql, _scope_sql, _scoped, rule
 from loomway.tables import table
 
 QUERIES, SQL, query = registry()
@@ -147,6 +147,33 @@ def y_rule_shares(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*keys, "trips", "n", *(_shown(c, digits=8) for c in ("share", "low", "high")))
 
 
+_OFFICIAL = {"trips_per_day": "n / nullif(w, 0)", "minutes_per_trip": "m / nullif(n, 0)", "km_per_trip": "k / nullif(kn, 0)", "zero_share": "z / nullif(w, 0)"}
+_OFFICIAL_IND = lambda src: " union all ".join(f"select *, '{i}' as indicator, {e} as value from {src}" for i, e in _OFFICIAL.items())
+_OFFICIAL_SUMS = lambda m: ", ".join(f"sum({e}{m}) as {n}" for n, e in (("w", "w"), ("n", "w * n"), ("m", "w * m"), ("k", "w * k"), ("kn", "w * kn"), ("z", "(case when n = 0 then w else 0 end)")))
+
+
+@query(
+    f"""with {_RD}, dy as (select survey, day_id, min(h2) as hh, max(w) as w, min(typejour)::int as period, count(*) filter (where {_scope_sql("round-dest-local")}) as n, coalesce(sum(d) filter (where {_scope_sql("round-dest-local")}), 0) as m, coalesce(sum(km) filter (where {_scope_sql("round-dest-local")}), 0) as k, count(km) filter (where {_scope_sql("round-dest-local")}) as kn from rt group by survey, day_id),
+    l as (select survey, hh, w, n, m, k, kn, unnest([0, period]) as period from dy where period in (1, 2, 3)), pt as (select survey, period, count(*) as days, {_OFFICIAL_SUMS("")} from l group by all), rs as (select survey, period, rep, {_OFFICIAL_SUMS(" * mult")} from l join dr using (survey, hh) group by all),
+    p as (select survey, period, days as n, indicator, value from ({_OFFICIAL_IND("pt")})), ci as (select survey, period, indicator, {_CI("value")} from ({_OFFICIAL_IND("rs")}) group by all)
+    select survey, period, indicator, n, case when n >= {LEAST} then round(value, 6) end as value, {_ENDS()} from p left join ci using (survey, period, indicator)"""
+)
+def y_official_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Trips a day, minutes and kilometres a trip and the share of days without a trip, in the reference scope: by kind of day, 0 being all of them, with intervals."""
+    rows = _rows(spark, folder)
+    f, d, k = chains.scope_filter("round-dest-local"), F.col("d"), F.col("km")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    dy = rows.groupBy("survey", "day_id").agg(F.min("hh").alias("hh"), F.max("w").alias("w"), F.min("typejour").cast("int").alias("kind"), F.count_if(f).alias("n"), zero(F.sum(F.when(f, d))).alias("m"), zero(F.sum(F.when(f, k))).alias("k"), F.count(F.when(f, k)).alias("kn"))
+    long = dy.where(F.col("kind").isin(1, 2, 3)).withColumn("period", F.explode(F.array(F.lit(0), "kind")))
+    w, keys = F.col("w"), ["survey", "period"]
+    sums = {"sw": w, **{f"s{c}": w * F.col(c) for c in ("n", "m", "k", "kn")}, "sz": F.when(F.col("n") == 0, w).otherwise(0.0)}
+    parts = {"trips_per_day": ("sn", "sw"), "minutes_per_trip": ("sm", "sn"), "km_per_trip": ("sk", "skn"), "zero_share": ("sz", "sw")}
+    each = lambda df, *more: df.select(*keys, *more, F.explode(F.array(*(F.struct(F.lit(i).alias("indicator"), safe_div(F.col(a), F.col(b)).alias("value")) for i, (a, b) in parts.items()))).alias("z")).select(*keys, *more, "z.*")
+    p = each(long.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(c).alias(a) for a, c in sums.items())), "n")
+    ci = bs.interval(each(_replicated(rows, long, keys, sums), "rep"), [*keys, "indicator"], F.col("value"), 0.95, REPS)
+    return p.join(ci, [*keys, "indicator"], "left").select(*keys, "indicator", "n", *(_shown(c) for c in ("value", "low", "high")))
+
+
 _V = lambda lo, hi, m: f"case when {lo} >= 1 / (1 + {m}) and {hi} <= 1 + {m} then 'equivalent' when {lo} > 1 or {hi} < 1 then 'different' when {lo} is not null then 'inconclusive' end"
 
 

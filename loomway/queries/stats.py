@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomway.functions.exprs import clock_seconds, finite, safe_div
 from loomway.operators import bootstrap as bs
 from loomway.operators import decompose as dc
+from loomway.operators import rounding as rd
 from loomway.operators import weighted as wt
 from loomway.operators.regression import wls
 from loomway.operators.relational import first_per_key, sum_if_complete
@@ -424,24 +425,41 @@ def x_rounding(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("share", F.round(F.col("trips") / F.sum("trips").over(W.partitionBy()), 8))
 
 
-_FRACTION = "('0x' || substr(md5(ident_dep), 1, 8))::bigint / 4294967296.0::double"
+#: Levels of rounding, and the upper ends of the classes of minutes that are coarsened apart.
+ROUND_LEVELS, ROUND_CLASSES = (1, 5, 15, 30), (15, 30, 60)
+_LEVEL = lambda d: "case " + " ".join(f"when {d} % {k} = 0 then {k}" for k in reversed(ROUND_LEVELS[1:])) + f" else {ROUND_LEVELS[0]} end"
 
 
-@query(
-    f"""with {TRIPS}, t as (select survey, ident_dep, duration_min as d, duration_min % 15 = 0 as whole from trips where isfinite(duration_min) and duration_min > 0 and duration_min <= 1440 and ident_dep is not null), s as (select survey, avg(whole::int::double) as share from t group by 1), g as (select max(share) as target from s),
-    r as (select t.*, target, not whole and {_FRACTION} < (target - share) / nullif(1 - share, 0) as drawn from t join s using (survey), g), c as (select *, case when drawn then greatest(15, floor(d / 15 + 0.5) * 15) else d end as coarse from r)
-    select survey, count(*) as trips, count(*) filter (where drawn) as drawn, round(max(target), 8) as target, round(avg((coarse % 15 = 0)::int::double), 8) as share_after, round(avg(d), 6) as mean_before, round(avg(coarse), 6) as mean_after from c group by 1"""
-)
+def _round_step(i: int, k: int, variant: str) -> str:
+    steps = f"ceil(after / {k})" if variant == "up" else f"floor(after / {k} + 0.5)"
+    to = f"greatest({steps} * {k}, {rd.LEAST_MIN})" if variant == "nearest_min5" else f"{steps} * {k}"
+    return f"""a{i} as (select *, now < {k} and {_LEVEL("goal")} >= {k} as can from (select *, {_LEVEL("after")} as now, ({to})::double as goal from r{i - 1})), s{i} as (select cell, sum(w) as s_all, coalesce(sum(w) filter (where now >= {k}), 0) as s_now, coalesce(sum(w) filter (where can), 0) as s_can from a{i} group by 1),
+      r{i} as (select cell, key, w, d, case when coalesce(can and target_{k} - s_now / s_all > 0 and s_can > 0 and ('0x' || substr(md5(key || ':{k}'), 1, 8))::bigint / 4294967296.0::double < (target_{k} - s_now / s_all) / (s_can / s_all), false) then goal else after end as after, {", ".join(f"target_{x}" for x in ROUND_LEVELS[1:])} from a{i} join s{i} using (cell))"""
+
+
+def _round_sql(variant: str) -> str:
+    cls = "case " + " ".join(f"when d < {u} then {i}" for i, u in enumerate(ROUND_CLASSES)) + f" else {len(ROUND_CLASSES)} end"
+    return f"""with {TRIPS}, t as (select survey, ident_dep as key, pond_jour as w, duration_min as d, floor(coalesce(mtp, -1))::bigint as m from trips where isfinite(duration_min) and duration_min >= 0 and duration_min <= 1440 and isfinite(pond_jour) and pond_jour > 0 and ident_dep is not null), c as (select survey, key, w, d, m * 10 + {cls} as cell from t),
+      g as (select cell, {", ".join(f"coalesce(sum(w) filter (where {_LEVEL('d')} >= {k}), 0) / sum(w) as target_{k}" for k in ROUND_LEVELS[1:])} from c where survey = 'P' group by 1), r0 as (select c.cell, key, w, d, d as after, {", ".join(f"target_{k}" for k in ROUND_LEVELS[1:])} from c left join g using (cell) where survey = 'J'),
+      {", ".join(_round_step(i, k, variant) for i, k in enumerate(ROUND_LEVELS[1:], 1))}
+      select '{variant}' as variant, count(*) as trips, count(*) filter (where after <> d) as moved, round(sum(w * d) / sum(w), 6) as mean_before, round(sum(w * after) / sum(w), 6) as mean_after, {", ".join(f"round(coalesce(sum(w) filter (where {_LEVEL('after')} >= {k}), 0) / sum(w), 8) as share_{k}" for k in ROUND_LEVELS[1:])} from r{len(ROUND_LEVELS) - 1}"""
+
+
+@query(" union all ".join(f"({_round_sql(v)})" for v in rd.VARIANTS))
 def x_rounding_simulation(spark: SparkSession, folder: str) -> DataFrame:
-    """Durations coarsened to quarter hours, by a draw from the trip's MD5, until a survey has the larger share of such durations: means before and after."""
-    d, whole = F.col("d"), F.col("whole")
-    t = trips(spark, folder).withColumn("d", F.col("duration_min")).where(finite(d) & (d > 0) & (d <= 1440) & F.col("ident_dep").isNotNull()).select("survey", "ident_dep", "d", (d % 15 == 0).alias("whole"))
-    share = t.groupBy("survey").agg(F.avg(whole.cast("int").cast("double")).alias("share"))  # one row for each survey
-    of = share.withColumn("target", F.max("share").over(W.partitionBy()))
-    part = F.conv(F.substring(F.md5("ident_dep"), 1, 8), 16, 10).cast("double") / 2**32
-    r = t.join(F.broadcast(of), "survey").withColumn("drawn", F.coalesce(~whole & (part < safe_div(F.col("target") - F.col("share"), 1 - F.col("share"))), F.lit(False)))
-    r = r.withColumn("coarse", F.when(F.col("drawn"), F.greatest(F.lit(15.0), F.floor(d / 15 + 0.5) * 15)).otherwise(d))
-    return r.groupBy("survey").agg(F.count("*").alias("trips"), F.count_if("drawn").alias("drawn"), F.round(F.max("target"), 8).alias("target"), F.round(F.avg((F.col("coarse") % 15 == 0).cast("int").cast("double")), 8).alias("share_after"), F.round(F.avg("d"), 6).alias("mean_before"), F.round(F.avg("coarse"), 6).alias("mean_after"))
+    """The older survey's minutes coarsened to the newer one's shares of multiples of 5, 15 and 30, by mode and class of minutes, in three ways of rounding."""
+    d, w = F.col("duration_min"), F.col("pond_jour")
+    t = trips(spark, folder).where(finite(d) & d.between(0, 1440) & finite(w) & (w > 0) & F.col("ident_dep").isNotNull())
+    cls = F.coalesce(*(F.when(d < u, i) for i, u in enumerate(ROUND_CLASSES)), F.lit(len(ROUND_CLASSES)))
+    c = t.select("survey", F.col("ident_dep").alias("key"), w.alias("w"), d.alias("d"), (F.floor(F.coalesce("mtp", F.lit(-1.0))) * 10 + cls).alias("cell"))
+    targets = rd.level_shares(c.where("survey = 'P'"), ROUND_LEVELS)
+    mean = lambda x: F.round(F.sum(F.col("w") * F.col(x)) / F.sum("w"), 6)
+    share = lambda k: F.round(F.coalesce(F.sum(F.when(rd.rounding_level(F.col("after"), ROUND_LEVELS) >= k, F.col("w"))), F.lit(0.0)) / F.sum("w"), 8).alias(f"share_{k}")
+    out = []
+    for v in rd.VARIANTS:
+        r = rd.coarsened(c.where("survey = 'J'").drop("survey"), targets, ROUND_LEVELS, v)
+        out.append(r.agg(F.lit(v).alias("variant"), F.count("*").alias("trips"), F.count_if(F.col("after") != F.col("d")).alias("moved"), mean("d").alias("mean_before"), mean("after").alias("mean_after"), *(share(k) for k in ROUND_LEVELS[1:])))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(f"with {TRIPS} select survey, m % 5 = 0 as on_five, case when m = 0 then 'hour' when m = 30 then 'half' when m % 15 = 0 then 'quarter' when m % 5 = 0 then 'five' else 'other' end as class, count(*) as trips, round(avg(((arrival_s - departure_s) % 86400 + 86400) % 86400 / 60.0 - duration_min) filter (where isfinite(duration_min)  and duration_min between 0 and 1440 and arrival_s is not null), 6) as mean_gap from (select *, (departure_s // 60) % 60 as m from trips where departure_s is not null) group by all")

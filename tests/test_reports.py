@@ -117,3 +117,22 @@ def test_points_near_lines_against_brute_force(spark):
                         want[line, i] = min(m, want.get((line, i), m))
     found = {(q.line, q.id): q.metres for q in got.collect()}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want) and want
+
+
+def test_rounding_levels_and_coarsening(spark):
+    from loomway.operators import rounding as rd
+
+    levels = (1, 5, 15, 30)
+    df = spark.createDataFrame([(float(x),) for x in (0, 7, 10, 45, 60)], "d double")
+    assert [r[0] for r in df.select(rd.rounding_level(F.col("d"), levels)).collect()] == [30, 1, 5, 15, 30]
+    assert [tuple(r) for r in spark.createDataFrame([(2.0,), (7.5,)], "d double").select(*(rd.rounded(F.col("d"), 5, v) for v in rd.VARIANTS)).collect()] == [(0.0, 5.0, 5.0), (10.0, 10.0, 10.0)]
+    rows = spark.createDataFrame([("a", f"k{i}", 1.0, float(1 + i % 59)) for i in range(4000)] + [("alone", "z", 1.0, 7.0)], "cell string, key string, w double, d double")
+    targets = spark.createDataFrame([("a", 0.8, 0.6, 0.3), ("other", 1.0, 1.0, 1.0)], "cell string, target_5 double, target_15 double, target_30 double")
+    got = rd.coarsened(rows, targets, levels).cache()
+    mine = got.where("cell = 'a'")
+    share = {k: mine.where(rd.rounding_level(F.col("after"), levels) >= k).count() / 4000 for k in (5, 15, 30)}
+    # Durations that a coarser level draws leave their finer one, so only the last target is met from both sides.
+    assert abs(share[30] - 0.3) < 0.05 and 0.55 < share[15] < 0.8 and 0.75 < share[5] < 0.95
+    assert got.where("cell = 'alone' and after != d").count() == 0 and got.count() == 4001
+    assert mine.where((rd.rounding_level(F.col("after"), levels) < rd.rounding_level(F.col("d"), levels))).count() == 0
+    assert rd.coarsened(rows.limit(0), targets, levels).count() == 0
