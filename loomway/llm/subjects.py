@@ -88,9 +88,10 @@ class Batch:
         return out.getvalue()
 
     @classmethod
-    def read(cls, payload: bytes) -> Batch:
+    def read(cls, payload: bytes, buckets: np.ndarray) -> Batch:
+        """The batch with its buckets as places in `buckets`, which has them all in order."""
         with np.load(io.BytesIO(payload)) as z:
-            return cls(z["word_feats"], z["word_start"], z["occ"].astype(np.int64), z["occ_start"], z["labels"])
+            return cls(np.searchsorted(buckets, z["word_feats"]), z["word_start"], z["occ"].astype(np.int64), z["occ_start"], z["labels"])
 
     @classmethod
     def of(cls, docs: Iterable[tuple[Sequence[str], np.ndarray]], n: int) -> Batch:
@@ -256,10 +257,11 @@ def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, docs_p
     """Synchronous training on (doc_id, text, subjects): in each round all partitions give their summed gradient.
 
     Texts are read once: each partition's sentences are kept as word numbers, in
-    one checkpointed row, which the rounds read. A gradient holds the touched
-    embeddings only, at most BUCKETS x DIM floats for each of the partitions,
-    which are as few as MAX_TRAIN_DOCS allows. Without a row the model stays as
-    it began and finds no subject.
+    one checkpointed row, which the rounds read. Only buckets that some training
+    word has are sent and updated; the others stay as they began. A gradient
+    holds the embeddings its partition touches, at most BUCKETS x DIM floats, and
+    partitions are as few as MAX_TRAIN_DOCS allows. Without a row the model stays
+    as it began and finds no subject.
     """
     spark = rows.sparkSession
     names = tuple(subjects)
@@ -268,11 +270,16 @@ def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, docs_p
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs = ((sentences(t), np.array([x in set(s) for x in names], np.float32)) for pdf in batches for t, s in zip(pdf["text"], pdf["subjects"]))
-        yield pd.DataFrame({"payload": [Batch.of(docs, len(names)).payload()]})
+        b = Batch.of(docs, len(names))
+        yield pd.DataFrame({"payload": [b.payload()], "used": [b.used.astype(np.int32).tobytes()]})
 
-    held = cut(rows.repartition(partitions, "doc_id").mapInPandas(read, "payload binary"))
+    held = cut(rows.repartition(partitions, "doc_id").mapInPandas(read, "payload binary, used binary"))
     run = uuid.uuid4().hex
-    model = Model.start(names)
+    whole = Model.start(names)
+    # At most BUCKETS numbers for each partition.
+    buckets = np.unique(np.concatenate([np.empty(0, np.int32), *(np.frombuffer(r.used, np.int32) for r in held.select("used").collect())]))
+    places = spark.sparkContext.broadcast(buckets)
+    model = Model(whole.emb[buckets], whole.out, whole.bias, names)
     adam = Adam(model.arrays(), RATE)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(model)
@@ -281,16 +288,18 @@ def train(rows: DataFrame, subjects: Sequence[str], rounds: int = ROUNDS, docs_p
             from pyspark import TaskContext
 
             for i, payload in enumerate(x for pdf in batches for x in pdf["payload"]):
-                b = _kept(run, (TaskContext.get().partitionId(), i), lambda payload=payload: Batch.read(payload))
+                b = _kept(run, (TaskContext.get().partitionId(), i), lambda payload=payload: Batch.read(payload, places.value))
                 loss, n, used, de, do, db = gradient(sent.value, b, r >= RELABEL_FROM)
                 yield pd.DataFrame({"loss": [loss], "n": [n], "used": [used.astype(np.int32).tobytes()], "de": [de.astype(np.float32).tobytes()], "do": [do.astype(np.float32).tobytes()], "db": [db.astype(np.float32).tobytes()]})
 
-        parts = held.mapInPandas(grad, "loss double, n long, used binary, de binary, do binary, db binary").collect()
+        parts = held.select("payload").mapInPandas(grad, "loss double, n long, used binary, de binary, do binary, db binary").collect()
         k = len(names)
         array = lambda b, kind: np.frombuffer(b, kind)
         update(model, adam, [(p.loss, p.n, array(p.used, np.int32), array(p.de, np.float32).reshape(-1, DIM), array(p.do, np.float32).reshape(DIM, k), array(p.db, np.float32)) for p in parts])
         sent.destroy()
-    return model
+    places.destroy()
+    whole.emb[buckets] = model.emb
+    return Model(whole.emb, model.out, model.bias, names)
 
 
 def assign(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
