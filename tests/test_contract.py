@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_queries_and_sql_go_together():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 120
-    for n in range(1, 7):
+    for n in (1, 2, 3, 5, 6):
         assert any(k.startswith(f"p{n}_") for k in q)
 
 
