@@ -15,6 +15,10 @@ from loomway.operators.rangeprobe import stream_probe
 
 EARTH_RADIUS_M = 6_371_008.8
 TILE_DEG = 0.25
+#: Points at home in a cell from which the cell is split: few bytes, but a task would compare each with all of its neighbours.
+CELL_ROWS = 2_000
+#: Crowded cells up to which their list is broadcast, 24 bytes each.
+CROWDED_BROADCAST = 100_000
 
 
 def usable_points(df: DataFrame, id_col: str = "id", lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -41,7 +45,9 @@ def near_pairs(points: DataFrame, radius_m: float, cell_m: float | None = None)
     Rows of cells of equal height go around the globe, each with as many
     columns as fit at its side towards the equator. A point is copied to each
     cell its radius can reach and meets the points at home there, so a pair
-    comes out once, at the home of its smaller id. Works over the date line and
+    comes out once, at the home of its smaller id. A cell with more than
+    CELL_ROWS points at home is split by their ids, and its copies go to each
+    part, so that one crowded place is many tasks. Works over the date line and
     at the poles.
     """
     cell = cell_m or 2 * radius_m
@@ -63,10 +69,20 @@ def near_pairs(points: DataFrame, radius_m: float, cell_m: float | None = None)
     copies = copies.withColumn("n", columns(F.col("band")))
     first, last = column(F.col("lon") - F.col("span"), F.col("n")), column(F.col("lon") + F.col("span"), F.col("n"))
     copies = copies.withColumn("col", F.explode(F.array_distinct(F.transform(F.sequence(first, F.least(last, first + F.col("n") - 1)), lambda j: F.pmod(j, F.col("n"))))))
-    a = home.select("band", "col", F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
-    b = copies.select("band", "col", F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
+    # At most one row for every CELL_ROWS points; their number is measured, as nearly always there is none.
+    crowded = home.groupBy("band", "col").agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS).select("band", "col", F.ceil(F.col("n") / CELL_ROWS).alias("parts"))
+    many = crowded.count()
+    whole = F.lit(0).cast("long")
+    if many:
+        crowded = F.broadcast(crowded) if many <= CROWDED_BROADCAST else crowded
+        home = home.join(crowded, ["band", "col"], "left").withColumn("part", F.when(F.col("parts").isNull(), whole).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))))
+        copies = copies.drop("n").join(crowded, ["band", "col"], "left").withColumn("part", F.explode(F.sequence(whole, F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+    else:
+        home, copies = home.withColumn("part", whole), copies.withColumn("part", whole)
+    a = home.select("band", "col", "part", F.col("id").alias("id_a"), F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"))
+    b = copies.select("band", "col", "part", F.col("id").alias("id_b"), F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"))
     near = great_circle_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= radius_m
-    return a.join(b, ["band", "col"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= reach) & near).select("id_a", "id_b")
+    return a.join(b, ["band", "col", "part"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= reach) & near).select("id_a", "id_b")
 
 
 def parse_wkt(text: str | None) -> list[list[np.ndarray]]:

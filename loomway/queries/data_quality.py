@@ -12,6 +12,7 @@ from loomway.operators.intervals import periods_and_gaps, survey_minutes
 from loomway.operators.nearby import containing_regions, near_pairs, usable_points
 from loomway.operators.orphans import orphan_report, orphans
 from loomway.operators.packed import unpack
+from loomway.session import cut
 from loomway.tables import table
 
 QUERIES: dict = {}
@@ -214,7 +215,7 @@ _P6_EDGES = r"""rings as (select siren::bigint as siren, r.ring, r.no from (sele
 )
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of nodes at most 25 m apart, and the nodes of each region."""
-    nodes = usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat"))
+    nodes = cut(usable_points(table(spark, folder, "osm_node_coords", "id", "lon", "lat")))  # read for the crowded cells, twice for the pairs, and for the regions
     near = near_pairs(nodes, NEAR_M).select(F.lit("near").alias("kind"), "id_a", "id_b")
     inside = containing_regions(nodes, table(spark, folder, "epci_polygons", "siren", "geom"), "siren", "geom")
     return near.unionByName(inside.select(F.lit("inside").alias("kind"), F.col("region").alias("id_a"), F.col("id").alias("id_b")))

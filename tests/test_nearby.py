@@ -36,6 +36,17 @@ def test_near_pairs_everywhere(spark):
     assert got == want and len(want) > 50
 
 
+def test_a_crowded_place_is_split(spark, monkeypatch):
+    from loomway.operators import nearby
+
+    monkeypatch.setattr(nearby, "CELL_ROWS", 7)
+    r = np.random.default_rng(5)
+    pts = [(2.3 + r.normal() * 1e-4, 48.8 + r.normal() * 1e-4) for _ in range(150)] + [(2.3, 48.8)] * 50
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, lon double, lat double")
+    got = sorted((a, b) for a, b in near_pairs(df, 25.0).collect())
+    assert got == sorted((i, j) for i in range(200) for j in range(i + 1, 200) if distance(pts[i], pts[j]) <= 25)
+
+
 def test_usable_points(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, 2.0, 3.0), (1, 2.0, 3.0), (2, None, 1.0), (3, nan, 1.0), (4, 181.0, 0.0), (5, 1.0, -91.0), (6, 0.0, 0.0), (7, inf, 0.0), (None, 1.0, 1.0), (8, 0.0, 1.0)]
