@@ -241,6 +241,21 @@ def area_coverage(authorities: DataFrame, sources: DataFrame, source: str, alone
     return authorities.join(per, "authority", "left").select("authority", coverage.alias("coverage"), F.coalesce("feeds", F.lit(0).cast("long")).alias("feeds"))
 
 
+def name_matches(lines: DataFrame, relations: DataFrame) -> DataFrame:
+    """(line, affiliation, relations, first): relations that have a line's key, those of its own network where there are any, else all.
+
+    lines: (line, key, network); relations: (relation, key, network). An empty
+    or null key matches nothing. Counts per key and network meet, never pairs,
+    so a key that most relations share is one row.
+    """
+    have = relations.where("key != ''").groupBy("key", "network").agg(F.count_distinct("relation").alias("n"), F.min("relation").alias("first"))
+    own = have.select("key", "network", F.col("n").alias("own_n"), F.col("first").alias("own_first"))
+    every = relations.where("key != ''").groupBy("key").agg(F.count_distinct("relation").alias("all_n"), F.min("relation").alias("all_first"))
+    x = lines.join(own, ["key", "network"], "left").join(every, "key", "left")
+    mine = F.col("own_n").isNotNull()
+    return x.select("line", F.when(mine, 1).when(F.col("all_n").isNotNull(), 0).alias("affiliation"), F.coalesce("own_n", "all_n", F.lit(0).cast("long")).alias("relations"), F.coalesce("own_first", "all_first").alias("first"))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], keep_if_same: str, kept: Sequence[str]) -> DataFrame:
     """Records refreshed by id; `kept` columns stay where `keep_if_same` did not change, and are null where it did."""
     o, n = old.alias("o"), new.alias("n")

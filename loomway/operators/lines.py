@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomway.functions.grid import segment_distance
 from loomway.operators.relational import band_join
@@ -47,3 +50,54 @@ def near_lines(points: DataFrame, places: DataFrame, line: str, order: Sequence[
     met = band_join(places.where("x is not null and y is not null"), box, "x", "_lo", "_hi", 500.0).where(F.col("y").between(F.col("_bottom"), F.col("_top")))
     d = segment_distance(*(F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")))
     return met.groupBy(line, *keep).agg(F.min(d).alias("metres")).where(F.col("metres") <= radius)
+
+
+def _extent(data: bytes, at: int, box: list[float]) -> int:
+    """Widens the box by the geometry that begins at a byte of well-known binary; gives the byte behind it."""
+    order = "<" if data[at] == 1 else ">"
+    (code,) = struct.unpack_from(order + "I", data, at + 1)
+    at += 5
+    if code & 0x20000000:
+        at += 4  # a reference system stands first
+    kind = code & 0xFF
+    size = 2 + bool(code & 0x80000000 or 1000 <= code % 0x10000000 < 2000 or 3000 <= code % 0x10000000 < 4000) + bool(code & 0x40000000 or 2000 <= code % 0x10000000 < 4000)
+    if code % 0x10000000 >= 1000:
+        kind = code % 1000
+
+    def points(n: int, at: int) -> int:
+        v = struct.unpack_from(f"{order}{n * size}d", data, at)
+        xs, ys = [x for x in v[::size] if x == x], [y for y in v[1::size] if y == y]
+        if xs and ys:
+            box[:] = [min(box[0], *xs), min(box[1], *ys), max(box[2], *xs), max(box[3], *ys)]
+        return at + 8 * n * size
+
+    def count(at: int) -> tuple[int, int]:
+        return struct.unpack_from(order + "I", data, at)[0], at + 4
+
+    if kind == 1:
+        return points(1, at)
+    n, at = count(at)
+    if kind == 2:
+        return points(n, at)
+    for _ in range(n):
+        if kind == 3:
+            m, at = count(at)
+            at = points(m, at)
+        else:
+            at = _extent(data, at, box)
+    return at
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("xmin", "ymin", "xmax", "ymax")]))
+def wkb_envelope(shape: pd.Series) -> pd.DataFrame:
+    """Envelope of a geometry in well-known binary, once per row; null where there is none, it is empty or can't be read."""
+    inf, out = float("inf"), []
+    for b in shape:
+        box = [inf, inf, -inf, -inf]
+        try:
+            if b is not None:
+                _extent(bytes(b), 0, box)
+        except (struct.error, IndexError):
+            box = [inf, inf, -inf, -inf]
+        out.append(box if box[0] <= box[2] else [None] * 4)
+    return pd.DataFrame(out, columns=["xmin", "ymin", "xmax", "ymax"], dtype="Float64")

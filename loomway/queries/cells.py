@@ -19,7 +19,7 @@ from loomway.plans.scope_cube import LEAST
 from loomway.queries.base import DAYS, TRIPS, days, registry, trips
 from loomway.queries.feeds import _laea, _projected
 from loomway.queries.reports import _CI, _RT, _rows, _shown
-from loomway.queries.stats import _BOTH, REPS, replicated
+from loomway.queries.stats import _BOTH, REPS, merge_sql, replicated, x_level_merge
 from loomway.tables import table
 
 QUERIES, SQL, query = registry()
@@ -52,6 +52,20 @@ def x_group_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return point.join(n, g).join(ci, [*g, "p"]).select(*g, "p", "n", *(_shown(c) for c in ("value", "low", "high")))
 
 
+@query(
+    f"""with recursive {DAYS}, c as (select n, count(*)::bigint as days from days group by 1), {merge_sql("", "n", "days", "c", 100)}, p as (select days.survey, list_max(list_filter(firsts, lambda f: f <= n)) as level, w, x from days, (select arg_min(firsts, len(firsts)) as firsts from m) where x > 0),
+    g as (select level, count(*) as n, sum(w * ln(x)) / sum(w) as m from p group by 1) select level, n, round(m - (select arg_min(m, level) from g), 6) as estimate, round(100 * (exp(m - (select arg_min(m, level) from g)) - 1), 4) as effect_pct from g"""
+)
+def x_pooled_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Effects of the number of trips on log minutes against its lowest level, after levels of few days are pooled: the weighted regression on their dummies is one mean for each."""
+    d = days(spark, folder)
+    pooled = x_level_merge(spark, folder)  # one row for each number of trips
+    rows = d.where("x > 0").join(F.broadcast(pooled), d["n"] == pooled["level"]).select(F.col("cluster").alias("level"), "w", "x")
+    g = rows.groupBy("level").agg(F.count("*").alias("n"), safe_div(F.sum(F.col("w") * F.ln("x")), F.sum("w")).alias("m"))
+    off = F.col("m") - F.min_by("m", "level").over(W.partitionBy())  # a few levels
+    return g.select("level", "n", F.round(off, 6).alias("estimate"), F.round(100 * (F.exp(off) - 1), 4).alias("effect_pct"))
+
+
 #: Days of a week by the kind of the described day.
 PERIODS = {1: 5, 2: 1, 3: 1}
 

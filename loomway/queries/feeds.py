@@ -251,6 +251,19 @@ def t_opening_matches(spark: SparkSession, folder: str) -> DataFrame:
     return feeds.match_openings(o.drop("candidate_refs"), first.select("opening", "network", "families", F.col("hints").alias("names"), F.col("rec_id").alias("candidate")), refs)
 
 
+@query(
+    f"""with o as (select rec_id, {_ref_sql("line_2026")} as key, {_TEXT("network")} as network from pt_openings_mapping), r as (select rec_id as relation, {_ref_sql("item")} as key, network from {items_sql(f"(select rec_id, {_TEXT('network')} as network, candidate_refs from pt_openings_mapping)", "candidate_refs", True, "rec_id, network")}),
+    own as (select key, network, count(distinct relation) as n, min(relation) as first from r where key <> '' group by all), every as (select key, count(distinct relation) as n, min(relation) as first from r where key <> '' group by 1)
+    select o.rec_id as line, case when own.n is not null then 1 when every.n is not null then 0 end as affiliation, coalesce(own.n, every.n, 0) as relations, coalesce(own.first, every.first) as first from o left join own on own.key = o.key and own.network = o.network left join every on every.key = o.key"""
+)
+def t_name_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """References of openings that a line's own has, within its network before others; an opening's references stand for relations."""
+    o = table(spark, folder, "pt_openings_mapping", "rec_id", "network", "line_2026", "candidate_refs").withColumn("network", normalise_text(F.col("network")))
+    lines = o.select(F.col("rec_id").alias("line"), normalise_ref(F.col("line_2026")).alias("key"), "network")
+    relations = unpack(o, "candidate_refs", ["rec_id", "network"], True).select(F.col("rec_id").alias("relation"), normalise_ref(F.col("item")).alias("key"), "network")
+    return feeds.name_matches(lines, relations)
+
+
 @query(
     """with m as (select network, lower(trim(mode)) as mode, case match_confidence when 'exact' then 3 when 'stop-confirmed' then 2 when 'ambiguous' then 1 else 0 end as score, rec_id from pt_openings_mapping where network is not null),
     b as (select *, max(score) over (partition by network) as best from m) select network, count(*) filter (where score = best) as best_rows, max(score)::int as best, coalesce(max(case when score = 3 then 'opening' end), max(case when mode = 'tram' then 'tram-rule' end), 'keep') as decision,

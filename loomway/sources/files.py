@@ -42,6 +42,14 @@ def read_parquet(spark: SparkSession, path: str, columns: Iterable[str] | None =
     return df.select(*columns) if columns else df
 
 
+def read_parametrised(spark: SparkSession, template: str, *values: str, columns: Iterable[str] | None = None) -> DataFrame:
+    """Parquet at a path whose question marks stand for the values, in their order; another number of values is an error."""
+    parts = template.split("?")
+    if len(parts) != len(values) + 1:
+        raise ValueError(f"{len(parts) - 1} values expected")
+    return read_parquet(spark, "".join(x for pair in zip(parts, [*values, ""]) for x in pair), columns)
+
+
 def read_box(spark: SparkSession, path: str, west: float, south: float, east: float, north: float, box: str = "bbox") -> DataFrame:
     """Rows whose nested box meets the given one; the four comparisons are pushed to the scan."""
     b = lambda x: F.col(f"{box}.{x}")

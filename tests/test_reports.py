@@ -136,3 +136,34 @@ def test_rounding_levels_and_coarsening(spark):
     assert got.where("cell = 'alone' and after != d").count() == 0 and got.count() == 4001
     assert mine.where((rd.rounding_level(F.col("after"), levels) < rd.rounding_level(F.col("d"), levels))).count() == 0
     assert rd.coarsened(rows.limit(0), targets, levels).count() == 0
+
+
+def test_names_with_affiliation(spark):
+    ls = spark.createDataFrame([(1, "a", "n"), (2, "a", "other"), (3, "b", "n"), (4, "", "n"), (5, None, "n"), (6, "c", None)], "line long, key string, network string")
+    rel = spark.createDataFrame([(10, "a", "n"), (11, "a", "n"), (11, "a", "n"), (12, "a", "m"), (13, "", "n"), (14, "c", None)], "relation long, key string, network string")
+    got = values(feeds.name_matches(ls, rel), "line", "affiliation", "relations", "first")
+    assert got == [(1, 1, 2, 10), (2, 0, 3, 10), (3, None, 0, None), (4, None, 0, None), (5, None, 0, None), (6, 0, 1, 14)]
+    assert feeds.name_matches(ls.limit(0), rel).count() == 0 and {r.relations for r in feeds.name_matches(ls, rel.limit(0)).collect()} == {0}
+
+
+def test_envelopes_of_binary_shapes(spark):
+    import struct
+
+    line = lambda o, pts: (b"\x01" if o == "<" else b"\x00") + struct.pack(o + "II", 2, len(pts)) + b"".join(struct.pack(o + "dd", *p) for p in pts)
+    many = b"\x01" + struct.pack("<II", 5, 2) + line("<", [(0, 1), (2, 3)]) + line(">", [(-5, 9)])
+    ring = b"\x01" + struct.pack("<III", 3, 1, 2) + struct.pack("<dddd", 1, 1, 4, 0)
+    z = b"\x01" + struct.pack("<II", 1002, 2) + struct.pack("<6d", 1, 2, 99, 3, 4, 99)
+    srid = b"\x01" + struct.pack("<III", 0x20000001, 4326, 0)[:8] + struct.pack("<I", 4326)[:0] + struct.pack("<dd", 7, 8)
+    shapes = [many, ring, z, srid, line("<", []), None, b"\x01\x02", b""]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], "i int, s binary").withColumn("e", lines.wkb_envelope("s")).orderBy("i")
+    got = [tuple(r.e) if r.e is not None else (None,) * 4 for r in df.collect()]
+    assert got == [(-5, 1, 2, 9), (1, 0, 4, 1), (1, 2, 3, 4), (7, 8, 7, 8), *[(None,) * 4] * 4]
+
+
+def test_parametrised_scan(spark, tmp_path):
+    from loomway.sources import files
+
+    spark.range(3).write.parquet(str(tmp_path / "y2024" / "t"))
+    assert files.read_parametrised(spark, f"{tmp_path}/y?/?", "2024", "t", columns=["id"]).count() == 3
+    with pytest.raises(ValueError):
+        files.read_parametrised(spark, "a?", "x", "y")

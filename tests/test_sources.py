@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import pytest
@@ -42,7 +43,8 @@ def test_box_is_pushed_down(spark, tmp_path):
     sinks.write_parquet(df, str(tmp_path / "b"))
     got = files.read_box(spark, str(tmp_path / "b"), 1, 1, 2, 2)
     assert sorted(r.id for r in got.collect()) == [1, 2]
-    assert "IsNotNull(bbox.xm" in got._jdf.queryExecution().toString()
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", got._jdf.queryExecution().toString())[1]
+    assert all(f"{op}(bbox.{c},{v}.0)" in pushed for op, c, v in (("LessThanOrEqual", "xmin", 2), ("GreaterThanOrEqual", "xmax", 1), ("LessThanOrEqual", "ymin", 2), ("GreaterThanOrEqual", "ymax", 1)))
 
 
 def test_stages_and_signatures(spark, tmp_path):
